@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from spindrift.functions.deploy import shipped
-from spindrift.llm import jaccard_join, lang_id
+from spindrift.llm import jaccard_join, lang_id, suffix_dedup
 
-QUERIES = {f.__name__: shipped(f) for f in (jaccard_join.op9_jaccard_join, lang_id.op10_language_id)}
+QUERIES = {f.__name__: shipped(f) for f in (suffix_dedup.op8_suffix_dedup, jaccard_join.op9_jaccard_join, lang_id.op10_language_id)}
 ORACLES: dict[str, str] = {}
