@@ -11,6 +11,8 @@ row for each.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,12 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.functions.deploy import ship
+
 U64 = np.uint64
-WORK_BYTES = 2 << 20
-FLUSH_RECORDS = 1_500_000
+WORK_BYTES = 1 << 20
+FLUSH_RECORDS = 400_000
+BATCH_ROWS = 1000
 _MULT = U64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_APART = np.ones(256, bool)  # all ASCII but letters and digits
+_APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BYTE_LOWER = _BYTE.copy()
@@ -78,14 +85,15 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = WO
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, end - at), raw[off[at] : off[end]], off[at : end + 1] - off[at]
             at = end
+    lean()
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every run of bytes that aren't ASCII white space."""
+def words(raw: np.ndarray, off: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every run of bytes that aren't ASCII white space, nor (plain) ASCII punctuation."""
     n = len(raw)
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    solid = ~_SPACE[raw]
+    solid = ~(_APART if plain else _SPACE)[raw]
     first = np.zeros(n + 1, bool)
     first[off] = True
     begin = solid.copy()
@@ -167,7 +175,64 @@ def unpack(batches: Iterable[pa.RecordBatch], kinds: dict[str, tuple]) -> dict[s
         for k, (dtype, shape) in kinds.items():
             raw, _ = utf8(batch.column(batch.schema.get_field_index(k)))
             parts[k].append(np.frombuffer(raw.tobytes(), dtype).reshape(-1, *shape))
-    return {k: np.concatenate(v) if v else np.zeros((0, *kinds[k][1]), kinds[k][0]) for k, v in parts.items()}
+    out = {}
+    for k, (dtype, shape) in kinds.items():
+        own = parts.pop(k)
+        out[k] = np.concatenate(own) if own else np.zeros((0, *shape), dtype)
+    return out
+
+
+def wanted(ids: DataFrame, bits: int = 23) -> np.ndarray:
+    """A bitmap of hashed ids, 2**bits bits however many there are: a first filter for rows to be joined with the ids."""
+    width = (1 << bits) // 8 // 8
+
+    def mark(batches):
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[mix(batch.column(0).to_numpy().astype(np.int64).view(U64)) >> U64(64 - bits)] = True
+        if seen.any():
+            own = np.packbits(seen).reshape(8, width)
+            yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], ["bucket", "bits"])
+
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(part.as_buffer(), np.uint8)
+                total[k] = total[k] | x if k in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["bucket", "bits"])
+
+    out = np.zeros((8, width), np.uint8)
+    for r in deal(ids.mapInArrow(mark, "bucket int, bits binary"), 8).mapInArrow(merge, "bucket int, bits binary").collect():
+        out[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return np.unpackbits(out.reshape(-1)).astype(bool)
+
+
+def only(frame: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose first column, a long, is in the bitmap; a few others may stay."""
+    sent = frame.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+    shift = U64(64 - int(np.log2(len(bitmap))))
+
+    def run(batches):
+        seen = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(seen[mix(batch.column(0).to_numpy().astype(np.int64).view(U64)) >> shift]))
+
+    return frame.mapInArrow(run, frame.schema)
+
+
+def lean() -> None:
+    """Hand freed memory back to the system; a Python worker that waits for its next task shouldn't keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package's sources to the workers and keep Arrow batches small, as texts can be long."""
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def partitions(spark: SparkSession) -> int:

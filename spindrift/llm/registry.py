@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
-from spindrift.functions.deploy import shipped
-from spindrift.llm import jaccard_join, lang_id, suffix_dedup
+import functools
 
-QUERIES = {f.__name__: shipped(f) for f in (suffix_dedup.op8_suffix_dedup, jaccard_join.op9_jaccard_join, lang_id.op10_language_id)}
+from spindrift.llm import _text, decontaminate, jaccard_join, lang_id, suffix_dedup
+
+
+def _prepared(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        _text.prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = (
+    decontaminate.op1_decontaminate,
+    suffix_dedup.op8_suffix_dedup,
+    jaccard_join.op9_jaccard_join,
+    lang_id.op10_language_id,
+)
+QUERIES = {f.__name__: _prepared(f) for f in _ALL}
 ORACLES: dict[str, str] = {}
