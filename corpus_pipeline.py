@@ -1,10 +1,80 @@
-"""The corpus pipeline: STAGES, run() and ORACLE_SQL."""
+"""The corpus pipeline over ``documents``: STAGES, run() and ORACLE_SQL.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.llm import _text as tx
+from spindrift.llm import decontaminate as dc
+from spindrift.llm import jaccard_join as jj
+from spindrift.llm import lang_id as li
+from spindrift.llm import sentencepiece_codec as sc
+from spindrift.llm import suffix_dedup as sd
+
+#: Strings of this many bytes that an earlier document has are removed: less than any passage of over 50 words takes, more than common phrases and lines.
+REPEAT_BYTES = 200
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows and drops documents in which no language can be told: null texts and texts without a letter."""
+    tx.prepare(spark)
+    model = li.learn(docs.select("doc_id", "text", "lang"))
+    found = li.predict_languages(docs, model, docs.columns, ("__lang", "__score"))
+    return found.where("__lang != 'und'").drop("__lang", "__score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of documents linked by a similarity of 0.8 or more of their five-word shingles. Rows without a doc_id stay."""
+    tx.prepare(spark)
+    found = jj.jaccard_components(docs, n=5, num=80, den=100)
+    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1):
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).union(kept.where("doc_id is null"))
+    return kept
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that an earlier document has; a document of which nothing but white space is left goes."""
+    tx.prepare(spark)
+    found = sd.remove_repeats(docs, REPEAT_BYTES).where(~F.col("__changed") | (F.length(F.trim("text")) > 0))
+    return found.withColumn("n_chars", F.when(F.col("__changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("__changed")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that share a stretch with a benchmark item."""
+    tx.prepare(spark)
+    leaks = dc.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__leaking")).distinct()
+    return docs.join(leaks, F.col("doc_id") == F.col("__leaking"), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, exact of what is left."""
+    tx.prepare(spark)
+    return sc.encode(docs, ["doc_id"])
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeats),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding", tokens),
+]
+
+#: SQL has no means for the models and exact byte strings of the stages; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; what one returns is written and read again."""
+    tx.prepare(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = tx.table(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

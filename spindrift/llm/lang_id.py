@@ -272,18 +272,19 @@ class Scorer:
         return [langs[b] if s else "und" for b, s in zip(best, some)], np.where(some, share, 0.0)
 
 
-def predict_languages(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each row, with lang_pred and score from the whole text."""
+def predict_languages(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of each row, with language and score of the whole text as ``names``."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.probs))
     keep = list(dict.fromkeys(keep))
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    text = "text" if "text" in keep else "__text"
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col("text").alias(text)]))
+    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches):
         scorer = Scorer(Model(*sent.value))
-        for rows, raw, off in tx.pieces(batches, "__text"):
+        for rows, raw, off in tx.pieces(batches, text):
             lang, score = scorer.texts(raw, off)
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)], [*keep, *names])
 
     return source.mapInArrow(run, schema)
 
