@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from spindrift.functions.deploy import ship
 
 U64 = np.uint64
-WORK_BYTES = 1 << 20
-FLUSH_RECORDS = 400_000
+WORK_BYTES = 1 << 19
+FLUSH_RECORDS = 200_000
 BATCH_ROWS = 1000
 _MULT = U64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -78,6 +79,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = WORK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) with whole texts of about ``most`` bytes together; a longer text comes alone."""
+    lean()
     for batch in batches:
         raw, off = utf8(batch.column(batch.schema.get_field_index(text)))
         at = 0
@@ -163,13 +165,16 @@ def blocks(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.Re
     for value in columns.values():
         value = np.ascontiguousarray(value[order])
         width = value.itemsize * int(np.prod(value.shape[1:], dtype=np.int64))
-        view = memoryview(value.reshape(-1).view(np.uint8))
-        out.append(pa.array([view[s * width : e * width] for s, e in zip(start.tolist(), end.tolist())], pa.binary()))
+        view = memoryview(value.reshape(-1).view(np.uint8))  # Arrow would keep what a view stands on: it gets bytes
+        out.append(pa.array([bytes(view[s * width : e * width]) for s, e in zip(start.tolist(), end.tolist())], pa.binary()))
+    del order, sorted_, value, view
     yield pa.RecordBatch.from_arrays(out, ["bucket", *columns])
+    out.clear()
 
 
 def unpack(batches: Iterable[pa.RecordBatch], kinds: dict[str, tuple]) -> dict[str, np.ndarray]:
     """All records of a partition. kinds: name -> (dtype, trailing shape)."""
+    lean()
     parts: dict[str, list] = {k: [] for k in kinds}
     for batch in batches:
         for k, (dtype, shape) in kinds.items():
@@ -221,9 +226,21 @@ def only(frame: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return frame.mapInArrow(run, frame.schema)
 
 
+def _thrifty() -> None:
+    """Large arrays come from the system and go back to it when they are freed, so that a reused Python worker stays small."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        libc = ctypes.CDLL(None)
+        for option, value in ((-8, 1), (-3, 1 << 18), (-1, 1 << 20)):  # M_ARENA_MAX, M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            libc.mallopt(option, value)
+
+
+_thrifty()
+
+
 def lean() -> None:
-    """Hand freed memory back to the system; a Python worker that waits for its next task shouldn't keep it."""
-    pa.default_memory_pool().release_unused()
+    """Free what the worker's earlier tasks left in reference cycles and hand memory back to the system."""
+    gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -33,7 +33,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +43,8 @@ U64, I64 = np.uint64, np.int64
 K = 16
 SAMPLED_DOCS = 2000
 SAMPLED_EACH = 32
-_PIECE = 1 << 20
+_PIECE = 1 << 19
+_SORTED = 200_000
 
 
 def _words8(raw: np.ndarray, room: int) -> np.ndarray:
@@ -137,7 +137,7 @@ def _screen(length: int, parts: int, same: bool):
             later = d != d[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
             known = np.zeros(len(g), bool)
             known[order] = later
-            yield from send(gram, ctx, doc, uid, pos, ~known, tx.bucket_of(gram, parts), False)
+            yield from send(gram, ctx, doc, uid, pos, ~known, tx.bucket_of(tx.mix(gram), parts), False)  # anchors have small hashes: mixed once more they spread evenly
             yield from send(gram, ctx, doc, uid, pos, known, tx.bucket_of(tx.mix(uid.view(U64)), parts), True)
             held.clear()
 
@@ -165,6 +165,7 @@ def _screen(length: int, parts: int, same: bool):
                 count = 0
         if held:
             yield from flush()
+        tx.lean()
 
     return run
 
@@ -206,6 +207,8 @@ def _decide(parts: int, same: bool):
         for keep, kind in ((later, FULL), (part, PART)):
             if keep.any():
                 yield from _marks(uid[keep], pos[keep], np.full(int(keep.sum()), kind, np.uint8), parts)
+        del r, gram, ctx, doc, uid, pos, order, later, number, part, new_gram, new_ctx
+        tx.lean()
 
     return run
 
@@ -226,15 +229,14 @@ def _rows_by_uid(batches):
 
 
 def _pack(batches):
-    """Texts as zstd frames."""
+    """Texts as zstd frames; further columns go along."""
     codec = pa.Codec("zstd", 3)
     for batch in batches:
-        at = 0
+        rest = batch.schema.names[3:]
         raw, off = tx.utf8(batch.column(batch.schema.get_field_index("text")))
         view = memoryview(raw)
         z = [codec.compress(view[s:e], asbytes=True) for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("uid")), batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.diff(off)), pa.array(z, pa.binary())], ["uid", "doc_id", "n_bytes", "z"])
-        del at
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("uid")), batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.diff(off)), pa.array(z, pa.binary()), *batch.columns[3:]], ["uid", "doc_id", "n_bytes", "z", *rest])
 
 
 def _unzip(batch, codec):
@@ -267,13 +269,13 @@ def _spread(length: int, parts: int, splitters: np.ndarray):
             uid, doc = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("uid", "doc_id"))
             part = batch.column(batch.schema.get_field_index("part"))
             for k, raw in enumerate(_unzip(batch, codec)):
-                pos = np.frombuffer(part[k].as_buffer(), np.uint32)
+                pos = np.frombuffer(part[k].as_py(), np.uint32)
                 pad = np.concatenate([np.zeros(left, np.uint8), raw, np.zeros(length, np.uint8)])
                 m, at = len(pos), pos.astype(I64)
                 ctx = np.lib.stride_tricks.sliding_window_view(pad, 2 * length - K)[at]
                 held.append([ctx, np.minimum(left, at).astype(np.uint16), np.minimum(length, len(raw) - at).astype(np.uint16), np.full(m, doc[k], I64), np.full(m, uid[k], I64), pos])
                 count += m
-                if count > 200_000:
+                if count > 50_000:
                     yield from flush()
                     count = 0
         if held:
@@ -312,7 +314,7 @@ def _sort_bucket(length: int, parts: int):
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
         start = np.append(np.flatnonzero(new), len(a))
         at = 0
-        most = max(1, 700_000 // (left + 1))
+        most = max(1, _SORTED // (left + 1))
         while at < len(start) - 1:
             to = max(at + 1, int(np.searchsorted(start, start[at] + most, "right")) - 1)
             own = order[start[at] : start[to]]
@@ -401,8 +403,9 @@ def _digest(length: int):
     return run
 
 
-def _keep_text(length: int):
+def _keep_text(length: int, rest: list[str]):
     """Step 4: the text that is left; bytes of a character that was cut in two go as well."""
+    names = ["doc_id", "text", "changed", *rest]
 
     def run(batches):
         codec = pa.Codec("zstd")
@@ -416,7 +419,7 @@ def _keep_text(length: int):
                     keep[s:e] = False
                 out.append(raw[keep].tobytes().decode("utf-8", "ignore"))
                 changed.append(len(start) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("uid")), pa.array(out, pa.string()), pa.array(changed)], ["uid", "kept", "changed"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(out, pa.string()), pa.array(changed, pa.bool_()), *[batch.column(batch.schema.get_field_index(c)) for c in rest]], names)
 
     return run
 
@@ -442,16 +445,19 @@ def _splitters(docs: DataFrame, length: int, parts: int) -> np.ndarray:
 
 
 def mark_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(uid, doc_id, n_bytes, z, full, spans) of the rows of (uid, doc_id, text); uid identifies a row and is doc_id where that is unique."""
+    """(uid, doc_id, n_bytes, z, full, spans) of the rows of (uid, doc_id, text), and the columns that follow those; uid identifies a row and is doc_id where that is unique."""
     if length < 24:
         raise ValueError("strings of fewer than 24 bytes aren't supported")
     spark = docs.sparkSession
     parts = tx.partitions(spark)
     same = not docs.where("uid != doc_id").head(1)
-    found = tx.deal(docs.mapInArrow(_screen(length, parts, same), _A), parts).mapInArrow(_decide(parts, same), "bucket int, uid binary, pos binary, kind binary")
+    fine = 2 * parts
+    texts = docs.select("uid", "doc_id", "text")
+    found = tx.deal(texts.mapInArrow(_screen(length, fine, same), _A), fine).mapInArrow(_decide(parts, same), "bucket int, uid binary, pos binary, kind binary")
     marks = tx.table(tx.deal(found, parts).mapInArrow(_rows_by_uid, "uid long, full binary, part binary"), "marks")
-    splitters = _splitters(docs, length, parts)
-    packed = docs.mapInArrow(_pack, "uid long, doc_id long, n_bytes long, z binary").where("uid is not null").repartition(parts, "uid")
+    splitters = _splitters(texts, length, parts)
+    shape = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("z", T.BinaryType()), *docs.schema.fields[3:]])
+    packed = docs.mapInArrow(_pack, shape).where("uid is not null").repartition(parts, "uid")
     open_ = packed.join(marks.where("part is not null").select("uid", "part").hint("shuffle_merge"), "uid")
     blob = "bucket int, ctx binary, before binary, after binary, doc binary, uid binary, pos binary"
     spread = tx.deal(open_.mapInArrow(_spread(length, parts, splitters), blob), parts)
@@ -460,11 +466,23 @@ def mark_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, text) of the rows that have a doc_id. Where a doc_id occurs twice, uid is a hash of id and text, so equal rows share it."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1):
-        return docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
-    return docs.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+    """(uid, doc_id, text, other columns) of the rows that have a doc_id. Where a doc_id occurs twice, uid is a hash of id and text, so equal rows share it."""
+    docs = docs.where("doc_id is not null")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1)
+    return docs.select((F.xxhash64("doc_id", "text") if twice else F.col("doc_id")).alias("uid"), "doc_id", "text", *rest)
+
+
+def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """The rows with the text that is left, and ``__changed``; a null text becomes an empty one where its row has a doc_id."""
+    rest = {f"__{k}": c for k, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}  # their own names could clash
+    own = with_uid(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for k, c in rest.items()]))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType()), *own.schema.fields[3:]])
+    found = mark_repeats(own, length).mapInArrow(_keep_text(length, list(rest)), schema)
+    back = {c: k for k, c in rest.items()}
+    return found.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns], F.col("changed").alias("__changed")).union(
+        docs.where("doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(False))
+    )
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
