@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from spindrift.llm import _text, decontaminate, html_extract, jaccard_join, lang_id, sentencepiece_codec, suffix_dedup, token_counts
+from spindrift.llm import _text, ann, decontaminate, html_extract, jaccard_join, lang_id, sentencepiece_codec, suffix_dedup, token_counts
 
 
 def _prepared(query):
@@ -18,6 +18,7 @@ def _prepared(query):
 
 _ALL = (
     decontaminate.op1_decontaminate,
+    ann.op4_nearest_neighbours,
     token_counts.op5_token_counts,
     html_extract.op6_html_text,
     sentencepiece_codec.op7_sentencepiece,
