@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from spindrift.llm import _text, ann, decontaminate, html_extract, jaccard_join, lang_id, sentencepiece_codec, suffix_dedup, token_counts
+from spindrift.llm import _text, ann, decontaminate, html_extract, jaccard_join, lang_id, sentencepiece_codec, suffix_dedup, token_counts, warc
 
 
 def _prepared(query):
@@ -18,6 +18,7 @@ def _prepared(query):
 
 _ALL = (
     decontaminate.op1_decontaminate,
+    warc.op3_warc,
     ann.op4_nearest_neighbours,
     token_counts.op5_token_counts,
     html_extract.op6_html_text,
@@ -27,4 +28,4 @@ _ALL = (
     lang_id.op10_language_id,
 )
 QUERIES = {f.__name__: _prepared(f) for f in _ALL}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL}
