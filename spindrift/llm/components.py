@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al. 2014).
 
 Every step is a partial aggregation and an equi-join; nothing is collected but two numbers for
-each round, which tell whether the edges still change. Each round ends in a checkpoint in the
-shared folder, so the lineage stays short and lost executors cost one round at most.
+each round, which tell whether the edges still change. Each round ends in a table in the shared
+folder, so the lineage stays short and lost executors cost one round at most.
 """
 
 from __future__ import annotations
@@ -18,8 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and loops are ignored; repeated edges are one edge; no edges give no rows.
     """
-    tx.shared_dir(edges.sparkSession)
-    now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct().checkpoint()
+    now = tx.table(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     state = None
     while True:
         sym = now.union(now.select("lo", "hi"))
@@ -28,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m"))
         both = large.join(low, large.hi == low.k)
         pairs = both.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(both.select("hi", F.col("m").alias("lo")))
-        now = pairs.distinct().checkpoint()
+        now = tx.table(pairs.distinct(), "edges")
         row = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
         if (row["n"], row["x"]) == state:
             break

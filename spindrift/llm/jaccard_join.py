@@ -13,10 +13,11 @@ Plan
 2. One scan: prefix shingles of both orders, copies reduced to one within a task. Shingles of one
    class alone fall away, then classes without a shared prefix shingle in either order.
 3. Stars: in each shingle's group the class that has the fewest rarer shingles is the pivot; pivot
-   and member are verified on whole texts. Linear in the group, so families of near copies fall
+   and member are verified on whole texts (only those texts are fetched, by way of a bitmap of fixed size). Linear in the group, so families of near copies fall
    into one component without all their pairs.
-4. Rest: pairs of a group that are still in different components and pass the length, position and
-   second-order filters are verified too. No link between components is lost, and no cap is used.
+4. Rest: pairs of a group that are still in different components and pass the filters by length,
+   position, second order and parity bitmap (Sandes et al. 2020: the bitmaps of two sets differ in at
+   most |A xor B| bits) are verified too. No link between components is lost, and no cap is used.
 5. Components of all links by star contraction; every document gets its class's component.
 
 Set sizes and verification work on 64-bit shingle hashes made of 64-bit word hashes.
@@ -39,6 +40,7 @@ from spindrift.llm.components import components
 
 U64, I64 = np.uint64, np.int64
 SKETCH_BITS = 18
+BITMAP = 512
 _LOW = U64((1 << (64 - SKETCH_BITS)) - 1)
 _SECOND = U64(0xA0761D6478BD642F)
 
@@ -118,10 +120,17 @@ def _prefixes(n: int, num: int, den: int, ranks, parts: int):
 
     def run(batches):
         held: list[tuple] = []
-        known: set[int] = set()
+        known: dict[int, bytes] = {}
         count = 0
 
         def flush():
+            if known:  # one bitmap for each class, on its way to the class's own partition
+                cls = np.fromiter(known, I64, len(known))
+                empty = pa.array([b""] * len(cls), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tx.bucket_of(tx.mix(cls.view(U64)), parts)), pa.array(list(known.values()), pa.binary()), pa.array([c.tobytes() for c in cls], pa.binary()), empty, empty, pa.array(np.full(len(cls), 2, np.int32))],
+                    ["bucket", *names, "ord"],
+                )
             for k in (0, 1):
                 own = [h for h in held if h[0] == k]
                 if own:
@@ -144,7 +153,7 @@ def _prefixes(n: int, num: int, den: int, ranks, parts: int):
                 cls = _digest(own)[0]
                 if cls in known:
                     continue
-                known.add(cls)
+                known[cls] = _bitmap(own)
                 p = m - -(-num * m // den) + 1
                 for k, x in enumerate((own, tx.mix(own ^ _SECOND))):
                     t = _token(x, order[k])
@@ -159,6 +168,17 @@ def _prefixes(n: int, num: int, den: int, ranks, parts: int):
     return run
 
 
+def _bitmap(x: np.ndarray) -> bytes:
+    """The set's parity bitmap: bit k tells whether an odd number of shingles falls on k. Bitmaps of one length differ in at most |A xor B| bits."""
+    bits = max(BITMAP, 1 << (len(x) // 2).bit_length())
+    return np.packbits((np.bincount((tx.mix(x ^ _SECOND) & U64(bits - 1)).astype(I64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def _fold(bits: bytes, size: int) -> np.ndarray:
+    """The bitmap that the same set has at ``size`` bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+
+
 _REC = {"token": (U64, ()), "cls": (I64, ()), "pos": (np.uint32, ()), "size": (np.uint32, ())}
 
 
@@ -168,16 +188,22 @@ def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.append(cut, len(x))
 
 
+def _by_order(batches) -> tuple[dict[int, list], list]:
+    by: dict[int, list] = {0: [], 1: [], 2: []}
+    for batch in batches:
+        orders = batch.column(batch.schema.get_field_index("ord")).to_numpy()
+        for k, own in by.items():
+            if (orders == k).any():
+                own.append(batch.filter(pa.array(orders == k)))
+    return by, by.pop(2)
+
+
 def _shared(parts: int):
     """Records of shingles that two classes have, by class."""
 
     def run(batches):
-        by: dict[int, list] = {0: [], 1: []}
-        for batch in batches:
-            orders = batch.column(batch.schema.get_field_index("ord")).to_numpy()
-            for k in (0, 1):
-                if (orders == k).any():
-                    by[k].append(batch.filter(pa.array(orders == k)))
+        by, bitmaps = _by_order(batches)
+        yield from bitmaps
         for k, own in by.items():
             r = tx.unpack(own, _REC)
             if not len(r["token"]):
@@ -197,12 +223,7 @@ def _shared(parts: int):
 
 def _both(batches):
     """A row for each class that shares prefix shingles under both orders: those of the first, and a 256-bit signature of the second's."""
-    by: dict[int, list] = {0: [], 1: []}
-    for batch in batches:
-        orders = batch.column(batch.schema.get_field_index("ord")).to_numpy()
-        for k in (0, 1):
-            if (orders == k).any():
-                by[k].append(batch.filter(pa.array(orders == k)))
+    by, bitmaps = _by_order(batches)
     one, two = tx.unpack(by[0], _REC), tx.unpack(by[1], _REC)
     if not len(one["cls"]) or not len(two["cls"]):
         return
@@ -218,15 +239,17 @@ def _both(batches):
         return
     start, end = _groups(one["cls"])
     own = sig[np.searchsorted(cls, one["cls"][start])].view(I64)
+    big = {int.from_bytes(c, "little", signed=True): b for m in bitmaps for c, b in zip(m.column(m.schema.get_field_index("cls")).to_pylist(), m.column(m.schema.get_field_index("token")).to_pylist())}
+    big = [big[c] for c in one["cls"][start].tolist()]
     offsets = pa.array(np.append(start, end[-1]).astype(np.int32))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(one["cls"][start]), pa.array(one["size"][start].astype(I64)), *[pa.array(own[:, i]) for i in range(4)], pa.ListArray.from_arrays(offsets, pa.array(one["token"].view(I64))), pa.ListArray.from_arrays(offsets, pa.array(one["pos"].astype(np.int32)))],
-        ["cls", "size", "s0", "s1", "s2", "s3", "tokens", "pos"],
+        [pa.array(one["cls"][start]), pa.array(one["size"][start].astype(I64)), *[pa.array(own[:, i]) for i in range(4)], pa.ListArray.from_arrays(offsets, pa.array(one["token"].view(I64))), pa.ListArray.from_arrays(offsets, pa.array(one["pos"].astype(np.int32))), pa.array([_fold(x, BITMAP // 8).tobytes() for x in big], pa.binary()), pa.array(big, pa.binary())],
+        ["cls", "size", "s0", "s1", "s2", "s3", "tokens", "pos", "bits", "big"],
     )
 
 
-_INC = "cls long, size long, s0 long, s1 long, s2 long, s3 long, tokens array<long>, pos array<int>"
-_WIDE = {**_REC, "sig": (U64, (4,)), "label": (I64, ())}
+_INC = "cls long, size long, s0 long, s1 long, s2 long, s3 long, tokens array<long>, pos array<int>, bits binary, big binary"
+_WIDE = {**_REC, "sig": (U64, (4,)), "bits": (U64, (BITMAP // 64,)), "label": (I64, ())}
 
 
 def _by_token(parts: int):
@@ -241,6 +264,7 @@ def _by_token(parts: int):
             token = lists.flatten().to_numpy().view(U64)
             out = {"token": token, "cls": rep("cls", I64), "pos": col["pos"].flatten().to_numpy().astype(np.uint32), "size": rep("size", np.uint32)}
             out["sig"] = np.stack([rep(f"s{i}", I64).view(U64) for i in range(4)], 1)
+            out["bits"] = np.repeat(np.frombuffer(tx.utf8(col["bits"])[0].tobytes(), U64).reshape(-1, BITMAP // 64), count, 0)
             out["label"] = rep("label", I64)
             yield from tx.blocks(tx.bucket_of(tx.mix(token), parts), out)
 
@@ -248,12 +272,16 @@ def _by_token(parts: int):
 
 
 def _possible(r: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which pairs of one shingle's group pass the length and position filters and the second order's."""
+    """Which pairs of one shingle's group pass the filters by length, position, second order and bitmap."""
     a, b = r["size"][i].astype(I64), r["size"][j].astype(I64)
     pa_, pb = r["pos"][i].astype(I64), r["pos"][j].astype(I64)
     need = -(-num * (a + b) // (num + den))
     most = np.minimum(pa_, pb) + np.minimum(a - pa_, b - pb)
-    return (need <= np.minimum(np.minimum(a, b), most)) & ((r["sig"][i] & r["sig"][j]) != 0).any(-1)
+    keep = np.flatnonzero((need <= np.minimum(np.minimum(a, b), most)) & ((r["sig"][i] & r["sig"][j]) != 0).any(-1))
+    apart = np.bitwise_count(r["bits"][i[keep]] ^ r["bits"][j[keep]]).sum(-1, dtype=I64)
+    out = np.zeros(len(i), bool)
+    out[keep[apart <= (a + b - 2 * need)[keep]]] = True
+    return out
 
 
 def _pairs(a: np.ndarray, b: np.ndarray):
@@ -303,8 +331,8 @@ def _across(num: int, den: int):
             rest = np.flatnonzero(number != np.bincount(number).argmax())
             is_rest = np.zeros(e - s, bool)
             is_rest[rest] = True
-            for at in range(0, len(rest), max(1, 500_000 // (e - s))):
-                u = rest[at : at + max(1, 500_000 // (e - s))]
+            for at in range(0, len(rest), max(1, 100_000 // (e - s))):
+                u = rest[at : at + max(1, 100_000 // (e - s))]
                 ok = (number[u][:, None] != number[None, :]) & (~is_rest[None, :] | (np.arange(e - s)[None, :] > u[:, None]))
                 i, j = np.nonzero(ok)
                 i, j = u[i] + s, j + s
@@ -321,6 +349,24 @@ def _across(num: int, den: int):
     return run
 
 
+def _near(num: int, den: int):
+    """The pairs whose whole bitmaps still allow the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
+            a, b = col["size_a"].to_numpy(), col["size_b"].to_numpy()
+            most = a + b - 2 * -(-num * (a + b) // (num + den))
+            keep = []
+            for x, y, m in zip(col["big_a"].to_pylist(), col["big_b"].to_pylist(), most.tolist()):
+                size = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()) <= m)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([col["cls_a"].filter(keep), col["cls_b"].filter(keep)], ["cls_a", "cls_b"])
+
+    return run
+
+
 def _verify(n: int, num: int, den: int):
     """The pairs of texts whose sets are similar enough."""
 
@@ -357,20 +403,23 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     blob = "bucket int, token binary, cls binary, pos binary, size binary, ord int"
     found = tx.deal(named.mapInArrow(_prefixes(n, num, den, ranks, parts), blob), parts).mapInArrow(_shared(parts), blob)
     inc = tx.table(tx.deal(found, parts).mapInArrow(_both, _INC), "prefixes")
-    chosen = reps.join(inc.select("cls"), F.col("d1") == F.col("cls")).select("cls", "rep")
-    texts = tx.table(chosen.join(docs, F.col("rep") == F.col("doc_id")).select("cls", "rep", "text"), "texts")
 
     def verified(labelled: DataFrame, step) -> DataFrame:
-        wide = "bucket int, token binary, cls binary, pos binary, size binary, sig binary, label binary"
-        cand = tx.deal(labelled.mapInArrow(_by_token(parts), wide), parts).mapInArrow(step(num, den), "a long, b long").distinct()
+        wide = "bucket int, token binary, cls binary, pos binary, size binary, sig binary, bits binary, label binary"
+        cand = tx.deal(labelled.drop("big").mapInArrow(_by_token(parts), wide), parts).mapInArrow(step(num, den), "a long, b long").distinct()
+        whole = lambda k: inc.select(F.col("cls").alias(f"cls_{k}"), F.col("size").alias(f"size_{k}"), F.col("big").alias(f"big_{k}"))
+        cand = cand.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b")).join(whole("b"), "cls_b").join(whole("a"), "cls_a")
+        cand = tx.table(cand.mapInArrow(_near(num, den), "cls_a long, cls_b long"), "pairs")
+        chosen = tx.table(reps.join(cand.select(F.col("cls_a").alias("d1")).union(cand.select("cls_b")).distinct(), "d1").select(F.col("d1").alias("cls"), "rep"), "chosen")
+        texts = chosen.join(tx.only(docs.where("doc_id is not null"), tx.wanted(chosen.select("rep"))), F.col("rep") == F.col("doc_id")).select("cls", "rep", "text")
         side = lambda k: texts.select(F.col("cls").alias(f"cls_{k}"), F.col("rep").alias(k), F.col("text").alias(f"text_{k}"))
-        both = cand.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b")).join(side("b"), "cls_b").join(side("a"), "cls_a")
+        both = cand.join(side("b"), "cls_b").join(side("a"), "cls_a")
         return both.select("cls_a", "cls_b", "a", "b", "text_a", "text_b").mapInArrow(_verify(n, num, den), "cls_a long, cls_b long, a long, b long").distinct()
 
-    stars = verified(inc.withColumn("label", F.col("cls")), _stars).checkpoint()
+    stars = tx.table(verified(inc.withColumn("label", F.col("cls")), _stars), "stars")
     label = components(stars.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
     labelled = inc.join(label.select(F.col("id").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    rest = verified(labelled, _across).checkpoint()
+    rest = tx.table(verified(labelled, _across), "rest")
     comp = components(stars.select("a", "b").union(rest.select("a", "b")).union(_same_id(sizes, reps)))
     out = sizes.join(reps, ["d1", "d2"], "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
