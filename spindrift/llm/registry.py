@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from spindrift.llm import _text, ann, decontaminate, html_extract, jaccard_join, lang_id, sentencepiece_codec, suffix_dedup, token_counts, warc
+from spindrift.llm import _text, ann, decontaminate, html_extract, jaccard_join, lang_id, licenses, sentencepiece_codec, suffix_dedup, token_counts, warc
 
 
 def _prepared(query):
@@ -18,6 +18,7 @@ def _prepared(query):
 
 _ALL = (
     decontaminate.op1_decontaminate,
+    licenses.op2_license_scan,
     warc.op3_warc,
     ann.op4_nearest_neighbours,
     token_counts.op5_token_counts,
