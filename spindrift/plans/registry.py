@@ -2,5 +2,124 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.operators import fingerprints, hierarchy, snapshots, terms, vectors
+from spindrift.streaming import windows
+
+LEAST = 0.15
+APART = 15
+GAMMA = 0.5
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def group_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean of each component of the vectors of a label."""
+    out = vectors.group_centroids(_table(spark, folder, "embeddings"), "label", "embedding")
+    return out.select("label", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
+    items = _table(spark, folder, "embeddings")
+    return vectors.similarities(items, "vec_id", "embedding", vectors.centroid_vectors(items, "label", "embedding"), "label")
+
+
+def centroid_zscores(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine of every vector with every label's centroid, standardised within the label."""
+    return vectors.standardised(_scores(spark, folder), "label").select("vec_id", "label", F.round("sim", 6).alias("sim"), F.round("z", 5).alias("z"))
+
+
+def nearest_centroid_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many vectors are nearest to each label's centroid, and how many near none (label null)."""
+    best = vectors.best_group(_scores(spark, folder), "vec_id", "label", "sim", LEAST)
+    return best.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def hamming_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors whose sign fingerprints are at most 15 bits apart."""
+    prints = _table(spark, folder, "embeddings").select("vec_id", fingerprints.sign_fingerprint("embedding").alias("h"))
+    return fingerprints.hamming_pairs(prints, "vec_id", "h", APART)
+
+
+def linear_mmd(spark: SparkSession, folder: str) -> DataFrame:
+    """Linear-time discrepancy between the vectors with a positive first component and the others."""
+    out = vectors.linear_mmd(_table(spark, folder, "embeddings"), "vec_id", "embedding", F.get("embedding", F.lit(0)) > 0, GAMMA)
+    return out.select("n_pairs", F.round("mmd2", 6).alias("mmd2"))
+
+
+def language_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten words that tell each language's documents from the others'."""
+    return terms.group_terms(_table(spark, folder, "documents"), "lang", "text", 10).select("lang", "rank", "term", "n_texts", F.round("weight", 6).alias("weight"))
+
+
+def snapshot_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's last event value in the first half of the events against that in the second half."""
+    events = _table(spark, folder, "events")
+
+    def last(part: DataFrame) -> DataFrame:
+        return part.groupBy("user_id").agg(F.max("event_id").alias("version"))
+
+    return snapshots.reconcile(last(events.where("event_id % 2 = 0")), last(events.where("event_id % 3 = 0")), "user_id", "version")
+
+
+def hourly_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events and their values by hour and kind."""
+    return windows.event_windows(_table(spark, folder, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def label_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Ward merges of the labels' centroids, weighted by their sizes; labels are a bounded set."""
+    items = _table(spark, folder, "embeddings")
+    means = vectors.group_centroids(items, "label", "embedding").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("s"))
+    rows = means.join(items.groupBy("label").agg(F.count("*").alias("n")), "label").orderBy("label").limit(hierarchy.MOST_POINTS + 1).collect()
+    merges = hierarchy.ward([[x["value"] for x in r["s"]] for r in rows], [r["n"] for r in rows]) if rows else []
+    return spark.createDataFrame([(i, a, b, round(h, 6), int(w)) for i, (a, b, h, w) in enumerate(merges)], "step int, low int, high int, height double, n long")
+
+
+def source_treemap(spark: SparkSession, folder: str) -> DataFrame:
+    """Rectangles of the 50 largest sources of documents on a 900 x 380 sheet."""
+    rows = _table(spark, folder, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(50).collect()
+    boxes = hierarchy.treemap([r["n"] for r in rows], 900.0, 380.0)
+    return spark.createDataFrame([(r["source"], r["n"], *[round(v, 4) for v in b]) for r, b in zip(rows, boxes)], "source string, n long, x double, y double, w double, h double")
+
+
+_ALL = (group_centroids, centroid_zscores, nearest_centroid_counts, hamming_pairs, linear_mmd, language_terms, snapshot_changes, hourly_events, label_tree, source_treemap)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_MEANS = """
+each AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+means AS (SELECT label, pos, avg(x) AS value FROM each GROUP BY label, pos)"""
+_SCORES = f"""{_MEANS},
+norms AS (SELECT label, sqrt(sum(value * value)) AS norm FROM means GROUP BY label),
+units AS (SELECT label, pos, value / norm AS value FROM means JOIN norms USING (label)),
+size AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM each GROUP BY vec_id),
+scores AS (SELECT e.vec_id, u.label, sum(e.x * u.value) / any_value(s.norm) AS sim FROM each e JOIN units u ON e.pos = u.pos JOIN size s ON s.vec_id = e.vec_id GROUP BY e.vec_id, u.label)"""
+_PRINTS = "SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings"
+_KERNEL = "exp(-0.5 * list_sum(list_transform(list_zip({0}, {1}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+ORACLES = {
+    "group_centroids": f"WITH {_MEANS} SELECT label, pos, round(value, 6) AS value FROM means",
+    "centroid_zscores": f"""WITH {_SCORES}, stats AS (SELECT label, avg(sim) AS m, stddev_pop(sim) AS sd FROM scores GROUP BY label)
+SELECT vec_id, label, round(sim, 6) AS sim, round(CASE WHEN sd > 0 THEN (sim - m) / sd ELSE 0 END, 5) AS z FROM scores JOIN stats USING (label)""",
+    "nearest_centroid_counts": f"""WITH {_SCORES}, best AS (SELECT vec_id, label, sim, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS r FROM scores)
+SELECT CASE WHEN sim >= {LEAST} THEN label END AS label, count(*) AS n FROM best WHERE r = 1 GROUP BY 1""",
+    "hamming_pairs": f"""WITH p AS ({_PRINTS}), d AS (SELECT a.vec_id AS a, b.vec_id AS b, len(list_filter(list_zip(a.s, b.s), lambda x: x[1] <> x[2])) AS distance FROM p a JOIN p b ON a.vec_id < b.vec_id)
+SELECT a, b, CAST(distance AS INTEGER) AS distance FROM d WHERE distance <= {APART}""",
+    "linear_mmd": f"""WITH s AS (SELECT embedding[1] > 0 AS first, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY embedding[1] > 0 ORDER BY vec_id) - 1 AS r FROM embeddings),
+q AS (SELECT first, r // 2 AS q, max(CASE WHEN r % 2 = 0 THEN v END) AS v1, max(CASE WHEN r % 2 = 1 THEN v END) AS v2 FROM s GROUP BY first, r // 2 HAVING count(*) = 2)
+SELECT count(*) AS n_pairs, round(avg({_KERNEL.format('x.v1', 'x.v2')} + {_KERNEL.format('y.v1', 'y.v2')} - {_KERNEL.format('x.v1', 'y.v2')} - {_KERNEL.format('x.v2', 'y.v1')}), 6) AS mmd2
+FROM q x JOIN q y ON x.q = y.q AND x.first AND NOT y.first""",
+    "language_terms": """WITH w AS (SELECT DISTINCT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS term FROM documents),
+c AS (SELECT lang, term, count(*) AS n_texts FROM w WHERE length(term) > 2 GROUP BY lang, term),
+z AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang), g AS (SELECT term, count(*) AS n_groups FROM c GROUP BY term),
+t AS (SELECT lang, term, n_texts, round(n_texts / size * ln((SELECT count(*) FROM z) / n_groups), 9) AS weight FROM c JOIN z USING (lang) JOIN g USING (term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS rank FROM t)
+SELECT lang, CAST(rank AS INTEGER) AS rank, term, n_texts, round(weight, 6) AS weight FROM r WHERE rank <= 10""",
+    "snapshot_changes": """WITH a AS (SELECT user_id, max(event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY user_id), b AS (SELECT user_id, max(event_id) AS v FROM events WHERE event_id % 3 = 0 GROUP BY user_id)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'added' WHEN b.user_id IS NULL THEN 'removed' WHEN a.v IS DISTINCT FROM b.v THEN 'modified' ELSE 'kept' END AS status
+FROM a FULL JOIN b ON a.user_id = b.user_id""",
+    "hourly_events": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+}
