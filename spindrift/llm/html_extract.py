@@ -130,7 +130,7 @@ def parse(page: str) -> Node:
         if cut == size:
             break
         found = _TAG.match(page, cut)
-        if not found:
+        if not found or found.end() == size and page[-1] != ">" and size - cut < 3:  # no markup, or cut off before a name
             if not skip:
                 node.children.append("<")
             at = cut + 1
@@ -327,8 +327,8 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     nodes = measure(root)
     core = max(nodes, key=lambda x: x.total)
-    if not core.total:
-        return ""
+    if not core.total:  # next to no text, or links alone: no density to go by
+        return "\n\n".join(blocks(next((x for x in nodes if x.tag == "article"), next((x for x in nodes if x.tag == "main"), root))))
     threshold, up = core.density, core
     while up:
         threshold = min(threshold, up.density)
