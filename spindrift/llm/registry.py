@@ -29,4 +29,4 @@ _ALL = (
     lang_id.op10_language_id,
 )
 QUERIES = {f.__name__: _prepared(f) for f in _ALL}
-ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL}
+ORACLES: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op8_suffix_dedup": suffix_dedup.OP8_SQL, "op9_jaccard_join": jaccard_join.OP9_SQL}

@@ -275,7 +275,7 @@ def _spread(length: int, parts: int, splitters: np.ndarray):
                 ctx = np.lib.stride_tricks.sliding_window_view(pad, 2 * length - K)[at]
                 held.append([ctx, np.minimum(left, at).astype(np.uint16), np.minimum(length, len(raw) - at).astype(np.uint16), np.full(m, doc[k], I64), np.full(m, uid[k], I64), pos])
                 count += m
-                if count > 50_000:
+                if count * (2 * length - K) > 6 << 20:
                     yield from flush()
                     count = 0
         if held:
@@ -284,11 +284,12 @@ def _spread(length: int, parts: int, splitters: np.ndarray):
     return run
 
 
-def equal_runs(words: np.ndarray, row: np.ndarray, col: np.ndarray, depth: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of suffixes, eight bytes being a character: (suffix numbers, run numbers) of those that agree with another one in ``depth`` bytes and in group."""
-    at = np.arange(len(row))
+def equal_runs(data: np.ndarray, place: np.ndarray, depth: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of the suffixes of data (bytes) at the given places, eight bytes being a character: (suffix numbers, run numbers) of those that agree with another one in ``depth`` bytes and in group."""
+    word = np.ndarray((len(data) - 7,), ">u8", data.data, 0, (1,))
+    at = np.arange(len(place))
     for step in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
-        key = words[row[at], col[at] + step]
+        key = word[place[at] + step].astype(U64)
         order = np.lexsort((key, group))
         at, group, key = at[order], group[order], key[order]
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
@@ -300,56 +301,82 @@ def equal_runs(words: np.ndarray, row: np.ndarray, col: np.ndarray, depth: int,
     return at, group
 
 
+def _hash_columns(x: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    wide = np.zeros((len(x), -(-x.shape[1] // 8) * 8), np.uint8)
+    wide[:, : x.shape[1]] = x
+    h = np.zeros(len(x), U64)
+    for k, w in enumerate(wide.view("<u8").T):
+        h = (h ^ (h >> U64(31))) * U64(0x9E3779B97F4A7C15) + tx.mix(w.astype(U64) + U64(k))
+    return tx.mix(h)
+
+
 def _sort_bucket(length: int, parts: int):
-    """Step 3, receiving: sorts the suffixes of a range and marks the strings that an earlier document has."""
+    """Step 3, receiving: sorts the suffixes of a range and marks the strings that an earlier document has.
+
+    A string around an anchor reaches at least half of the way it can to one side, so its suffixes
+    need sorting only among contexts that agree on that half.
+    """
     left, width = length - K, 2 * length - K
+    half = left // 2
 
     def run(batches):
         r = tx.unpack(batches, _suffix_kinds(length))
-        if not len(r["doc"]):
+        m = len(r["doc"])
+        if not m:
             return
-        a, b = (np.ascontiguousarray(r["ctx"][:, left + i : left + i + 8]).view(">u8").reshape(-1) for i in (0, 8))
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        start = np.append(np.flatnonzero(new), len(a))
-        at = 0
-        most = max(1, _SORTED // (left + 1))
-        while at < len(start) - 1:
-            to = max(at + 1, int(np.searchsorted(start, start[at] + most, "right")) - 1)
-            own = order[start[at] : start[to]]
-            gram = np.cumsum(new[start[at] : start[to]])
-            yield from solve({k: v[own] for k, v in r.items()}, gram)
-            at = to
-
-    def solve(r, gram):
-        m = len(gram)
-        ctx = np.ascontiguousarray(r["ctx"])
-        words = np.lib.stride_tricks.sliding_window_view(ctx, 8, axis=1)[:, :, ::-1]
-        words = np.ascontiguousarray(words).view("<u8").reshape(m, width - 7)
+        r["ctx"] = np.ascontiguousarray(r["ctx"])
+        for low, high, begin, end, whole in ((0, half, left, left + length - half, r["after"] >= length - half), (half + 1, left, left - half - 1, left + K, r["before"] >= half + 1)):
+            rows = np.flatnonzero(whole)
+            key = np.concatenate([np.zeros(0, U64), *[_hash_columns(r["ctx"][rows[i : i + 20_000], begin:end]) for i in range(0, len(rows), 20_000)]])
+            order = np.argsort(key, kind="stable")
+            rows, key = rows[order], key[order]
+            if not len(rows):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            doc = r["doc"][rows]
+            shared = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+            size = np.diff(np.append(start, len(rows)))
+            rows, group = rows[np.repeat(shared, size)], np.repeat(np.arange(shared.sum()), size[shared])
+            bound = np.append(np.cumsum(size[shared]) - size[shared], len(rows))
+            at, most = 0, max(1, _SORTED // (high - low + 1))
+            while at < len(bound) - 1:
+                to = max(at + 1, int(np.searchsorted(bound, bound[at] + most, "right")) - 1)
+                own, names = rows[bound[at] : bound[to]], group[bound[at] : bound[to]]
+                step = max(1, _SORTED // len(own))  # a large group goes by a few offsets at a time: equal strings have equal ones
+                for o in range(low, high + 1, step):
+                    yield from solve({k: r[k][own] for k in r}, names, o, min(high, o + step - 1))
+                at = to
+        r.clear()
+        tx.lean()
+
+    def solve(r, group, low, high):
+        m = len(group)
         before, after = r["before"].astype(I64), r["after"].astype(I64)
-        low = np.maximum(0, length - after)  # offsets of strings that lie within the text
-        count = np.maximum(0, before - low + 1)
+        least, most = np.maximum(low, length - after), np.minimum(high, before)  # offsets of strings that lie within the text
+        count = np.maximum(0, most - least + 1)
         row = np.repeat(np.arange(m), count)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
-        at, run_ = equal_runs(words, row, left - offset, length, gram[row] * (left + 1) + offset)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + least[row]
+        if not len(row):
+            return
+        data = np.ascontiguousarray(r["ctx"]).reshape(-1)
+        at, run_ = equal_runs(data, row * width + left - offset, length, group[row] * (left + 1) + offset)
         if not len(at):
             return
         cut = np.flatnonzero(np.concatenate([[True], run_[1:] != run_[:-1]]))
         doc = r["doc"][row[at]]
-        least = np.minimum.reduceat(doc, cut)
-        gone = at[doc > np.repeat(least, np.diff(np.append(cut, len(at))))]
+        first = np.minimum.reduceat(doc, cut)
+        gone = at[doc > np.repeat(first, np.diff(np.append(cut, len(at))))]
         if not len(gone):
             return
-        hit = np.zeros((m, left + 3), np.int8)
-        hit[row[gone], offset[gone] + 1] = 1
+        hit = np.zeros((m, high - low + 3), np.int8)
+        hit[row[gone], offset[gone] - low + 1] = 1
         edge = np.diff(hit, axis=1)
-        r1, first = np.nonzero(edge == 1)
-        r2, last = np.nonzero(edge == -1)
-        pos = r["pos"].astype(I64)
-        begin, end = pos[r1] - (last - 1), pos[r1] - first + length
+        r1, a = np.nonzero(edge == 1)
+        _, b = np.nonzero(edge == -1)
+        pos = r["pos"].astype(I64)[r1]
         uid = r["uid"][r1]
-        yield from tx.blocks(tx.bucket_of(tx.mix(uid.view(U64)), parts), {"uid": uid, "begin": begin.astype(np.uint32), "end": end.astype(np.uint32)})
+        yield from tx.blocks(tx.bucket_of(tx.mix(uid.view(U64)), parts), {"uid": uid, "begin": (pos - (low + b - 1)).astype(np.uint32), "end": (pos - (low + a) + length).astype(np.uint32)})
 
     return run
 
@@ -495,3 +522,16 @@ def repeat_digests(docs: DataFrame, length: int = 50) -> DataFrame:
     found = mark_repeats(with_uid(docs), length).mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     text = F.coalesce("text", F.lit("")).cast("binary")
     return found.union(docs.where("doc_id is null").select("doc_id", F.octet_length(text).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2(text, 256)))
+
+
+#: Every byte string as two hexadecimal digits a byte.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS i, unnest(list_transform(range(0, length(h) // 2), lambda i: substr(h, 2 * i + 1, 100))) AS w FROM d),
+f AS (SELECT doc_id, i, substr(w, 1, 2) AS b, CASE WHEN length(w) = 100 AND min(doc_id) OVER (PARTITION BY w) < doc_id THEN 1 ELSE 0 END AS start FROM p),
+c AS (SELECT doc_id, i, b, max(start) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+g AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c),
+t AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, count(*) FILTER (gone = 1 AND before = 0) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (gone = 0), '') AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
