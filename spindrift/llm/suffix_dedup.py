@@ -17,6 +17,8 @@ so suffixes are sorted only where a repeat is possible and undecided:
    multikey quicksort, eight bytes at a time and only among ties. Runs that agree in ``length``
    bytes give the smallest document; real bytes are compared here. A splitter never parts equal
    leading bytes: all of an anchor's suffixes meet in one bucket, so no run crosses a boundary.
+   Hot grams, found in the same bounded sample, would fill a task: their records are spread by
+   context in step 2, taken as undecided, and sorted where half of their context is equal.
 4. Marks go back to their documents, whose compressed texts are shuffled once for both uses.
 
 Defined cases: null or empty text: 0 bytes, nothing removed. Null doc_id: its row is returned with
@@ -62,6 +64,17 @@ def _slide(x: np.ndarray, width: int, f: Callable) -> np.ndarray:
     return f(x[: len(x) - (width - step)], x[width - step :]) if step < width else x
 
 
+def _gram_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of 16 bytes, given as two little-endian words; neither 0 nor the largest value."""
+    h = first * U64(0x9E3779B97F4A7C15) + (second ^ (second >> U64(29))) * U64(0xD6E8FEB86659FD93)
+    h ^= h >> U64(32)
+    h *= U64(0xBF58476D1CE4E5B9)
+    h ^= h >> U64(29)
+    np.minimum(h, U64(2**64 - 2), out=h)
+    h += U64(1)
+    return h
+
+
 def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Position, gram hash and text number of each anchor."""
     n = len(raw)
@@ -71,12 +84,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     width = length - K + 1
     w = _words8(raw, 16)
     first, second = w[16 : 16 + n], w[24 : 24 + n]
-    h = first * U64(0x9E3779B97F4A7C15) + (second ^ (second >> U64(29))) * U64(0xD6E8FEB86659FD93)
-    h ^= h >> U64(32)
-    h *= U64(0xBF58476D1CE4E5B9)
-    h ^= h >> U64(29)
-    np.minimum(h, U64(2**64 - 2), out=h)
-    h += U64(1)
+    h = _gram_hash(first, second)
     end = np.repeat(off[1:], np.diff(off))
     room = end - np.arange(n)
     h[room < K] = U64(2**64 - 1)
@@ -122,8 +130,8 @@ _A = "bucket int, gram binary, ctx binary, doc binary, uid binary, lo binary, hi
 FULL, PART = 1, 2
 
 
-def _screen(length: int, parts: int, same: bool):
-    """Step 1. same: uid is doc_id and doesn't travel twice."""
+def _screen(length: int, parts: int, same: bool, hot: np.ndarray):
+    """Step 1. same: uid is doc_id and doesn't travel twice. hot: common grams, whose records are spread by context."""
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -137,7 +145,7 @@ def _screen(length: int, parts: int, same: bool):
             later = d != d[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
             known = np.zeros(len(g), bool)
             known[order] = later
-            yield from send(gram, ctx, doc, uid, pos, ~known, tx.bucket_of(tx.mix(gram), parts), False)  # anchors have small hashes: mixed once more they spread evenly
+            yield from send(gram, ctx, doc, uid, pos, ~known, tx.bucket_of(tx.mix(np.where(np.isin(gram, hot), gram ^ tx.mix(ctx), gram)), parts), False)  # anchors have small hashes: mixed once more they spread evenly
             yield from send(gram, ctx, doc, uid, pos, known, tx.bucket_of(tx.mix(uid.view(U64)), parts), True)
             held.clear()
 
@@ -174,8 +182,9 @@ def _marks(uid, pos, kind, parts):
     return tx.blocks(tx.bucket_of(tx.mix(uid.view(U64)), parts), {"uid": uid, "pos": pos.astype(np.uint32), "kind": kind})
 
 
-def _decide(parts: int, same: bool):
-    """Step 2: marks for anchors whose context an earlier document has, and for those whose suffixes must be sorted."""
+def _decide(parts: int, same: bool, hot: np.ndarray):
+    """Step 2: marks for anchors whose context an earlier document has, and for those whose suffixes must be sorted. Hot grams have several contexts."""
+    hot = hot & U64((1 << 40) - 1)
 
     def run(batches):
         own = []
@@ -203,7 +212,7 @@ def _decide(parts: int, same: bool):
         start = np.flatnonzero(new_gram)
         number = np.cumsum(new_gram) - 1
         several = (np.add.reduceat(new_ctx.astype(I64), start) > 1) & (np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))
-        part = ~later & several[number]
+        part = ~later & (several[number] | np.isin(gram, hot))
         for keep, kind in ((later, FULL), (part, PART)):
             if keep.any():
                 yield from _marks(uid[keep], pos[keep], np.full(int(keep.sum()), kind, np.uint8), parts)
@@ -249,8 +258,15 @@ def _suffix_kinds(length: int) -> dict:
     return {"ctx": (np.uint8, (2 * length - K,)), "before": (np.uint16, ()), "after": (np.uint16, ()), "doc": (I64, ()), "uid": (I64, ()), "pos": (np.uint32, ())}
 
 
-def _spread(length: int, parts: int, splitters: np.ndarray):
-    """Step 3, sending: the bytes around each undecided anchor, to the range that its leading bytes fall in."""
+def _halves(length: int) -> tuple:
+    """Columns of a context that strings share if they reach far to the right, or far to the left, of the anchor."""
+    left = length - K
+    half = left // 2
+    return (left, left + length - half), (left - half - 1, left + K)
+
+
+def _spread(length: int, parts: int, splitters: np.ndarray, hot: np.ndarray):
+    """Step 3, sending: the bytes around each undecided anchor, to the range that its leading bytes fall in; around a hot gram, to where the right half leads and to where the left half leads."""
     left = length - K
 
     def run(batches):
@@ -263,6 +279,14 @@ def _spread(length: int, parts: int, splitters: np.ndarray):
             lead = np.ascontiguousarray(ctx[:, left : left + 8]).view(">u8").reshape(-1).astype(U64)
             bucket = np.searchsorted(splitters, lead, "right").astype(np.int32)
             held.clear()
+            if len(hot):
+                first, second = (np.ascontiguousarray(ctx[:, left + i : left + i + 8]).view("<u8").reshape(-1).astype(U64) for i in (0, 8))
+                common = np.flatnonzero(np.isin(_gram_hash(first, second), hot))
+                rest = np.delete(np.arange(len(ctx)), common)
+                homes = [tx.bucket_of(_hash_columns(ctx[common, a:b]), parts) for a, b in _halves(length)]
+                order = np.concatenate([rest, common, common])
+                bucket = np.concatenate([bucket[rest], *homes])
+                ctx, before, after, doc, uid, pos = (x[order] for x in (ctx, before, after, doc, uid, pos))
             return tx.blocks(bucket, {"ctx": ctx, "before": before, "after": after, "doc": doc, "uid": uid, "pos": pos})
 
         for batch in batches:
@@ -326,7 +350,8 @@ def _sort_bucket(length: int, parts: int):
         if not m:
             return
         r["ctx"] = np.ascontiguousarray(r["ctx"])
-        for low, high, begin, end, whole in ((0, half, left, left + length - half, r["after"] >= length - half), (half + 1, left, left - half - 1, left + K, r["before"] >= half + 1)):
+        right, before = _halves(length)
+        for low, high, (begin, end), whole in ((0, half, right, r["after"] >= length - half), (half + 1, left, before, r["before"] >= half + 1)):
             rows = np.flatnonzero(whole)
             key = np.concatenate([np.zeros(0, U64), *[_hash_columns(r["ctx"][rows[i : i + 20_000], begin:end]) for i in range(0, len(rows), 20_000)]])
             order = np.argsort(key, kind="stable")
@@ -451,8 +476,8 @@ def _keep_text(length: int, rest: list[str]):
     return run
 
 
-def _splitters(docs: DataFrame, length: int, parts: int) -> np.ndarray:
-    """parts - 1 leading eight-byte values that part a sample evenly: anchors of about SAMPLED_DOCS texts, SAMPLED_EACH of a text."""
+def _sampled(docs: DataFrame, length: int, parts: int, hot_from: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """From anchors of about SAMPLED_DOCS texts, SAMPLED_EACH of a text: at most parts - 1 leading eight-byte values that part them evenly, and the hot grams, those that make up an eighth of a partition's share and occur 8 times at least, or else ``hot_from`` times. The sample bears on balance alone, not on the result."""
 
     def run(batches):
         for _, raw, off in tx.pieces(batches, "text", _PIECE):
@@ -460,18 +485,21 @@ def _splitters(docs: DataFrame, length: int, parts: int) -> np.ndarray:
             order = np.lexsort((gram, doc))
             rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
             chosen = at[order][rank < SAMPLED_EACH]
-            yield pa.RecordBatch.from_arrays([pa.array([_words8(raw, 16)[16:][chosen].astype("<u8").view(np.uint8).reshape(-1, 8)[:, ::-1].tobytes()], pa.binary())], ["leads"])
+            leads = _words8(raw, 16)[16:][chosen].astype("<u8").view(np.uint8).reshape(-1, 8)[:, ::-1]
+            yield pa.RecordBatch.from_arrays([pa.array([leads.tobytes()], pa.binary()), pa.array([gram[order][rank < SAMPLED_EACH].tobytes()], pa.binary())], ["leads", "grams"])
 
     total = docs.count()
     chosen = docs.where(F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(max(1, total // SAMPLED_DOCS))) == 0).select("text")
-    leads = np.concatenate([np.zeros(0, U64), *[np.frombuffer(bytes(r["leads"]), "<u8") for r in chosen.mapInArrow(run, "leads binary").collect()]])
+    rows = chosen.mapInArrow(run, "leads binary, grams binary").collect()
+    leads, grams = (np.concatenate([np.zeros(0, U64), *[np.frombuffer(bytes(r[c]), "<u8").astype(U64) for r in rows]]) for c in ("leads", "grams"))
     if not len(leads):
-        return leads
+        return leads, grams
     leads.sort()
-    return np.unique(leads[(np.arange(1, parts) * len(leads)) // parts])
+    grams, count = np.unique(grams, return_counts=True)
+    return np.unique(leads[(np.arange(1, parts) * len(leads)) // parts]), grams[count >= (hot_from or max(8, len(leads) / (8 * parts)))]
 
 
-def mark_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def mark_repeats(docs: DataFrame, length: int = 50, hot_from: int | None = None) -> DataFrame:
     """(uid, doc_id, n_bytes, z, full, spans) of the rows of (uid, doc_id, text), and the columns that follow those; uid identifies a row and is doc_id where that is unique."""
     if length < 24:
         raise ValueError("strings of fewer than 24 bytes aren't supported")
@@ -480,14 +508,14 @@ def mark_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     same = not docs.where("uid != doc_id").head(1)
     fine = 2 * parts
     texts = docs.select("uid", "doc_id", "text")
-    found = tx.deal(texts.mapInArrow(_screen(length, fine, same), _A), fine).mapInArrow(_decide(parts, same), "bucket int, uid binary, pos binary, kind binary")
+    splitters, hot = _sampled(texts, length, fine, hot_from)
+    found = tx.deal(texts.mapInArrow(_screen(length, fine, same, hot), _A), fine).mapInArrow(_decide(parts, same, hot), "bucket int, uid binary, pos binary, kind binary")
     marks = tx.table(tx.deal(found, parts).mapInArrow(_rows_by_uid, "uid long, full binary, part binary"), "marks")
-    splitters = _splitters(texts, length, parts)
     shape = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("z", T.BinaryType()), *docs.schema.fields[3:]])
     packed = docs.mapInArrow(_pack, shape).where("uid is not null").repartition(parts, "uid")
     open_ = packed.join(marks.where("part is not null").select("uid", "part").hint("shuffle_merge"), "uid")
     blob = "bucket int, ctx binary, before binary, after binary, doc binary, uid binary, pos binary"
-    spread = tx.deal(open_.mapInArrow(_spread(length, parts, splitters), blob), parts)
+    spread = tx.deal(open_.mapInArrow(_spread(length, fine, splitters, hot), blob), fine)
     spans = tx.deal(spread.mapInArrow(_sort_bucket(length, parts), "bucket int, uid binary, begin binary, end binary"), parts).mapInArrow(_spans_by_uid, "uid long, spans binary")
     return packed.join(marks.select("uid", "full").hint("shuffle_merge"), "uid", "left").join(spans.hint("shuffle_merge"), "uid", "left")
 
@@ -517,9 +545,9 @@ def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeat_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def repeat_digests(docs: DataFrame, length: int = 50) -> DataFrame:
+def repeat_digests(docs: DataFrame, length: int = 50, hot_from: int | None = None) -> DataFrame:
     """What is removed of each row of (doc_id, text), and the digest of what is left."""
-    found = mark_repeats(with_uid(docs), length).mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = mark_repeats(with_uid(docs), length, hot_from).mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     text = F.coalesce("text", F.lit("")).cast("binary")
     return found.union(docs.where("doc_id is null").select("doc_id", F.octet_length(text).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2(text, 256)))
 

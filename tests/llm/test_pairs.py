@@ -49,6 +49,12 @@ def test_suffix(spark, length):
     assert got == {i: v[:4] for i, v in h.repeats(rows, length).items()}
 
 
+def test_suffix_with_every_gram_hot(spark):
+    rows = h.corpus(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digests(h.frame(spark, rows).select("doc_id", "text"), 50, hot_from=1).collect()}
+    assert got == {i: v[:4] for i, v in h.repeats(rows, 50).items()}
+
+
 def test_suffix_repeated_and_null_ids(spark):
     t, u = "abcdefghij" * 8, "the quick brown fox jumps over the lazy dog and runs off again"
     rows = [(3, t), (3, t), (3, u), (None, t), (4, t + u), (2, None)]
