@@ -6,7 +6,8 @@ own names; those of the attempts that succeeded are in the returned manifest, an
 Of records with equal payloads of at least ``revisit_from`` bytes the one with the smallest id is a
 response, the others are revisits (identical-payload-digest) that refer to it.
 
-``read_warc`` takes archives as Spark's binaryFile source gives them (any store that Spark reads),
+``read_warc`` lists archives with Spark's binaryFile source and opens each in its task, one at a
+time, through ``pyarrow.fs``, or where that doesn't know the store takes Spark's bytes; archives are
 plain or gzipped. A record counts if its member unpacks (gzip's own checksum and length), its version
 line, header lines and Content-Length hold, it ends in two line ends, and its block and payload
 digests, where given, are right. After a failed check the reader looks for the next place where a
@@ -189,12 +190,13 @@ def _member(data: bytes, at: int) -> tuple[bytes | None, int, str]:
     """(content, end, reason) of the gzip member at a place."""
     unpacker = zlib.decompressobj(31)
     out = []
-    step = 1 << 20
+    step = 1 << 11  # members are small as a rule
     place = at
     try:
         while not unpacker.eof and place < len(data):
             out.append(unpacker.decompress(data[place : place + step]))
             place += step
+            step = min(2 * step, 1 << 20)
     except zlib.error as error:
         return None, at, f"gzip: {error}"
     if not unpacker.eof:
@@ -248,12 +250,37 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
         yield "gap", gap, len(data), reason
 
 
+def _openable(path: str) -> bool:
+    import pyarrow.fs as fs
+
+    try:
+        store, root = fs.FileSystem.from_uri(_uri(path))
+        return store.get_file_info(root).type == fs.FileType.File
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def _uri(path: str) -> str:
+    return re.sub(r"^file:/+", "file:///", path)
+
+
+def _contents(path: str) -> bytes:
+    import pyarrow.fs as fs
+
+    store, root = fs.FileSystem.from_uri(_uri(path))
+    with store.open_input_file(root) as file:
+        return file.read()
+
+
 _READ = "path string, start long, end long, kind string, reason string, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
 
 
 def read_warc(spark, paths, payloads: bool = True) -> DataFrame:
     """A row for each record and each gap of the archives (paths, folders or globs). payloads: whether to return them."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    files = spark.read.format("binaryFile").load(paths)
+    some = files.select("path").head(1)
+    direct = bool(some) and _openable(some[0]["path"])  # then contents needn't pass through the JVM
+    files = files.select("path").repartition(tx.partitions(spark), "path") if direct else files.select("path", "content")
 
     def rows(path, data):
         out = [[] for _ in range(12)]
@@ -275,8 +302,8 @@ def read_warc(spark, paths, payloads: bool = True) -> DataFrame:
         kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), pa.binary()]
         names = [x.split()[0] for x in _READ.split(", ")]
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for out in rows(path, content.as_py()):
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                for out in rows(path, _contents(path) if direct else batch.column(1)[i].as_py()):
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
     return files.mapInArrow(run, _READ)
