@@ -13,8 +13,9 @@ Plan
 2. One scan: prefix shingles of both orders, copies reduced to one within a task. Shingles of one
    class alone fall away, then classes without a shared prefix shingle in either order.
 3. Stars: in each shingle's group the class that has the fewest rarer shingles is the pivot; pivot
-   and member are verified on whole texts (only those texts are fetched, by way of a bitmap of fixed size). Linear in the group, so families of near copies fall
-   into one component without all their pairs.
+   and member are verified on whole texts (only those texts are fetched, by way of a bitmap of fixed
+   size). Pivots are chosen within a batch first and only they go on. Linear in the group, so
+   families of near copies fall into one component without all their pairs.
 4. Rest: pairs of a group that are still in different components and pass the filters by length,
    position, second order and parity bitmap (Sandes et al. 2020: the bitmaps of two sets differ in at
    most |A xor B| bits) are verified too. No link between components is lost, and no cap is used.
@@ -134,9 +135,14 @@ def _prefixes(n: int, num: int, den: int, ranks, parts: int):
             for k in (0, 1):
                 own = [h for h in held if h[0] == k]
                 if own:
-                    cols = [np.concatenate([h[i] for h in own]) for i in range(1, 5)]
-                    for b in tx.blocks(tx.bucket_of(tx.mix(cols[0]), parts), dict(zip(names, cols))):
-                        yield b.append_column("ord", pa.array(np.full(b.num_rows, k, np.int32)))
+                    cols = dict(zip(names, (np.concatenate([h[i] for h in own]) for i in range(1, 5))))
+                    order = np.argsort(cols["token"], kind="stable")
+                    start, end = _groups(cols["token"][order])
+                    several = order[np.repeat(end - start > 1, end - start)]
+                    # Shingles that classes share within this task go to their classes at once, and one record for all to the shingle's partition.
+                    for rows, to, code in ((order[start], tx.bucket_of(tx.mix(cols["token"]), parts), k), (several, tx.bucket_of(tx.mix(cols["cls"].view(U64)), parts), 3 + k)):
+                        for b in tx.blocks(to[rows], {c: v[rows] for c, v in cols.items()}):
+                            yield b.append_column("ord", pa.array(np.full(b.num_rows, code, np.int32)))
             held.clear()
             known.clear()
 
@@ -189,13 +195,13 @@ def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_order(batches) -> tuple[dict[int, list], list]:
-    by: dict[int, list] = {0: [], 1: [], 2: []}
+    by: dict[int, list] = {k: [] for k in range(5)}
     for batch in batches:
         orders = batch.column(batch.schema.get_field_index("ord")).to_numpy()
         for k, own in by.items():
             if (orders == k).any():
                 own.append(batch.filter(pa.array(orders == k)))
-    return by, by.pop(2)
+    return by, by.pop(2)  # the bitmaps
 
 
 def _shared(parts: int):
@@ -203,7 +209,7 @@ def _shared(parts: int):
 
     def run(batches):
         by, bitmaps = _by_order(batches)
-        yield from bitmaps
+        yield from (*bitmaps, *by.pop(3), *by.pop(4))  # on their way to the classes
         for k, own in by.items():
             r = tx.unpack(own, _REC)
             if not len(r["token"]):
@@ -224,7 +230,7 @@ def _shared(parts: int):
 def _both(batches):
     """A row for each class that shares prefix shingles under both orders: those of the first, and a 256-bit signature of the second's."""
     by, bitmaps = _by_order(batches)
-    one, two = tx.unpack(by[0], _REC), tx.unpack(by[1], _REC)
+    one, two = tx.unpack(by[0] + by[3], _REC), tx.unpack(by[1] + by[4], _REC)
     if not len(one["cls"]) or not len(two["cls"]):
         return
     cls, slot = np.unique(two["cls"], return_inverse=True)
@@ -233,7 +239,7 @@ def _both(batches):
     np.bitwise_or.at(sig, (slot, (bits >> U64(6)).astype(I64)), U64(1) << (bits & U64(63)))
     order = np.lexsort((one["pos"], one["cls"]))
     one = {c: v[order] for c, v in one.items()}
-    keep = np.isin(one["cls"], cls)
+    keep = np.isin(one["cls"], cls) & np.concatenate([[True], (one["cls"][1:] != one["cls"][:-1]) | (one["pos"][1:] != one["pos"][:-1])])
     one = {c: v[keep] for c, v in one.items()}
     if not len(one["cls"]):
         return
@@ -252,8 +258,8 @@ _INC = "cls long, size long, s0 long, s1 long, s2 long, s3 long, tokens array<lo
 _WIDE = {**_REC, "sig": (U64, (4,)), "bits": (U64, (BITMAP // 64,)), "label": (I64, ())}
 
 
-def _by_token(parts: int):
-    """Blocks by shingle again, now with signature and label."""
+def _by_token(parts: int, star: tuple[int, int] | None):
+    """Blocks by shingle again, now with signature and label. star (num, den): only the pivot of those that share a shingle within a batch goes on, with the others' pairs with it."""
 
     def run(batches):
         for batch in batches:
@@ -266,7 +272,16 @@ def _by_token(parts: int):
             out["sig"] = np.stack([rep(f"s{i}", I64).view(U64) for i in range(4)], 1)
             out["bits"] = np.repeat(np.frombuffer(tx.utf8(col["bits"])[0].tobytes(), U64).reshape(-1, BITMAP // 64), count, 0)
             out["label"] = rep("label", I64)
-            yield from tx.blocks(tx.bucket_of(tx.mix(token), parts), out)
+            if star and len(token):
+                order = np.lexsort((out["cls"], out["pos"], token))
+                out = {c: v[order] for c, v in out.items()}
+                start, a, b = _star_pairs(out, *star)
+                for found in tx.blocks(tx.bucket_of(tx.mix(a.view(U64)), parts), {"token": a, "cls": b}):
+                    empty = pa.array([b""] * found.num_rows, pa.binary())
+                    yield pa.RecordBatch.from_arrays([*found.columns, *[empty] * 5, pa.array(np.ones(found.num_rows, bool))], [*found.schema.names, "pos", "size", "sig", "bits", "label", "pair"])
+                out = {c: v[start] for c, v in out.items()}
+            for b in tx.blocks(tx.bucket_of(tx.mix(out["token"]), parts), out):
+                yield b.append_column("pair", pa.array(np.zeros(b.num_rows, bool)))
 
     return run
 
@@ -296,20 +311,30 @@ def _sorted_records(batches) -> dict:
     return {c: v[order] for c, v in r.items()}
 
 
+def _star_pairs(r: dict, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the pivots, classes of pivots, classes of members) of sorted records; pairs that the filters allow."""
+    start, end = _groups(r["token"])
+    pivot = np.repeat(start, end - start)
+    member = np.arange(len(pivot))
+    keep = member != pivot
+    pivot, member = pivot[keep], member[keep]
+    keep = _possible(r, pivot, member, num, den)
+    return start, r["cls"][pivot[keep]], r["cls"][member[keep]]
+
+
 def _stars(num: int, den: int):
     """(pivot, member) of each shingle's group."""
 
     def run(batches):
-        r = _sorted_records(batches)
-        if not len(r["token"]):
-            return
-        start, end = _groups(r["token"])
-        pivot = np.repeat(start, end - start)
-        member = np.arange(len(pivot))
-        keep = member != pivot
-        pivot, member = pivot[keep], member[keep]
-        keep = _possible(r, pivot, member, num, den)
-        yield from _pairs(r["cls"][pivot[keep]], r["cls"][member[keep]])
+        own = []
+        for batch in batches:
+            pair = batch.column(batch.schema.get_field_index("pair"))
+            done = tx.unpack([batch.filter(pair)], {"token": (I64, ()), "cls": (I64, ())})
+            yield from _pairs(done["token"], done["cls"])
+            own.append(batch.filter(pa.compute.invert(pair)))
+        r = _sorted_records(own)
+        if len(r["token"]):
+            yield from _pairs(*_star_pairs(r, num, den)[1:])
 
     return run
 
@@ -405,8 +430,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     inc = tx.table(tx.deal(found, parts).mapInArrow(_both, _INC), "prefixes")
 
     def verified(labelled: DataFrame, step) -> DataFrame:
-        wide = "bucket int, token binary, cls binary, pos binary, size binary, sig binary, bits binary, label binary"
-        cand = tx.deal(labelled.drop("big").mapInArrow(_by_token(parts), wide), parts).mapInArrow(step(num, den), "a long, b long").distinct()
+        wide = "bucket int, token binary, cls binary, pos binary, size binary, sig binary, bits binary, label binary, pair boolean"
+        cand = tx.deal(labelled.drop("big").mapInArrow(_by_token(parts, (num, den) if step is _stars else None), wide), parts).mapInArrow(step(num, den), "a long, b long").distinct()
         whole = lambda k: inc.select(F.col("cls").alias(f"cls_{k}"), F.col("size").alias(f"size_{k}"), F.col("big").alias(f"big_{k}"))
         cand = cand.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b")).join(whole("b"), "cls_b").join(whole("a"), "cls_a")
         cand = tx.table(cand.mapInArrow(_near(num, den), "cls_a long, cls_b long"), "pairs")
