@@ -16,7 +16,7 @@ from spindrift.llm import lang_id as li
 from spindrift.llm import sentencepiece_codec as sc
 from spindrift.llm import suffix_dedup as sd
 
-#: Strings of this many bytes that an earlier document has are removed: less than any passage of over 50 words takes, more than common phrases and lines.
+#: Strings of this many bytes that an earlier document has are removed: less than a passage of over 50 words takes at usual word lengths, more than common phrases and lines.
 REPEAT_BYTES = 200
 
 

@@ -12,7 +12,8 @@ characters and LT tags of links in it (each at least 1), and lc, c those of the
 The node whose children's densities (runs of own text count as children) have the largest sum is
 the core. The smallest density on the path from the body to it is the threshold; every node from
 the body down that reaches it yields the node of the largest sum within it. If such a node lies in
-an ``article``, or else in ``main``, the whole of that is taken. The blocks of all nodes found, in
+an ``article``, or else in ``main``, the whole of that is taken; elsewhere the elements around it are, up
+to the body's children, as long as links make up a third of what they add at most. The blocks of all nodes found, in
 page order, are the text: character references decoded, white space as one space, trimmed, empty
 blocks dropped, two line feeds between them. Nothing else is dropped; pages of any length are whole.
 
@@ -120,7 +121,7 @@ def parse(page: str) -> Node:
     node, depth = root, 0
     at, size = 0, len(page)
     skip: list[str] = []  # open elements from the one that is left out
-    undo = None
+    seen = False  # an article or main element
     while at < size:
         cut = page.find("<", at)
         if cut < 0:
@@ -148,8 +149,9 @@ def parse(page: str) -> Node:
                 elif tag in KEPT or tag in BLOCK and _open(node, tag):  # its parent ends, and so does it
                     skip.clear()
                     node, depth = _close(node, tag, depth)
-            elif tag in ("article", "main") and undo and skip[0] not in DROP:
-                skip.clear()  # what holds the article isn't left out
+            elif tag in ("article", "main") and not seen and skip[0] not in DROP:
+                skip.clear()  # what holds the page's article isn't left out
+                seen = True
                 node = Node(tag, node)
                 node.parent.children.append(node)
                 depth += 1
@@ -187,7 +189,7 @@ def parse(page: str) -> Node:
                 node = best.parent
         if _named(tag, rest, node.inside):
             if tag not in VOID and not rest.endswith("/"):
-                skip, undo = [tag], True
+                skip = [tag]
             if tag in BLOCK or tag in DROP:
                 node.children.append(None)  # the text before and after aren't one block
             continue
@@ -197,6 +199,7 @@ def parse(page: str) -> Node:
             new = Node(tag, node)
             node.children.append(new)
             node, depth = new, depth + 1
+            seen = seen or tag in ("article", "main")
     return root
 
 
@@ -282,14 +285,18 @@ def _largest(node: Node) -> Node:
 
 
 def _whole(node: Node) -> Node:
-    """The article that a node lies in, or else the main element, or else itself."""
+    """The article that a node lies in, or else the main element, or else the largest element below the body around it that adds text but few links."""
     best = {}
     up = node
     while up:
         if up.tag in ("article", "main"):
             best[up.tag] = up
         up = up.parent
-    return best.get("article") or best.get("main") or node
+    if best:
+        return best.get("article") or best["main"]
+    while node.parent and node.parent.parent and 3 * (node.parent.link_chars - node.link_chars) <= node.parent.chars - node.chars:
+        node = node.parent
+    return node
 
 
 def blocks(node: Node) -> list[str]:

@@ -142,6 +142,16 @@ def test_html(spark):
     assert len(got) == len(pages) and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_structures():
+    long = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod. " * 3
+    text = " ".join(long.split())
+    assert html_extract.main_text(f"<article><h1>T</h1><p>{long}</p><div id='comments'><article class='comment'><p>{long}</p></article></div></article>") == f"T\n\n{text}"
+    assert html_extract.main_text(f"<article><p>{long}</article><section class='comments'><article><p>{long}</article></section>") == text
+    assert html_extract.main_text(f"<div id=wrap><div class=menu><a href=1>x</a></div><div><h2>T</h2><div><p>{long}<p>{long}</div><div>short</div></div><div class=sidebar>{long}</div></div>") == f"T\n\n{text}\n\n{text}\n\nshort"
+    assert html_extract.main_text(f"<div class='page-menu x'><article><p>{long}</article></div>") == text
+    assert html_extract.main_text(f"<main><article><header><h1>H</h1></header><p>{long}</p><aside>a</aside><form><p>f</form></article></main>") == f"H\n\n{text}"
+
+
 def test_warc_round_trip(spark):
     pages = [(3, "http://a/é b", "x"), (1, "u", "x"), (2, "u\r\nbad: y", "y"), (5, None, None), (4, "u", ""), (None, "u", "z"), (9, "u", "ü" * 1000), (9, "u", "ü" * 1000)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("first", F.lit(2))
