@@ -8,11 +8,13 @@ response, the others are revisits (identical-payload-digest) that refer to it.
 
 ``read_warc`` lists archives with Spark's binaryFile source and opens each in its task, one at a
 time, through ``pyarrow.fs``, or where that doesn't know the store takes Spark's bytes; archives are
-plain or gzipped. A record counts if its member unpacks (gzip's own checksum and length), its version
-line, header lines and Content-Length hold, it ends in two line ends, and its block and payload
-digests, where given, are right. After a failed check the reader looks for the next place where a
-valid member, or in plain data a version line with a valid record, begins, goes on there, and logs
-the bytes in between as a gap with the reason. Every byte is in a record or in a gap.
+plain, gzipped or both in turn. A record counts if its version line, header lines and Content-Length
+hold, it ends in two line ends, and its block and payload digests, where given, are right. Of a
+member that doesn't unpack to its end (gzip's own checksum and length) the part before the damage is
+read; its records count too, those without a digest with a reason that says so. After a failed check
+the reader looks in all of the rest for the next place where a member that begins with a record, or
+a version line, stands, goes on there, and logs the bytes in between as a gap with the reason. Every
+byte is in a record or in a gap.
 
 Defined cases: null html is an empty payload, null url leaves the target out. A null id is written as
 ``null`` and read back as null; it is never referred to unless no other id has the payload. Rows
@@ -146,7 +148,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         return None, at, "cut off" if end + 4 > len(data) else "content length doesn't hold"
     block = data[start:end]
     given = fields.get("warc-block-digest", "")
-    if given.lower().startswith("sha1:") and given[5:].upper() != base32_sha1(block):
+    checked = given.lower().startswith("sha1:")
+    if checked and given[5:].upper() != base32_sha1(block):
         return None, end + 4, "block digest doesn't hold"
     payload, length = block, size
     if fields.get("content-type", "").startswith("application/http"):
@@ -160,7 +163,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         length = len(payload)
         if digest.lower().startswith("sha1:") and digest[5:].upper() != base32_sha1(payload):
             return None, end + 4, "payload digest doesn't hold"
-    return {"fields": fields, "type": kind, "payload": payload, "payload_bytes": length, "payload_digest": digest[5:].upper() if digest.lower().startswith("sha1:") else base32_sha1(payload)}, end + 4, ""
+        checked = checked or block == payload and digest.lower().startswith("sha1:")
+    return {"fields": fields, "type": kind, "checked": checked, "payload": payload, "payload_bytes": length, "payload_digest": digest[5:].upper() if digest.lower().startswith("sha1:") else base32_sha1(payload)}, end + 4, ""
 
 
 def _plain(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
@@ -186,8 +190,8 @@ def _plain(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
         yield "gap", gap, len(data), reason
 
 
-def _member(data: bytes, at: int) -> tuple[bytes | None, int, str]:
-    """(content, end, reason) of the gzip member at a place."""
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(content, end, reason) of the gzip member at a place; with a reason, the content is what unpacked before the damage."""
     unpacker = zlib.decompressobj(31)
     out = []
     step = 1 << 11  # members are small as a rule
@@ -198,55 +202,89 @@ def _member(data: bytes, at: int) -> tuple[bytes | None, int, str]:
             place += step
             step = min(2 * step, 1 << 20)
     except zlib.error as error:
-        return None, at, f"gzip: {error}"
+        unpacker = zlib.decompressobj(31)
+        unpacker.decompress(data[at:place])
+        while step := step // 2:  # the longest beginning of the step that unpacks
+            trial = unpacker.copy()
+            try:
+                out.append(trial.decompress(data[place : place + step]))
+            except zlib.error:
+                continue
+            unpacker, place = trial, place + step
+        return b"".join(out), at, f"gzip: {error}"
     if not unpacker.eof:
-        return None, at, "gzip: cut off"
+        return b"".join(out), at, "gzip: cut off"
     return b"".join(out), min(place, len(data)) - len(unpacker.unused_data), ""
 
 
+def _packed(data: bytes, at: int, size: int) -> int:
+    """Where the first ``size`` bytes of a member's content end in the file, to a byte or two."""
+    unpacker = zlib.decompressobj(31)
+    unpacker.decompress(memoryview(data)[at:], max(1, size - 1))  # asked for the last byte, it would look at what follows
+    return len(data) - len(unpacker.unconsumed_tail)
+
+
 def _starts_record(data: bytes, at: int) -> bool:
     """Whether a gzip member begins here whose content begins with a version line."""
     try:
-        return bool(_VERSION.match(zlib.decompressobj(31).decompress(data[at : at + 4096], 16)))
+        return bool(_VERSION.match(zlib.decompressobj(31).decompress(data[at : at + (1 << 17)], 16)))  # a header may have 64 KB
     except zlib.error:
         return False
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
     """Records and quarantined gaps of an archive: (kind, start, end, record or reason); offsets are those of the file."""
-    if not data.startswith(_MAGIC) and not any(_starts_record(data, m.start()) for m in re.finditer(re.escape(_MAGIC), data[: 1 << 16])):
-        yield from _plain(data)
-        return
     at, gap, reason = 0, None, ""
+    version = member = -1  # the next places of each kind
+
+    def following(at: int) -> int:
+        nonlocal version, member
+        if version < at:
+            found = _VERSION.search(data, at)
+            version = found.start() if found else len(data)
+        if member < at:
+            member = data.find(_MAGIC, at)
+            while member >= 0 and not _starts_record(data, member):
+                member = data.find(_MAGIC, member + 1)
+            if member < 0:
+                member = len(data)
+        return min(version, member)
+
     while at < len(data):
-        content, end, why = _member(data, at) if data.startswith(_MAGIC, at) else (None, at, "no gzip member")
-        if content is not None:
+        if zipped := data.startswith(_MAGIC, at):
+            content, end, why = _member(data, at)
             inner = list(_plain(content))
             good = [x for x in inner if x[0] == "record"]
-            if good or not content:
-                if gap is not None:
-                    yield "gap", gap, at, reason
-                    gap = None
-                for kind, s, e, found in inner:
-                    if kind == "record":
-                        yield kind, at, end, found
-                    else:
-                        yield kind, at, end, f"within the member, {s} to {e}: {found}"
-                at = end
-                continue
-            why = inner[0][3]
+            sound = bool(good or not content and not why)
+            if good and why:
+                last = good[-1][2]
+                inner = [x for x in inner if x[2] <= last]
+                end = _packed(data, at, last)
+                for x in good:
+                    if not x[3]["checked"]:
+                        x[3]["doubt"] = f"{why}; the record has no digest to check it by"
+            elif not sound:
+                why = why or inner[0][3]
+        else:
+            found, end, why = parse_record(data, at)
+            inner, sound = [("record", at, end, found)], found is not None
+        if sound:
+            if gap is not None:
+                yield "gap", gap, at, reason
+                gap = None
+            for kind, s, e, found in inner:
+                yield kind, at, end, found if kind == "record" else f"within the member, {s} to {e}: {found}"
+            at = end
+            if zipped and why:
+                gap, reason = at, why
+                at = following(at)
+            continue
         if gap is None:
             gap, reason = at, why
-        at = end if content is not None and end > at else at + 1
-        while at < len(data):
-            at = data.find(_MAGIC, at)
-            if at < 0:
-                at = len(data)
-            elif not _starts_record(data, at):
-                at += 1
-                continue
-            break
-    if gap is not None:
+        # a whole member without a record, or a record sound but for a digest: only this is lost
+        whole = end > at and (zipped or end == len(data) or _VERSION.match(data, end) or data.startswith(_MAGIC, end))
+        at = following(end if whole else at + 1)
+    if gap is not None and gap < len(data):
         yield "gap", gap, len(data), reason
 
 
@@ -289,7 +327,7 @@ def read_warc(spark, paths, payloads: bool = True) -> DataFrame:
                 values = (path, start, end, kind, found, *[None] * 7)
             else:
                 f = found["fields"]
-                values = (path, start, end, kind, None, found["type"], f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), found["payload_bytes"], found["payload_digest"], found["payload"] if payloads else None)
+                values = (path, start, end, kind, found.get("doubt"), found["type"], f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), found["payload_bytes"], found["payload_digest"], found["payload"] if payloads else None)
             for a, v in zip(out, values):
                 a.append(v)
             if len(out[0]) >= 500:

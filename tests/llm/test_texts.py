@@ -199,6 +199,47 @@ def test_warc_salvage(zipped):
     check(whole[start[1] - 20 :], {0})  # begins within a record
 
 
+def _zip(x, level=6):
+    c = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return c.compress(x) + c.flush()
+
+
+def test_warc_salvage_after_a_long_damaged_stretch():
+    bodies = [random.Random(k).randbytes(100_000) for k in range(3)]
+    parts = [_zip(_record(k, b)) for k, b in enumerate(bodies)]
+    whole = b"".join(parts)
+    for data in (whole[10:], b"\0" * 80_000 + whole[80_000:]):
+        found = list(warc.salvage(data))
+        assert [x[3]["payload"] for x in found if x[0] == "record"] == bodies[1:]
+        assert [x[1:3] for x in found if x[0] == "gap"] == [(0, len(parts[0]) - len(whole) + len(data))]
+    plain = _record(7, whole)  # an archive as the payload of a plain record
+    assert [x[3]["payload"] for x in warc.salvage(plain + parts[1] + plain)] == [whole, bodies[1], whole]
+
+
+def test_warc_salvage_within_one_member():
+    bodies = [bytes(random.Random(k).choices(b"abc <>\r\n", k=4000)) for k in range(40)]
+    whole = _zip(b"".join(_record(k, b) for k, b in enumerate(bodies)))
+    after = _zip(_record(99, b"after"))
+    at = len(whole) * 3 // 4
+    damaged = whole[:at] + b"\xff" * 40 + whole[at + 40 :]
+    for data, least in ((damaged + after, 28), (whole[:at] + after, 28), (whole[:-8] + b"\0" * 8 + after, 40), (whole[:at], 28)):
+        found = list(warc.salvage(data))
+        got = [x[3]["payload"] for x in found if x[0] == "record"]
+        if data.endswith(after):
+            assert got.pop() == b"after"
+        assert got == bodies[: len(got)] and len(got) >= least
+        cover = sorted({(x[1], x[2]) for x in found})
+        assert cover[0][0] == 0 and cover[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(cover, cover[1:]))
+        assert any(x[0] == "gap" and x[3] for x in found)
+
+
+def test_warc_records_without_digest_in_a_broken_member():
+    bare = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    broken = _zip(bare * 2)[:-8] + b"\0" * 8
+    assert [x[3]["payload"] for x in warc.salvage(broken) if x[0] == "record" and x[3]["doubt"]] == [b"abc"] * 2
+    assert not any("doubt" in x[3] for x in warc.salvage(_zip(bare)))
+
+
 def test_warc_empty(spark):
     folder = f"{tx.shared_dir(spark)}/warc-none"
     assert warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), folder).count() == 0
