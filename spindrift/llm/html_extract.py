@@ -3,8 +3,13 @@
 A tolerant scanner builds a tree of the page's block elements; inline formatting is part of its
 block and counts as no tag. Scripts, styles, forms, embedded objects, comments in the markup and
 elements that say of themselves that they are something else than the article (by tag, or by a
-whole word of class, id or role: menus, headers, footers, sidebars, notices, adverts, reader
-comments) are left out of the tree. Then, for every node, with C characters, T tags, and LC
+whole name in class, id, role or label: menus, headers, footers, sidebars, notices, adverts, reader
+comments) are left out of the tree. On block containers the head word of a name counts too (the
+sidebar of ``right-sidebar``, not the search of ``search-algorithms``), that of an id or label
+only outside an article and where it isn't made from a heading. Names say nothing of paragraphs and
+inline tags in an article, ids nothing of headings, and no name or hidden attribute leaves out what
+holds most of the page's text other than links, unless the page has an article elsewhere, or it is
+reader comments beside other text. Then, for every node, with C characters, T tags, and LC
 characters and LT tags of links in it (each at least 1), and lc, c those of the body:
 
     density = C / T * log(C / LC * T / LT) / log(ln(C / max(1, C - LC) * LC + lc / c * C + e))
@@ -74,6 +79,15 @@ CONTENT = frozenset(
     "entry-content story story-body body-content text wrapper container page".split()
 )
 MODIFIERS = frozenset("with has no is without js".split())
+# Words at the end of a name that say how an element is built or where it stands, not what it is.
+BUILT = frozenset(
+    "container wrapper wrap inner outer area list lists link links button buttons icon icons box bar block section holder group item items row panel "
+    "region slot unit posts articles stories news content body form count title info trail left right top bottom primary secondary next previous prev this".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+CONTAINER = frozenset("div section ul ol dl table center header details".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ROUNDS = 20
 KEPT = frozenset(["html", "body", "article", "main"])
 DEPTH = 500
 
@@ -82,9 +96,11 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
-_NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TELLING = re.compile(r"(?:class|id|role|aria-label|style)\s*=|hidden", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
-_HIDDEN = re.compile(r"(?:^|[\s\"'/])hidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_MADE = re.compile(r"section|level[1-6]")  # classes of the containers that get their heading's id
 
 
 class Node:
@@ -96,38 +112,75 @@ class Node:
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
 
 
-def _named(tag: str, rest: str, inside: bool) -> bool:
-    """Whether an element is left out."""
+def _named(tag: str, rest: str, inside: bool) -> str:
+    """Why an element is left out ("tag", "comments" or "name"), or ""."""
     if tag in DROP or (tag in OUTSIDE and not inside):
-        return True
-    if tag in KEPT or not rest:
-        return False
-    if _HIDDEN.search(rest):
-        return True
-    bad = False
-    for found in _NAMED.finditer(rest):
-        for name in (found[1] or found[2] or found[3] or "").lower().split():
-            if name in CONTENT:
-                return False
-            words = _WORD.findall(name)
-            if words and words[0] not in MODIFIERS:
-                bad = bad or any(word in NAMES or (word in NAMES_OUTSIDE and not inside) for word in words)
-    return bad
+        return "tag"
+    if tag in KEPT or not rest or not _TELLING.search(rest):
+        return ""
+    given: dict[str, str] = {}
+    for found in _ATTRIBUTE.finditer(rest):
+        given.setdefault(found[1].lower(), found[2] or found[3] or found[4] or "")
+    if "hidden" in given or _NONE.search(given.get("style", "")):
+        return "name"
+    classes = given.get("class", "").lower().split()
+    container = tag in CONTAINER or "-" in tag
+    if inside and (tag in HEADINGS or tag in ("p", "a") or tag not in BLOCK and not container):
+        return ""
+    made = inside or tag == "section" or any(_MADE.fullmatch(x) for x in classes)
+    names = [(x, container) for x in [*classes, *given.get("role", "").lower().split()]]
+    if tag not in HEADINGS:
+        names += [(x, container and not made) for x in given.get("id", "").lower().split()]
+        names += [(x, container and not made) for x in [" ".join(given.get("aria-label", "").lower().split())] if x]
+    why = ""
+    for name, by_head in names:
+        if name in CONTENT:
+            return ""
+        words = _WORD.findall(name)
+        if not words or words[0] in MODIFIERS:
+            continue
+        while by_head and len(words) > 1 and (words[-1] in BUILT or words[-1].isdigit()):
+            words.pop()
+        word = words[-1] if by_head or len(words) == 1 else ""
+        if word in NAMES or (word in NAMES_OUTSIDE and not inside):
+            why = "comments" if word in COMMENTS else why or "name"
+    return why
 
 
 def parse(page: str) -> Node:
     """The tree of a page's blocks, from the body down."""
+    kept: set[int] = set()
+    for _ in range(ROUNDS):
+        root, most = _parse(page, kept)
+        if most is None:
+            return root
+        kept.add(most)  # as often as such elements are nested
+    return _parse(page, None)[0]
+
+
+def _parse(page: str, kept: set[int] | None) -> tuple[Node, int | None]:
+    """The tree without elements left out by name, but for those that begin at the places kept (None: all); and the place of one that holds most of the text."""
     root = Node("body", None)
     node, depth = root, 0
     at, size = 0, len(page)
     skip: list[str] = []  # open elements from the one that is left out
     seen = False  # an article or main element
+    left: list[list] = []  # place, reason, characters, whether in an article, of each element left out by name
+    ours = 0  # characters in the tree; both without links
+    words_inside = 0  # those of them in an article
+    dead = 0  # open elements up to the first that is left out anyhow, or is a link
     while at < size:
         cut = page.find("<", at)
         if cut < 0:
             cut = size
         if cut > at and not skip:
             node.children.append(page[at:cut])
+            if not _open_link(node):
+                n = sum(map(len, page[at:cut].split()))
+                ours += n
+                words_inside += n if node.inside else 0
+        elif cut > at and not dead:
+            left[-1][2] += sum(map(len, page[at:cut].split()))
         if cut == size:
             break
         found = _TAG.match(page, cut)
@@ -146,10 +199,13 @@ def parse(page: str) -> Node:
                 if tag in skip:
                     while skip.pop() != tag:
                         pass
+                    dead = dead if dead <= len(skip) else 0
                 elif tag in KEPT or tag in BLOCK and _open(node, tag):  # its parent ends, and so does it
                     skip.clear()
+                    dead = 0
                     node, depth = _close(node, tag, depth)
             elif tag in ("article", "main") and not seen and skip[0] not in DROP:
+                dead = 0
                 skip.clear()  # what holds the page's article isn't left out
                 seen = True
                 node = Node(tag, node)
@@ -160,6 +216,7 @@ def parse(page: str) -> Node:
             elif tag not in VOID and not rest.endswith("/"):
                 if not (tag == skip[0] == "p") and not (tag in SIBLINGS and skip[-1] in SIBLINGS[tag][0]):
                     skip.append(tag)
+                    dead = dead or (len(skip) if tag in DROP or tag == "a" else 0)
             continue
         if closing:
             if tag in BLOCK:
@@ -187,9 +244,13 @@ def parse(page: str) -> Node:
                 up = up.parent
             if best:
                 node = best.parent
-        if _named(tag, rest, node.inside):
+        why = _named(tag, rest, node.inside)
+        if why and (why == "tag" or kept is not None and cut not in kept):
             if tag not in VOID and not rest.endswith("/"):
                 skip = [tag]
+                dead = int(why == "tag" or tag == "a" or _open_link(node))
+                if not dead:
+                    left.append([cut, why, 0, node.inside])
             if tag in BLOCK or tag in DROP:
                 node.children.append(None)  # the text before and after aren't one block
             continue
@@ -200,7 +261,15 @@ def parse(page: str) -> Node:
             node.children.append(new)
             node, depth = new, depth + 1
             seen = seen or tag in ("article", "main")
-    return root
+    total = ours + sum(x[2] for x in left)
+    place, why, most, within = max(left, key=lambda x: x[2], default=(None, "", 0, False))
+    if 2 * most <= total or (words_inside and not within) or (why == "comments" and ours):
+        place = None
+    return root, place
+
+
+def _open_link(node: Node) -> bool:
+    return node.tag == "a" or bool(node.parent and node.parent.tag == "a")
 
 
 def _open(node: Node | None, tag: str) -> bool:

@@ -152,6 +152,34 @@ def test_html_structures():
     assert html_extract.main_text(f"<main><article><header><h1>H</h1></header><p>{long}</p><aside>a</aside><form><p>f</form></article></main>") == f"H\n\n{text}"
 
 
+@pytest.mark.parametrize("head", ['<h2 id="social-history">', '<h2><span class="mw-headline" id="Related_works">', '<h3 id="search-algorithms">', '<h2 id="search">', '<section id="notice-periods"><h2>', '<section id="binary-search"><h2>', '<div class="section" id="promotion-rules"><h2>', '<h2 title="the hidden cost">', '<p data-x="a hidden gem">'])
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_html_keeps_named_parts_of_the_text(around, head):
+    long = " ".join(["Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod."] * 3)
+    closing = "".join(f"</{x.split()[0].strip('>')}>" for x in reversed(head.split("<")[1:]))
+    assert html_extract.main_text(f"<body><{around}><p>{long}</p>{head}Heading{closing}<p class=notice-text>{long}</p></{around}></body>") == f"{long}\n\nHeading\n\n{long}"
+
+
+def test_html_wrapper_of_most_text():
+    long = " ".join(["Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod."] * 3)
+    text = f"<h1>T</h1><p>{long}</p><p>{long}</p>"
+    want = f"T\n\n{long}\n\n{long}"
+    for page in ("<div class='layout right-sidebar'>{}</div>", "<div id=overlay><div class='layout right-sidebar'><div class=sidebar><p>x</p></div>{}</div></div>", "<app-root class=popup>{}</app-root>", "<div hidden>{}</div>", "<article><div class='post social'>{}</div></article>"):
+        assert html_extract.main_text(f"<body>{page.format(text)}<div class=share-buttons>Share this</div><footer>f</footer></body>") == want
+    nested = "<div class=sidebar>" * 300 + text + "</div>" * 300
+    assert html_extract.main_text(nested) == want
+    comments = f"<div id=comments>{f'<p>{long}</p>' * 9}</div>"  # are more than the article, but not it
+    for page in (f"<div>{text}</div>{comments}", f"<article>{text}</article><div class=sidebar>{f'<p>{long}</p>' * 9}</div>", f"<div>{text}</div><div class='related-posts'>{'<a href=x>more of this</a> ' * 99}</div>"):
+        assert html_extract.main_text(page) == want
+
+
+def test_html_still_leaves_out_what_is_named():
+    long = " ".join(["Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod."] * 3)
+    for named in ("<div class=ad-container>", "<div class='page__sidebar--left'>", "<ul class=social-links>", "<div id=cookie-banner>", "<div role=navigation>", "<div aria-label='Main navigation'>", "<p hidden>", "<p style='color:red; display: none'>", "<span hidden>"):
+        tag = named.split()[0].strip("<>")
+        assert html_extract.main_text(f"<div><p>{long}</p>{named}Not this</{tag}><p>{long}</p></div>") == f"{long}\n\n{long}"
+
+
 def test_warc_round_trip(spark):
     pages = [(3, "http://a/é b", "x"), (1, "u", "x"), (2, "u\r\nbad: y", "y"), (5, None, None), (4, "u", ""), (None, "u", "z"), (9, "u", "ü" * 1000), (9, "u", "ü" * 1000)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("first", F.lit(2))
