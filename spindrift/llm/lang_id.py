@@ -8,8 +8,9 @@ Pre-tokens: runs of letters, lower-cased, with the mark U+2581 in front; a run o
 ``MAX_RUN`` letters is cut into runs of that length, so the whole text still counts.
 
 Learning: expected piece counts by forward-backward over a bounded sample of labelled rows,
-``docs_per_lang`` rows for each language in expectation, picked by a hash of doc_id. All texts
-are scored, each in the partition where it is read: no shuffle, and the model (vocabulary size x
+``docs_per_lang`` rows for each language in expectation, picked by a hash of doc_id. Every language
+of a labelled row with a letter is learned; more than ``BLOCK`` are learned and scored in blocks of
+that many, which bounds what is held besides the model. All texts are scored, each in the partition where it is read: no shuffle, and the model (vocabulary size x
 languages doubles) is the only thing that is broadcast.
 
 Defined cases: text null, empty or without a letter -> ``und``, score 0. doc_id null -> not held
@@ -36,6 +37,7 @@ U64 = np.uint64
 MARK = "▁"
 MAX_RUN = 64
 UNKNOWN = 1e-9
+BLOCK = 64  # languages at a time
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -102,14 +104,24 @@ class Model:
             self._table = PieceTable(self.pieces)
         return self._table
 
+    def blocks(self) -> list[Model]:
+        """The model in parts of at most BLOCK languages; they share its memory."""
+        if len(self.langs) <= BLOCK:
+            return [self]
+        parts = [Model(self.langs[k : k + BLOCK], self.pieces, self.probs[:, k : k + BLOCK]) for k in range(0, len(self.langs), BLOCK)]
+        for part in parts:
+            part._table = self.table()
+        return parts
+
     def log_forward(self, words: list[str]) -> np.ndarray:
         """Natural log of each pre-token's probability in each language."""
         out = np.zeros((len(words), len(self.langs)))
         sizes = np.array([len(w) for w in words], int)
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
-            for at in range(0, len(rows), 20_000):
-                part = rows[at : at + 20_000]
+            most = min(20_000, max(1, 80_000 // max(1, len(self.langs))))
+            for at in range(0, len(rows), most):
+                part = rows[at : at + most]
                 out[part] = self._forward(_codes([words[i] for i in part], int(size)))
         return out
 
@@ -193,16 +205,18 @@ def fit(counts: Iterable[tuple[str, str, int]], pieces: list[str], rounds: int =
     return model
 
 
-def learn(labelled: DataFrame, docs_per_lang: int = 400, max_langs: int = 64, vocab: str | None = None, seed: int = 7) -> Model:
-    """Fit on a bounded sample of (doc_id, text, lang): docs_per_lang rows of each of the max_langs commonest languages."""
+def learn(labelled: DataFrame, docs_per_lang: int = 400, vocab: str | None = None, seed: int = 7) -> Model:
+    """Fit on a bounded sample of (doc_id, text, lang): docs_per_lang rows of each language."""
     named = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    totals = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    totals = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
     pieces = vocabulary(vocab or tx.vocabulary_path())
     if not totals:
         return Model([], pieces, np.zeros((len(pieces), 0)))
     space = 1 << 62
-    bound = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(space, space * docs_per_lang // n)))])
-    sample = named.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(space)) < bound[F.col("lang")]).select("lang", "text")
+    kind = T.StructType([T.StructField("lang", named.schema["lang"].dataType), T.StructField("__bound", T.LongType())])
+    bound = labelled.sparkSession.createDataFrame([(lang, min(space, space * docs_per_lang // n)) for lang, n in totals.items()], kind)
+    picked = named.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(space)).alias("__at"))
+    sample = picked.join(F.broadcast(bound), "lang").where("__at < __bound").select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -213,14 +227,23 @@ def learn(labelled: DataFrame, docs_per_lang: int = 400, max_langs: int = 64, vo
             keys = list(n)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
-    found = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    return fit(sorted(zip(found["lang"], found["word"], found["n"])), pieces)
+    found = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
+    def fitted(counts: DataFrame) -> Model:
+        got = counts.toArrow().to_pydict()
+        return fit(sorted(zip(got["lang"], got["word"], got["n"])), pieces)
 
-class Scorer:
-    """Scores pieces of work; remembers the scores of words seen before, up to ``most`` of them."""
+    if len(totals) <= BLOCK:
+        return fitted(found)
+    found, langs = tx.table(found, "words"), sorted(totals)
+    parts = [fitted(found.where(F.col("lang").isin(langs[k : k + BLOCK]))) for k in range(0, len(langs), BLOCK)]
+    return Model([x for part in parts for x in part.langs], pieces, np.concatenate([part.probs for part in parts], 1))
 
-    def __init__(self, model: Model, most: int = 300_000):
+
+class _Words:
+    """Scores words in the languages of a block; remembers up to ``most`` of those seen before."""
+
+    def __init__(self, model: Model, most: int):
         self.model, self.most = model, most
         self.clear()
 
@@ -256,15 +279,27 @@ class Scorer:
             at = np.searchsorted(self.key, key)
         return self.score[at], self.letters[at]
 
+
+class Scorer:
+    """Scores pieces of work; remembers the scores of words seen before, up to ``most`` of them, or as many fewer as there are more than BLOCK languages."""
+
+    def __init__(self, model: Model, most: int = 300_000):
+        self.langs = model.langs
+        blocks = model.blocks()
+        self.blocks = [_Words(block, most // len(blocks)) for block in blocks]
+
     def texts(self, raw: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each text."""
-        n, langs = len(off) - 1, self.model.langs
+        n, langs = len(off) - 1, self.langs
         if not langs:
             return ["und"] * n, np.zeros(n)
         start, end, doc = tx.words(raw, off)
         key, first, inverse = np.unique(tx.word_hashes(raw, start, end), return_index=True, return_inverse=True)
-        score, letters = self.lookup(raw, start[first], end[first], key) if len(key) else (np.zeros((0, len(langs))), np.zeros(0, int))
-        total = np.stack([np.bincount(doc, score[inverse, k], n) for k in range(len(langs))], 1) if len(doc) else np.zeros((n, len(langs)))
+        total, letters = np.zeros((n, len(langs))), np.zeros(0, int)
+        for b, block in enumerate(self.blocks if len(key) else []):
+            score, letters = block.lookup(raw, start[first], end[first], key)
+            for k in range(score.shape[1]):
+                total[:, b * BLOCK + k] = np.bincount(doc, score[inverse, k], n)
         some = np.bincount(doc, letters[inverse], n) > 0 if len(doc) else np.zeros(n, bool)
         best = total.argmax(1)
         share = np.exp(total - total.max(1, keepdims=True))

@@ -111,6 +111,21 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in lang_id.predict_languages(docs, none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(5)
+    rows, n = [], 0
+    for k in range(150):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)]
+        for _ in range(2 if k else 4):
+            rows.append((n, " ".join(rng.choices(words, k=40)), f"l{k:03d}"))
+            n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.learn(docs)
+    assert model.langs == sorted({r[2] for r in rows})
+    got = lang_id.predict_languages(docs, model, ["doc_id", "lang"]).collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
+
+
 def test_licences(spark):
     lines = {
         1: ("Released under the MIT License.", "MIT"), 2: ("Licensed under CC BY-NC 4.0.", "CC-BY-NC"), 3: ("This work is licensed under the GNU General Public License, version 3.", "GPL"),
