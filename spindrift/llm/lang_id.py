@@ -146,6 +146,17 @@ class Model:
         return np.log(alpha[size]) + scale
 
 
+def _scale(values: np.ndarray, logs: np.ndarray, low: int, high: int, at: int) -> None:
+    """Divides the values that are still needed, low to high, by those at a place, and the places not yet reached take the logs over."""
+    top = values[at].copy()
+    values[low : high + 1] /= top
+    logs[low : high + 1] += np.log(top)
+    if at == high:
+        logs[high + 1 :] = logs[high]
+    else:
+        logs[:low] = logs[low]
+
+
 def _expected(table: PieceTable, groups: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray) -> np.ndarray:
     """Expected piece counts of weighted words under piece probabilities p."""
     out = np.zeros(len(p))
@@ -154,12 +165,20 @@ def _expected(table: PieceTable, groups: list[tuple[np.ndarray, np.ndarray]], p:
         spans = list(table.spans(codes))
         alpha, beta = np.zeros((size + 1, n)), np.zeros((size + 1, n))
         alpha[0] = beta[size] = 1
+        scaled = size > 24  # shorter words can't underflow
+        up, down = (np.zeros((size + 1, n)), np.zeros((size + 1, n))) if scaled else (None, None)  # logs of what alpha, beta were divided by
         for start, end, rows, piece in spans:
             alpha[end, rows] += alpha[start, rows] * p[piece]
             if start == end - 1:
                 alone = np.setdiff1d(np.arange(n), rows)
                 alpha[end, alone] += alpha[start, alone] * UNKNOWN
+                if scaled:
+                    _scale(alpha, up, max(0, end - table.longest), end, end)
+        last = size
         for start, end, rows, piece in sorted(spans, key=lambda x: -x[0]):
+            if scaled and start < last < size:  # beta at last is whole
+                _scale(beta, down, last, min(size, last + table.longest), last)
+            last = start
             beta[start, rows] += p[piece] * beta[end, rows]
             if start == end - 1:
                 alone = np.setdiff1d(np.arange(n), rows)
@@ -167,7 +186,8 @@ def _expected(table: PieceTable, groups: list[tuple[np.ndarray, np.ndarray]], p:
         total = np.maximum(alpha[size], 1e-300)
         for start, end, rows, piece in spans:
             if len(rows):
-                out += np.bincount(piece, weight[rows] * alpha[start, rows] * p[piece] * beta[end, rows] / total[rows], len(p))
+                share = weight[rows] * alpha[start, rows] * p[piece] * beta[end, rows] / total[rows]
+                out += np.bincount(piece, share * np.exp(up[start, rows] + down[end, rows] - up[size, rows]) if scaled else share, len(p))
     return out
 
 
@@ -180,7 +200,7 @@ def pre_tokens(text: str) -> list[str]:
 
 
 def fit(counts: Iterable[tuple[str, str, int]], pieces: list[str], rounds: int = 4, smoothing: float = 0.01) -> Model:
-    """Learn from (lang, pre-token, count). Words of over 24 characters are left out of learning, not of scoring."""
+    """Learn from (lang, pre-token, count)."""
     by: dict[str, dict[str, int]] = {}
     for lang, word, n in counts:
         by.setdefault(lang, {})[word] = n
@@ -188,12 +208,13 @@ def fit(counts: Iterable[tuple[str, str, int]], pieces: list[str], rounds: int =
     langs = sorted(by)
     probs = np.zeros((len(pieces), len(langs)))
     for k, lang in enumerate(langs):
-        words = [w for w in by[lang] if len(w) <= 24]
+        words = list(by[lang])
         groups = []
         for size in sorted({len(w) for w in words}):
             own = [w for w in words if len(w) == size]
-            for at in range(0, len(own), 20_000):
-                part = own[at : at + 20_000]
+            most = 20_000 if size <= 24 else 5_000  # as much memory as for the longest of the others
+            for at in range(0, len(own), most):
+                part = own[at : at + most]
                 groups.append((_codes(part, size), np.array([by[lang][w] for w in part], float)))
         p = np.full(len(pieces), 1 / len(pieces))
         for _ in range(rounds):

@@ -3,6 +3,7 @@ import base64
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,33 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(row, [np.log(total(word, k)) if len(word) < 30 else row[k] for k in range(2)])
 
 
+def test_long_runs_are_learned():
+    pieces = [pc.MARK, "a", "b", "ab", pc.MARK + "a", "ba", "aba"]
+    table = lang_id.PieceTable(pieces)
+    p = np.random.default_rng(0).random(len(pieces)) * 1e-12  # underflows in 64 letters
+    for word in ("ab" * 9 + "zabba" * 4, "aba" * 21 + "b", "z" * 64):
+        word = pc.MARK + word
+        size = len(word)
+
+        def total(start, end, memo):  # of the segmentations of a part, scaled by 1e12 a letter
+            if start == end:
+                return 1
+            if start not in memo:
+                parts = [(len(x), q) for x, q in zip(pieces, p) if word.startswith(x, start) and start + len(x) <= end]
+                memo[start] = sum(Fraction(q) * 10 ** (12 * k) * total(start + k, end, memo) for k, q in parts)
+                if word[start] not in pieces:
+                    memo[start] += Fraction(lang_id.UNKNOWN) * 10**12 * total(start + 1, end, memo)
+            return memo[start]
+
+        ahead: dict = {}
+        whole = total(0, size, ahead)
+        want = [float(sum(total(0, i, {}) * Fraction(q) * 10 ** (12 * len(x)) * total(i + len(x), size, ahead) for i in range(size) if word.startswith(x, i)) / whole) for x, q in zip(pieces, p)]
+        got = lang_id._expected(table, [(lang_id._codes([word, word], size), np.array([1.0, 2.0]))], p)
+        assert np.allclose(got, 3 * np.array(want))
+    model = lang_id.fit([("x", pc.MARK + "ab" * 30, 5), ("y", pc.MARK + "ba" * 10, 5)], pieces)
+    assert model.langs == ["x", "y"] and not np.allclose(model.probs[:, 0], 1 / len(pieces))
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = lang_id.learn(docs.where(~lang_id.held_out(F.col("doc_id"))))
