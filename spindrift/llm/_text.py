@@ -15,6 +15,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -187,45 +188,77 @@ def unpack(batches: Iterable[pa.RecordBatch], kinds: dict[str, tuple]) -> dict[s
     return out
 
 
-def wanted(ids: DataFrame, bits: int = 23) -> np.ndarray:
-    """A bitmap of hashed ids, 2**bits bits however many there are: a first filter for rows to be joined with the ids."""
-    width = (1 << bits) // 8 // 8
+BITMAP_BITS = 23, 28  # a bitmap of ids has 1 to 32 MB
 
-    def mark(batches):
-        seen = np.zeros(1 << bits, bool)
+
+def bitmap_bits(n: int) -> int | None:
+    """Bits (as a power of two) of a bitmap for n ids that passes few others; None where it would be larger than the bound."""
+    bits = max(BITMAP_BITS[0], (8 * max(n, 1)).bit_length())
+    return bits if bits <= BITMAP_BITS[1] else None
+
+
+def wanted(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits bits of hashed ids: a first filter for rows to be joined with the ids. It is put together in slices of 2**20 bits."""
+    slices = 1 << (bits - 20)
+    width = (1 << bits) // 8 // slices
+    kind = "bucket int, bits binary"
+
+    def row(k: int, part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["bucket", "bits"])
+
+    def deal_ids(batches):
         for batch in batches:
-            seen[mix(batch.column(0).to_numpy().astype(np.int64).view(U64)) >> U64(64 - bits)] = True
-        if seen.any():
-            own = np.packbits(seen).reshape(8, width)
-            yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), pa.array([x.tobytes() for x in own], pa.binary())], ["bucket", "bits"])
+            h = mix(batch.column(0).to_numpy().astype(np.int64).view(U64))
+            for b in blocks((h >> U64(64 - (bits - 20))).astype(np.int32), {"bits": h}):
+                yield b
 
-    def merge(batches):
-        total: dict[int, np.ndarray] = {}
+    def mark(batches):
+        own: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(part.as_buffer(), np.uint8)
-                total[k] = total[k] | x if k in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["bucket", "bits"])
+                seen = own.setdefault(k, np.zeros(width, np.uint8))
+                place = (np.frombuffer(part.as_buffer(), U64) >> U64(64 - bits)).astype(np.int64) - k * width * 8
+                np.bitwise_or.at(seen, place >> 3, (np.uint8(128) >> (place & 7).astype(np.uint8)))
+        for k, seen in own.items():
+            yield row(k, seen)
 
-    out = np.zeros((8, width), np.uint8)
-    for r in deal(ids.mapInArrow(mark, "bucket int, bits binary"), 8).mapInArrow(merge, "bucket int, bits binary").collect():
-        out[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return np.unpackbits(out.reshape(-1)).astype(bool)
+    out = np.zeros((slices, width), np.uint8)
+    for r in deal(ids.mapInArrow(deal_ids, kind), slices).mapInArrow(mark, kind).toLocalIterator():
+        out[r["bucket"]] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.reshape(-1)
 
 
 def only(frame: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """The rows whose first column, a long, is in the bitmap; a few others may stay."""
-    sent = frame.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
-    shift = U64(64 - int(np.log2(len(bitmap))))
+    sent = frame.sparkSession.sparkContext.broadcast(bitmap)
+    shift = U64(64 - int(np.log2(len(bitmap) * 8)))
 
     def run(batches):
-        seen = np.unpackbits(sent.value).astype(bool)
+        seen = sent.value
         for batch in batches:
-            yield batch.filter(pa.array(seen[mix(batch.column(0).to_numpy().astype(np.int64).view(U64)) >> shift]))
+            place = (mix(batch.column(0).to_numpy().astype(np.int64).view(U64)) >> shift).astype(np.int64)
+            yield batch.filter(pa.array((seen[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)))
 
     return frame.mapInArrow(run, frame.schema)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, parts: int, total: int) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key, where a key may have any share of the rows.
+
+    ``count``, a column of the table, tells how many rows have the key. Keys of at least an eighth
+    of a partition's share of the ``total`` rows are at most 8 * parts: they are broadcast, and
+    their rows are dealt by a salt. The rest is joined by key. The count isn't returned.
+    """
+    value = [c for c in table.columns if c not in (*on, count)]
+    least = max(2, total // (8 * parts))
+    heavy = table.where(F.col(count) >= least).select(*on, F.struct(*value).alias("_heavy"))
+    light = table.where(F.col(count) < least).select(*on, F.struct(*value).alias("_light"), F.lit(0).alias("_salt"))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    own = rows.join(F.broadcast(heavy), on, "left").select(*names, "_heavy", F.when(F.col("_heavy").isNotNull(), 1 + F.pmod(F.xxhash64(*names), F.lit(1 << 30))).otherwise(0).cast("int").alias("_salt"))
+    both = own.join(light, [*on, "_salt"], "left").select(*names, F.coalesce("_heavy", "_light").alias("_found")).where("_found is not null")
+    return both.select(*names, *[F.col(f"_found.{c}").alias(c) for c in value])
+
+
 def _thrifty() -> None:
     """Large arrays come from the system and go back to it when they are freed, so that a reused Python worker stays small."""
     pa.set_memory_pool(pa.system_memory_pool())
@@ -252,8 +285,13 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of packed records that a partition of a block shuffle should have; they are held in NumPy arrays.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions(spark: SparkSession, size: int = 0) -> int:
+    """Partitions for so many bytes, and no fewer than the session's shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
 def deal(frame: DataFrame, n: int) -> DataFrame:
@@ -262,24 +300,45 @@ def deal(frame: DataFrame, n: int) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only where none is set, as in tests, a local one is chosen."""
+    """The folder of this application in the cluster's shared folder; it is deleted when the application ends.
+
+    Only in local mode, where one machine holds all, is a folder chosen if none is set.
+    """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="spindrift-shared-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
-    return found.rstrip("/")
+    own = f"{found.rstrip('/')}/spindrift-{context.applicationId}"
+    if not getattr(context, "_spindrift_folder", False):
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        context._spindrift_folder = True
+    return own
 
 
 def table(frame: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and executors may go."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/spindrift-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found._spindrift_path = path
+    return found
+
+
+def drop(frame: DataFrame) -> None:
+    """Delete a table that nothing reads any more."""
+    context = frame.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(frame._spindrift_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:

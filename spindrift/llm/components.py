@@ -2,7 +2,8 @@
 
 Every step is a partial aggregation and an equi-join; nothing is collected but two numbers for
 each round, which tell whether the edges still change. Each round ends in a table in the shared
-folder, so the lineage stays short and lost executors cost one round at most.
+folder, so the lineage stays short and lost executors cost one round at most. Hubs, which large
+stars make by design, are joined by way of a bounded broadcast and a salt (``_text.spread_join``).
 """
 
 from __future__ import annotations
@@ -19,18 +20,20 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends and loops are ignored; repeated edges are one edge; no edges give no rows.
     """
     now = tx.table(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    state = None
-    while True:
+    parts = tx.partitions(now.sparkSession)
+    digest = lambda: tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+    state = digest()
+    while state[0]:
         sym = now.union(now.select("lo", "hi"))
-        low = sym.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m")).select("k", F.least("k", "m").alias("m"))
-        large = sym.join(low, sym.hi == low.k).where("lo > hi and lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m"))
-        both = large.join(low, large.hi == low.k)
+        low = sym.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")).select("hi", F.least("hi", "m").alias("m"), "n")
+        large = tx.spread_join(sym, low, ["hi"], "n", parts, 2 * state[0]).where("lo > hi and lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+        low = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        both = tx.spread_join(large, low, ["hi"], "n", parts, 2 * state[0])  # large has no more rows than sym
         pairs = both.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(both.select("hi", F.col("m").alias("lo")))
-        now = tx.table(pairs.distinct(), "edges")
-        row = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
-        if (row["n"], row["x"]) == state:
+        before, now = now, tx.table(pairs.distinct(), "edges")
+        tx.drop(before)
+        old, state = state, digest()
+        if state == old:
             break
-        state = (row["n"], row["x"])
     roots = now.select(F.col("lo").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(roots)

@@ -2,24 +2,35 @@
 
 A document's set holds its distinct n-word shingles. Under any total order of shingles, two sets
 with Jaccard similarity >= t share a shingle among the first |A| - ceil(t|A|) + 1 of each. This
-holds for every order at once, so a candidate pair has to share a prefix shingle under both of two
+holds for every order at once, so a candidate pair has to share a prefix shingle under each of three
 orders before it is verified. Each order puts rare shingles first, by an independent fixed-size
 count sketch (2**18 counters; a bounded broadcast). The sketch only chooses the order, any of which
 is right, so its collisions cost time and never a link.
 
 Plan
-1. One scan: set size and 128-bit digest of each document, and the two sketches. Documents with
+1. One scan: set size and 128-bit digest of each document, and the three sketches. Documents with
    equal sets form a class (partial aggregation: a hot group of copies is one row for each task).
-2. One scan: prefix shingles of both orders, copies reduced to one within a task. Shingles of one
-   class alone fall away, then classes without a shared prefix shingle in either order.
+2. One scan: prefix shingles of all orders, copies reduced to one within a task. Shingles of one
+   class alone fall away, then classes without a shared prefix shingle in any of the orders.
 3. Stars: in each shingle's group the class that has the fewest rarer shingles is the pivot; pivot
-   and member are verified on whole texts (only those texts are fetched, by way of a bitmap of fixed size). Linear in the group, so families of near copies fall
-   into one component without all their pairs.
+   and member are verified on whole texts (only those texts are fetched, by way of a bitmap sized by
+   their number). Linear in the group, so families of near copies fall into one component without
+   all their pairs.
 4. Rest: pairs of a group that are still in different components and pass the filters by length,
    position, second order and parity bitmap (Sandes et al. 2020: the bitmaps of two sets differ in at
    most |A xor B| bits) are verified too. No link between components is lost, and no cap is used.
+   Within a group the second order is checked by a signature; of the pairs that are left, the whole
+   lists of shared prefix shingles of the second and third order are intersected, and whole bitmaps
+   compared, before any text is fetched.
 5. Components of all links by star contraction; every document gets its class's component.
 
+Hot shingles and classes. A shingle whose counter has more than an eighth of a partition's share is
+dealt by shingle and class, each part has its own pivot, and the pivots of all parts meet in a
+second star step. In step 4 the members of such a shingle that have its commonest label are dealt
+out, and the others go to each part. The texts of a class that is in many pairs are repeated, 16
+times the number of partitions at most in all, and its pairs dealt out. A class of very many
+documents is joined back by way of a broadcast of at most 8 rows a partition.
+
 Set sizes and verification work on 64-bit shingle hashes made of 64-bit word hashes.
 
 Defined cases: null or empty text, or text of white space: set size 0, linked with nothing. Null
@@ -41,8 +52,11 @@ from spindrift.llm.components import components
 U64, I64 = np.uint64, np.int64
 SKETCH_BITS = 18
 BITMAP = 512
+_SLICES = 8  # of a sketch, on its way
 _LOW = U64((1 << (64 - SKETCH_BITS)) - 1)
 _SECOND = U64(0xA0761D6478BD642F)
+_ORDERS = (U64(0), _SECOND, U64(0xE7037ED1A0B428DB))
+_CLASS = 9  # in the place of an order: a class's bitmap
 
 
 def _sets(raw: np.ndarray, off: np.ndarray, n: int):
@@ -67,11 +81,12 @@ def _profile(n: int):
     """Scan 1: doc_id, size, digest for each text, and at the end of a task its sketches."""
 
     def run(batches):
-        counts = np.zeros((2, 1 << SKETCH_BITS), np.uint32)
+        counts = np.zeros((len(_ORDERS), 1 << SKETCH_BITS), np.uint32)
         for rows, raw, off in tx.pieces(batches):
             value, ends = _sets(raw, off, n)
             shift = U64(64 - SKETCH_BITS)
-            for k, x in enumerate((value, tx.mix(value ^ _SECOND))):
+            for k in range(len(_ORDERS)):
+                x = _ordered(value, k)
                 counts[k] += np.bincount((x >> shift).astype(I64), minlength=1 << SKETCH_BITS).astype(np.uint32)
             size, d1, d2 = [], [], []
             at = 0
@@ -85,28 +100,55 @@ def _profile(n: int):
             m = len(size)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "n", "d1", "d2", "bucket", "counts"])
         if counts.any():
-            parts = counts.reshape(2 * 8, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["doc_id", "n", "d1", "d2", "bucket", "counts"])
+            n_slices = _SLICES * len(_ORDERS)
+            parts = counts.reshape(n_slices, -1).astype(I64)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(n_slices, pa.int64())] * 4, pa.array(range(n_slices), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["doc_id", "n", "d1", "d2", "bucket", "counts"])
 
     return run
 
 
-def _add(batches):
+def _add(slices: int):
     """Sums sketches slice by slice."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-            x = np.frombuffer(part.as_buffer(), np.uint32).astype(I64)
-            total[k] = total[k] + x if k in total else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["bucket", "counts"])
 
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(part.as_buffer(), I64)
+                total[k % slices] = total[k % slices] + x if k % slices in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["bucket", "counts"])
+
+    return run
+
+
+def _ranks(sketch: DataFrame, parts: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each order, the place of each counter when they are sorted by count, and by place the number of parts that its shingles are dealt to. Their size doesn't depend on the input. The sketches of many tasks are added up in two steps."""
+    slices, kind = _SLICES * len(_ORDERS), "bucket int, counts binary"
+    groups = -(-sketch.rdd.getNumPartitions() // 64)
+    if groups > 1:
+        spread = sketch.select((F.col("bucket") + slices * F.pmod(F.spark_partition_id(), F.lit(groups))).cast("int").alias("bucket"), "counts")
+        sketch = tx.deal(spread, slices * groups).mapInArrow(_add(slices), kind)
+    found = {r["bucket"]: np.frombuffer(bytes(r["counts"]), I64) for r in tx.deal(sketch, slices).mapInArrow(_add(slices), kind).collect()}
+    width = (1 << SKETCH_BITS) // _SLICES
+    counts = np.concatenate([found.get(k, np.zeros(width, I64)) for k in range(slices)]).reshape(len(_ORDERS), -1)
+    order = np.argsort(counts, axis=1, kind="stable")
+    prefixes = np.maximum(1, counts.sum(1, keepdims=True) * (den - num) // den)
+    salts = np.maximum(1, -(-np.take_along_axis(counts, order, 1) * 8 * parts // prefixes))
+    return np.argsort(order, axis=1).astype(np.uint32), salts.astype(np.uint32)
+
+
+def _ordered(value: np.ndarray, k: int) -> np.ndarray:
+    """The shingles' hashes for an order."""
+    return tx.mix(value ^ _ORDERS[k]) if k else value
 
-def _ranks(sketch: DataFrame) -> np.ndarray:
-    """For both orders, the place of each counter when they are sorted by count: 2 x 2**18 numbers, however large the input."""
-    found = {r["bucket"]: np.frombuffer(bytes(r["counts"]), I64) for r in tx.deal(sketch, 16).mapInArrow(_add, "bucket int, counts binary").collect()}
-    width = (1 << SKETCH_BITS) // 8
-    counts = np.concatenate([found.get(k, np.zeros(width, I64)) for k in range(16)]).reshape(2, -1)
-    return np.argsort(np.argsort(counts, axis=1, kind="stable"), axis=1).astype(np.uint32)
+
+def _home(token: np.ndarray, cls: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """What a record is dealt by: its shingle, and for hot ones a part by class."""
+    return tx.mix(token + (tx.mix(cls.view(U64) ^ _SECOND) % salts.astype(U64)) * U64(0xD6E8FEB86659FD93))
+
+
+def _salts(token: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    return salts[(token >> U64(64 - SKETCH_BITS)).astype(I64)]
 
 
 def _token(value: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -115,7 +157,7 @@ def _token(value: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(n: int, num: int, den: int, ranks, parts: int):
-    """Scan 2: blocks of prefix shingles by shingle, for both orders."""
+    """Scan 2: blocks of prefix shingles by shingle, for all orders."""
     names = ("token", "cls", "pos", "size")
 
     def run(batches):
@@ -128,14 +170,14 @@ def _prefixes(n: int, num: int, den: int, ranks, parts: int):
                 cls = np.fromiter(known, I64, len(known))
                 empty = pa.array([b""] * len(cls), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tx.bucket_of(tx.mix(cls.view(U64)), parts)), pa.array(list(known.values()), pa.binary()), pa.array([c.tobytes() for c in cls], pa.binary()), empty, empty, pa.array(np.full(len(cls), 2, np.int32))],
+                    [pa.array(tx.bucket_of(tx.mix(cls.view(U64)), parts)), pa.array(list(known.values()), pa.binary()), pa.array([c.tobytes() for c in cls], pa.binary()), empty, empty, pa.array(np.full(len(cls), _CLASS, np.int32))],
                     ["bucket", *names, "ord"],
                 )
-            for k in (0, 1):
+            for k in range(len(_ORDERS)):
                 own = [h for h in held if h[0] == k]
                 if own:
                     cols = [np.concatenate([h[i] for h in own]) for i in range(1, 5)]
-                    for b in tx.blocks(tx.bucket_of(tx.mix(cols[0]), parts), dict(zip(names, cols))):
+                    for b in tx.blocks(tx.bucket_of(_home(cols[0], cols[1], _salts(cols[0], ranks.value[1][k])), parts), dict(zip(names, cols))):
                         yield b.append_column("ord", pa.array(np.full(b.num_rows, k, np.int32)))
             held.clear()
             known.clear()
@@ -143,7 +185,7 @@ def _prefixes(n: int, num: int, den: int, ranks, parts: int):
         for _, raw, off in tx.pieces(batches):
             value, ends = _sets(raw, off, n)
             at = 0
-            order = ranks.value
+            order = ranks.value[0]
             for e in ends.tolist():
                 own = _unique(value[at:e])
                 at = e
@@ -155,11 +197,11 @@ def _prefixes(n: int, num: int, den: int, ranks, parts: int):
                     continue
                 known[cls] = _bitmap(own)
                 p = m - -(-num * m // den) + 1
-                for k, x in enumerate((own, tx.mix(own ^ _SECOND))):
-                    t = _token(x, order[k])
+                for k in range(len(_ORDERS)):
+                    t = _token(_ordered(own, k), order[k])
                     t = np.sort(np.partition(t, p - 1)[:p]) if p < m else np.sort(t)
                     held.append((k, t, np.full(p, cls, I64), np.arange(p, dtype=np.uint32), np.full(p, m, np.uint32)))
-                count += 2 * p
+                count += len(_ORDERS) * p
             if count > tx.FLUSH_RECORDS:
                 yield from flush()
                 count = 0
@@ -189,17 +231,17 @@ def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_order(batches) -> tuple[dict[int, list], list]:
-    by: dict[int, list] = {0: [], 1: [], 2: []}
+    by: dict[int, list] = {k: [] for k in (*range(len(_ORDERS)), _CLASS)}
     for batch in batches:
         orders = batch.column(batch.schema.get_field_index("ord")).to_numpy()
         for k, own in by.items():
             if (orders == k).any():
                 own.append(batch.filter(pa.array(orders == k)))
-    return by, by.pop(2)
+    return by, by.pop(_CLASS)
 
 
-def _shared(parts: int):
-    """Records of shingles that two classes have, by class."""
+def _shared(parts: int, ranks):
+    """Records of shingles that two classes have, by class; those of hot ones, which lie on several partitions, are taken to have two."""
 
     def run(batches):
         by, bitmaps = _by_order(batches)
@@ -213,7 +255,7 @@ def _shared(parts: int):
             keep = np.concatenate([[True], (r["token"][1:] != r["token"][:-1]) | (r["cls"][1:] != r["cls"][:-1])])
             r = {c: v[keep] for c, v in r.items()}
             start, end = _groups(r["token"])
-            live = np.repeat(end - start > 1, end - start)
+            live = np.repeat(end - start > 1, end - start) | (_salts(r["token"], ranks.value[1][k]) > 1)
             r = {c: v[live] for c, v in r.items()}
             for b in tx.blocks(tx.bucket_of(tx.mix(r["cls"].view(U64)), parts), r):
                 yield b.append_column("ord", pa.array(np.full(b.num_rows, k, np.int32)))
@@ -222,51 +264,116 @@ def _shared(parts: int):
 
 
 def _both(batches):
-    """A row for each class that shares prefix shingles under both orders: those of the first, and a 256-bit signature of the second's."""
+    """A row for each class that shares prefix shingles under all orders: those of the first with their places, a 256-bit signature of the second's, and the sorted lists of the second's and third's."""
     by, bitmaps = _by_order(batches)
-    one, two = tx.unpack(by[0], _REC), tx.unpack(by[1], _REC)
-    if not len(one["cls"]) or not len(two["cls"]):
+    one, *others = (tx.unpack(by[k], _REC) for k in range(len(_ORDERS)))
+    cls = np.unique(one["cls"])
+    for r in others:
+        cls = np.intersect1d(cls, r["cls"])
+    if not len(cls):
         return
-    cls, slot = np.unique(two["cls"], return_inverse=True)
+    lists = []
+    for r in others:
+        keep = np.isin(r["cls"], cls)
+        c, t = r["cls"][keep], r["token"][keep]
+        order = np.lexsort((t, c))
+        c, t = c[order], t[order]
+        start, end = _groups(c)
+        lists.append((start, end, t))
+    start, end, token = lists[0]
     sig = np.zeros((len(cls), 4), U64)
-    bits = tx.mix(two["token"]) >> U64(56)
-    np.bitwise_or.at(sig, (slot, (bits >> U64(6)).astype(I64)), U64(1) << (bits & U64(63)))
+    bits = tx.mix(token) >> U64(56)
+    np.bitwise_or.at(sig, (np.repeat(np.arange(len(cls)), end - start), (bits >> U64(6)).astype(I64)), U64(1) << (bits & U64(63)))
+    sig = sig.view(I64)
     order = np.lexsort((one["pos"], one["cls"]))
+    order = order[np.isin(one["cls"][order], cls)]
     one = {c: v[order] for c, v in one.items()}
-    keep = np.isin(one["cls"], cls)
-    one = {c: v[keep] for c, v in one.items()}
-    if not len(one["cls"]):
-        return
-    start, end = _groups(one["cls"])
-    own = sig[np.searchsorted(cls, one["cls"][start])].view(I64)
+    first, last = _groups(one["cls"])
     big = {int.from_bytes(c, "little", signed=True): b for m in bitmaps for c, b in zip(m.column(m.schema.get_field_index("cls")).to_pylist(), m.column(m.schema.get_field_index("token")).to_pylist())}
-    big = [big[c] for c in one["cls"][start].tolist()]
-    offsets = pa.array(np.append(start, end[-1]).astype(np.int32))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(one["cls"][start]), pa.array(one["size"][start].astype(I64)), *[pa.array(own[:, i]) for i in range(4)], pa.ListArray.from_arrays(offsets, pa.array(one["token"].view(I64))), pa.ListArray.from_arrays(offsets, pa.array(one["pos"].astype(np.int32))), pa.array([_fold(x, BITMAP // 8).tobytes() for x in big], pa.binary()), pa.array(big, pa.binary())],
-        ["cls", "size", "s0", "s1", "s2", "s3", "tokens", "pos", "bits", "big"],
-    )
+    big = [big[c] for c in cls.tolist()]
+    rows = [[t[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist())] for start, end, t in lists]
+    step = 5000
+    for at in range(0, len(cls), step):
+        to = min(len(cls), at + step)
+        a, b = first[at], last[to - 1]
+        offsets = pa.array(np.append(first[at:to], b).astype(I64) - a, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cls[at:to]), pa.array(one["size"][first[at:to]].astype(I64)), *[pa.array(sig[at:to, i].copy()) for i in range(4)], pa.ListArray.from_arrays(offsets, pa.array(one["token"][a:b].view(I64))), pa.ListArray.from_arrays(offsets, pa.array(one["pos"][a:b].astype(np.int32))),
+             pa.array([_fold(x, BITMAP // 8).tobytes() for x in big[at:to]], pa.binary()), pa.array(big[at:to], pa.binary()), *[pa.array(x[at:to], pa.binary()) for x in rows]],
+            ["cls", "size", "s0", "s1", "s2", "s3", "tokens", "pos", "bits", "big", "second", "third"],
+        )
+
+
+_INC = "cls long, size long, s0 long, s1 long, s2 long, s3 long, tokens array<long>, pos array<int>, bits binary, big binary, second binary, third binary"
+_WIDE = {**_REC, "part": (np.uint32, ()), "sig": (U64, (4,)), "bits": (U64, (BITMAP // 64,)), "label": (I64, ())}
+
+
+class _Hot:
+    """Shingles with over an eighth of a partition's share of the records: their parts and commonest labels; at most 8 * parts of them."""
+
+    def __init__(self, token: np.ndarray, salts: np.ndarray, label: np.ndarray):
+        order = np.argsort(token)
+        self.token, self.salts, self.label = token[order], salts[order], label[order]
 
+    def find(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, commonest label) of each shingle; one part for others."""
+        if not len(self.token):
+            return np.ones(len(token), I64), np.zeros(len(token), I64)
+        at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
+        hit = self.token[at] == token
+        return np.where(hit, self.salts[at], 1), np.where(hit, self.label[at], 0)
 
-_INC = "cls long, size long, s0 long, s1 long, s2 long, s3 long, tokens array<long>, pos array<int>, bits binary, big binary"
-_WIDE = {**_REC, "sig": (U64, (4,)), "bits": (U64, (BITMAP // 64,)), "label": (I64, ())}
 
+def _hot(labelled: DataFrame, ranks, parts: int, records: int) -> _Hot:
+    """Counts only shingles of hot counters."""
+
+    def some(batches):
+        for batch in batches:
+            tokens = batch.column(0)
+            token = tokens.flatten().to_numpy().view(U64)
+            label = np.repeat(batch.column(1).to_numpy(), np.diff(tokens.offsets.to_numpy()))
+            keep = _salts(token, ranks.value[1][0]) > 1
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(I64)), pa.array(label[keep])], ["token", "label"])
+
+    each = labelled.select("tokens", "label").mapInArrow(some, "token long, label long").groupBy("token", "label").agg(F.count("*").alias("n"))
+    found = each.groupBy("token").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("label")).where(F.col("n") >= max(2, records // (8 * parts))).collect()
+    n = np.array([r["n"] for r in found], I64)
+    return _Hot(np.array([r["token"] for r in found], I64).view(U64), np.maximum(1, -(-n * 8 * parts // max(1, records))), np.array([r["label"] for r in found], I64))
+
+
+def _part(cls: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    return (tx.mix(cls.view(U64) ^ _SECOND) % salts.astype(U64)).astype(I64)
 
-def _by_token(parts: int):
-    """Blocks by shingle again, now with signature and label."""
+
+def _deal_by(token: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    return tx.bucket_of(tx.mix(token + part.astype(U64) * U64(0xD6E8FEB86659FD93)), parts)
+
+
+def _by_token(parts: int, hot, everywhere: bool):
+    """Blocks by shingle again, now with signature and label. everywhere: records of a hot shingle without its commonest label go to all of its parts."""
 
     def run(batches):
         for batch in batches:
             col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
             lists = col["tokens"]
             count = np.diff(lists.offsets.to_numpy())
-            rep = lambda c, kind: np.repeat(col[c].to_numpy(zero_copy_only=False).astype(kind), count)
             token = lists.flatten().to_numpy().view(U64)
-            out = {"token": token, "cls": rep("cls", I64), "pos": col["pos"].flatten().to_numpy().astype(np.uint32), "size": rep("size", np.uint32)}
-            out["sig"] = np.stack([rep(f"s{i}", I64).view(U64) for i in range(4)], 1)
-            out["bits"] = np.repeat(np.frombuffer(tx.utf8(col["bits"])[0].tobytes(), U64).reshape(-1, BITMAP // 64), count, 0)
-            out["label"] = rep("label", I64)
-            yield from tx.blocks(tx.bucket_of(tx.mix(token), parts), out)
+            row = np.repeat(np.arange(batch.num_rows), count)
+            pos = col["pos"].flatten().to_numpy()
+            cls, label = (col[c].to_numpy().astype(I64) for c in ("cls", "label"))
+            salts, common = hot.value.find(token)
+            part = _part(cls[row], salts)
+            if everywhere and (salts > 1).any():
+                copies = np.where((salts > 1) & (label[row] != common), salts, 1)
+                at = np.repeat(np.arange(len(token)), copies)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+                part = np.where(copies[at] > 1, nth, part[at])
+                token, row, pos = token[at], row[at], pos[at]
+            out = {"token": token, "cls": cls[row], "pos": pos.astype(np.uint32), "size": col["size"].to_numpy().astype(np.uint32)[row], "part": part.astype(np.uint32)}
+            out["sig"] = np.stack([col[f"s{i}"].to_numpy().view(U64)[row] for i in range(4)], 1)
+            out["bits"] = np.frombuffer(tx.utf8(col["bits"])[0].tobytes(), U64).reshape(-1, BITMAP // 64)[row]
+            out["label"] = label[row]
+            yield from tx.blocks(_deal_by(token, part, parts), out)
 
     return run
 
@@ -290,50 +397,69 @@ def _pairs(a: np.ndarray, b: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["a", "b"])
 
 
-def _sorted_records(batches) -> dict:
+_WIDE_ROW = "bucket int, token binary, cls binary, pos binary, size binary, part binary, sig binary, bits binary, label binary"
+
+
+def _sorted_records(batches, by_part: bool = True) -> dict:
     r = tx.unpack(batches, _WIDE)
-    order = np.lexsort((r["cls"], r["pos"], r["token"]))
+    order = np.lexsort((r["cls"], r["pos"], *([r["part"]] if by_part else []), r["token"]))
     return {c: v[order] for c, v in r.items()}
 
 
-def _stars(num: int, den: int):
-    """(pivot, member) of each shingle's group."""
+def _stars(num: int, den: int, parts: int, hot):
+    """(a, b): pivot and member of each part of a shingle's group; and the records of the pivots of hot shingles, by shingle. hot None: parts are one."""
+    names = _WIDE_ROW.replace(" int", "").replace(" binary", "").split(", ")
 
     def run(batches):
-        r = _sorted_records(batches)
+        r = _sorted_records(batches, hot is not None)
         if not len(r["token"]):
             return
-        start, end = _groups(r["token"])
+        new = r["token"][1:] != r["token"][:-1]
+        if hot is not None:
+            new |= r["part"][1:] != r["part"][:-1]
+        start = np.concatenate([[0], np.flatnonzero(new) + 1])
+        end = np.append(start[1:], len(r["token"]))
+        if hot is not None:
+            again = start[hot.value.find(r["token"][start])[0] > 1]
+            for b in tx.blocks(tx.bucket_of(tx.mix(r["token"][again]), parts), {c: v[again] for c, v in r.items()}):
+                yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64())] * 2 + b.columns, ["a", "b", *b.schema.names])
         pivot = np.repeat(start, end - start)
         member = np.arange(len(pivot))
         keep = member != pivot
         pivot, member = pivot[keep], member[keep]
         keep = _possible(r, pivot, member, num, den)
-        yield from _pairs(r["cls"][pivot[keep]], r["cls"][member[keep]])
+        for b in _pairs(r["cls"][pivot[keep]], r["cls"][member[keep]]):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int32()), *[pa.nulls(b.num_rows, pa.binary())] * 8], ["a", "b", *names])
 
     return run
 
 
-def _across(num: int, den: int):
-    """Pairs of each group whose labels differ: everyone outside the group's largest label against everyone with another label."""
+def _across(num: int, den: int, hot):
+    """Pairs of each group whose labels differ: everyone outside the group's largest label against everyone with another label. Two records that go to all parts of a hot shingle meet in one of them."""
 
     def run(batches):
         r = _sorted_records(batches)
         if not len(r["token"]):
             return
-        start, end = _groups(r["token"])
+        start = np.concatenate([[0], np.flatnonzero((r["token"][1:] != r["token"][:-1]) | (r["part"][1:] != r["part"][:-1])) + 1])
+        end = np.append(start[1:], len(r["token"]))
         label = r["label"]
         mixed = np.maximum.reduceat(label, start) != np.minimum.reduceat(label, start)
+        salts, common = hot.value.find(r["token"][start])
         out_a, out_b, held = [], [], 0
-        for s, e in zip(start[mixed].tolist(), end[mixed].tolist()):
+        for s, e, n_parts, most in zip(start[mixed].tolist(), end[mixed].tolist(), salts[mixed].tolist(), common[mixed].tolist()):
             own = label[s:e]
             names, number = np.unique(own, return_inverse=True)
             rest = np.flatnonzero(number != np.bincount(number).argmax())
             is_rest = np.zeros(e - s, bool)
             is_rest[rest] = True
+            everywhere = own != most
+            elsewhere = _part(r["cls"][s:e], np.full(e - s, n_parts)) != r["part"][s]
             for at in range(0, len(rest), max(1, 100_000 // (e - s))):
                 u = rest[at : at + max(1, 100_000 // (e - s))]
                 ok = (number[u][:, None] != number[None, :]) & (~is_rest[None, :] | (np.arange(e - s)[None, :] > u[:, None]))
+                if n_parts > 1:
+                    ok &= ~((everywhere[u] & elsewhere[u])[:, None] & everywhere[None, :])
                 i, j = np.nonzero(ok)
                 i, j = u[i] + s, j + s
                 keep = _possible(r, i, j, num, den)
@@ -349,8 +475,14 @@ def _across(num: int, den: int):
     return run
 
 
+def _meet(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted lists share a value."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    return bool((x[at] == y).any())
+
+
 def _near(num: int, den: int):
-    """The pairs whose whole bitmaps still allow the similarity."""
+    """The pairs that share prefix shingles under the second and third order and whose whole bitmaps still allow the similarity."""
 
     def run(batches):
         for batch in batches:
@@ -358,9 +490,10 @@ def _near(num: int, den: int):
             a, b = col["size_a"].to_numpy(), col["size_b"].to_numpy()
             most = a + b - 2 * -(-num * (a + b) // (num + den))
             keep = []
-            for x, y, m in zip(col["big_a"].to_pylist(), col["big_b"].to_pylist(), most.tolist()):
+            lists = [[[np.frombuffer(x.as_buffer(), U64) for x in col[f"{c}_{k}"]] for k in "ab"] for c in ("second", "third")]
+            for n, (x, y, m) in enumerate(zip(col["big_a"].to_pylist(), col["big_b"].to_pylist(), most.tolist())):
                 size = min(len(x), len(y))
-                keep.append(int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()) <= m)
+                keep.append(all(_meet(own[n], other[n]) for own, other in lists) and int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()) <= m)
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([col["cls_a"].filter(keep), col["cls_b"].filter(keep)], ["cls_a", "cls_b"])
 
@@ -389,47 +522,91 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
+def _with_sides(pairs: DataFrame, side, parts: int) -> DataFrame:
+    """Pairs (cls_a, cls_b), a table, with the rows that side("a") and side("b") have for them. Rows of keys of at least an eighth of a partition's share of the pairs are repeated, 16 * parts times at most for each side, and such pairs dealt out among them."""
+    total = pairs.count()
+    each = pairs.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"cls_{k}").alias("cls")) for k in "ab"])).alias("x")).groupBy("x.k", "x.cls").agg(F.count("*").alias("n"))
+    hubs = tx.table(each.where(F.col("n") >= max(2, total // (8 * parts))).select("k", "cls", F.ceil(F.col("n") * (8 * parts) / max(1, total)).cast("int").alias("_parts")), "hubs")
+    for k in "ba":
+        key = f"cls_{k}"
+        if hubs.where(F.col("k") == k).head(1):
+            own = F.broadcast(hubs.where(F.col("k") == k).select(F.col("cls").alias(key), "_parts"))
+            part = F.coalesce(F.pmod(F.xxhash64("cls_a", "cls_b"), "_parts").cast("int"), F.lit(0))
+            pairs = pairs.join(own, key, "left").withColumn("_part", part).drop("_parts")
+            more = side(k).join(own, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+            pairs = pairs.join(more, [key, "_part"]).drop("_part")
+        else:
+            pairs = pairs.join(side(k), key)
+    return pairs
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; linked when den * |A & B| >= num * |A | B|."""
     spark = docs.sparkSession
-    parts = tx.partitions(spark)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     scan = tx.table(docs.mapInArrow(_profile(n), "doc_id long, n long, d1 long, d2 long, bucket int, counts binary"), "profile")
     sizes = scan.where("bucket is null").select("doc_id", "n", "d1", "d2")
-    ranks = spark.sparkContext.broadcast(_ranks(scan.where("bucket is not null").select("bucket", "counts")))
-    reps = sizes.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-
-    named = docs.where("doc_id is not null").select("text")
+    totals = sizes.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    rows, prefixes = totals["rows"], (totals["n"] or 0) * (den - num) // den + totals["rows"]
+    parts = tx.partitions(spark, prefixes * len(_ORDERS) * 24)
+    ranks = spark.sparkContext.broadcast(_ranks(scan.where("bucket is not null").select("bucket", "counts"), parts, num, den))
+    named = sizes.where("n > 0 and doc_id is not null")
+    reps = tx.table(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+
+    texts = docs.where("doc_id is not null")
     blob = "bucket int, token binary, cls binary, pos binary, size binary, ord int"
-    found = tx.deal(named.mapInArrow(_prefixes(n, num, den, ranks, parts), blob), parts).mapInArrow(_shared(parts), blob)
+    found = tx.deal(texts.select("text").mapInArrow(_prefixes(n, num, den, ranks, parts), blob), parts).mapInArrow(_shared(parts, ranks), blob)
     inc = tx.table(tx.deal(found, parts).mapInArrow(_both, _INC), "prefixes")
-
-    def verified(labelled: DataFrame, step) -> DataFrame:
-        wide = "bucket int, token binary, cls binary, pos binary, size binary, sig binary, bits binary, label binary"
-        cand = tx.deal(labelled.drop("big").mapInArrow(_by_token(parts), wide), parts).mapInArrow(step(num, den), "a long, b long").distinct()
-        whole = lambda k: inc.select(F.col("cls").alias(f"cls_{k}"), F.col("size").alias(f"size_{k}"), F.col("big").alias(f"big_{k}"))
-        cand = cand.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b")).join(whole("b"), "cls_b").join(whole("a"), "cls_a")
-        cand = tx.table(cand.mapInArrow(_near(num, den), "cls_a long, cls_b long"), "pairs")
+    records = inc.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    fine = tx.partitions(spark, records * 140)
+
+    def verified(cand: DataFrame) -> DataFrame:
+        cand = tx.table(cand.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b")).distinct(), "candidates")
+        whole = lambda k: inc.select(*[F.col(c).alias(f"{c}_{k}") for c in ("cls", "size", "big", "second", "third")])
+        near = _with_sides(cand, whole, fine).select("cls_a", "cls_b", *[f"{c}_{k}" for c in ("size", "big", "second", "third") for k in "ab"])
+        cand = tx.table(near.mapInArrow(_near(num, den), "cls_a long, cls_b long"), "pairs")
         chosen = tx.table(reps.join(cand.select(F.col("cls_a").alias("d1")).union(cand.select("cls_b")).distinct(), "d1").select(F.col("d1").alias("cls"), "rep"), "chosen")
-        texts = chosen.join(tx.only(docs.where("doc_id is not null"), tx.wanted(chosen.select("rep"))), F.col("rep") == F.col("doc_id")).select("cls", "rep", "text")
-        side = lambda k: texts.select(F.col("cls").alias(f"cls_{k}"), F.col("rep").alias(k), F.col("text").alias(f"text_{k}"))
-        both = cand.join(side("b"), "cls_b").join(side("a"), "cls_a")
+        bits = tx.bitmap_bits(chosen.count())
+        own = chosen.join(tx.only(texts, tx.wanted(chosen.select("rep"), bits)) if bits else texts, F.col("rep") == F.col("doc_id")).select("cls", "rep", "text")
+        side = lambda k: own.select(F.col("cls").alias(f"cls_{k}"), F.col("rep").alias(k), F.col("text").alias(f"text_{k}"))
+        both = _with_sides(cand, side, fine)
         return both.select("cls_a", "cls_b", "a", "b", "text_a", "text_b").mapInArrow(_verify(n, num, den), "cls_a long, cls_b long, a long, b long").distinct()
 
-    stars = tx.table(verified(inc.withColumn("label", F.col("cls")), _stars), "stars")
+    def by_token(labelled: DataFrame, hot, everywhere: bool) -> DataFrame:
+        return tx.deal(labelled.drop("big", "second", "third").mapInArrow(_by_token(fine, hot, everywhere), _WIDE_ROW), fine)
+
+    alone = inc.withColumn("label", F.col("cls"))
+    hot = _hot(alone, ranks, fine, records)
+    sent = spark.sparkContext.broadcast(hot)
+    kind = "a long, b long, " + _WIDE_ROW
+    first = by_token(alone, sent, False).mapInArrow(_stars(num, den, fine, sent), kind)
+    if len(hot.token):
+        first = tx.table(first, "first")
+        second = tx.deal(first.where("bucket is not null").drop("a", "b"), fine).mapInArrow(_stars(num, den, fine, None), kind)
+        first = first.where("bucket is null").union(second)
+    stars = tx.table(verified(first.select("a", "b")), "stars")
     label = components(stars.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
-    labelled = inc.join(label.select(F.col("id").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    rest = tx.table(verified(labelled, _across), "rest")
-    comp = components(stars.select("a", "b").union(rest.select("a", "b")).union(_same_id(sizes, reps)))
-    out = sizes.join(reps, ["d1", "d2"], "left").join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
-
-
-def _same_id(sizes: DataFrame, reps: DataFrame) -> DataFrame:
+    labelled = tx.table(inc.join(label.select(F.col("id").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled") if len(hot.token) else inc.join(label.select(F.col("id").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    sent = spark.sparkContext.broadcast(_hot(labelled, ranks, fine, records) if len(hot.token) else hot)
+    rest = tx.table(verified(by_token(labelled, sent, True).mapInArrow(_across(num, den, sent), "a long, b long")), "rest")
+    links = stars.select("a", "b").union(rest.select("a", "b"))
+    same = _same_id(named, reps, parts, rows)
+    comp = components(links.union(same) if same else links)
+    classes = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "copies", F.coalesce("component", "rep").alias("component_id"))
+    out = tx.spread_join(named, classes, ["d1", "d2"], "copies", parts, rows)
+    others = sizes.where("not (n > 0 and doc_id is not null)")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(others.select("doc_id", "n", "doc_id"))
+
+
+def _same_id(named: DataFrame, reps: DataFrame, parts: int, rows: int) -> DataFrame | None:
     """Links between the classes of a doc_id that occurs with several texts."""
-    twice = sizes.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    own = sizes.join(twice, "doc_id").join(reps, ["d1", "d2"]).groupBy("doc_id").agg(F.collect_set("rep").alias("reps"))
-    return own.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).where("a != b")
+    twice = tx.table(named.groupBy("doc_id").agg(F.count("*").alias("k"), F.lit(1).alias("one")).where("k > 1"), "twice")
+    if not twice.head(1):
+        return None
+    own = tx.spread_join(named, twice, ["doc_id"], "k", parts, rows).select("doc_id", "d1", "d2").distinct()
+    own = tx.table(tx.spread_join(own, reps, ["d1", "d2"], "copies", parts, rows).select("doc_id", "rep"), "own")
+    low = own.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count("*").alias("k"))
+    return tx.spread_join(own, low, ["doc_id"], "k", parts, own.count()).select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a != b")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
