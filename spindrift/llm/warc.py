@@ -8,8 +8,9 @@ response, the others are revisits (identical-payload-digest) that refer to it.
 
 ``read_warc`` lists archives with Spark's binaryFile source and opens each in its task, one at a
 time, through ``pyarrow.fs``, or where that doesn't know the store takes Spark's bytes; archives are
-plain, gzipped or both in turn. A record counts if its version line, header lines and Content-Length
-hold, it ends in two line ends, and its block and payload digests, where given, are right. Of a
+plain, gzipped or both in turn. A record counts if its version line (of any version), header lines and
+Content-Length hold, it ends in two line ends, and its block and payload digests, where given, are
+right: md5, sha1, sha256 or sha512 in hexadecimal, base32 or base64 digits; others say nothing. Of a
 member that doesn't unpack to its end (gzip's own checksum and length) the part before the damage is
 read; its records count too, those without a digest with a reason that says so. After a failed check
 the reader looks in all of the rest for the next place where a member that begins with a record, or
@@ -17,7 +18,7 @@ a version line, stands, goes on there, and logs the bytes in between as a gap wi
 byte is in a record or in a gap.
 
 Defined cases: null html is an empty payload, null url leaves the target out. A null id is written as
-``null`` and read back as null; it is never referred to unless no other id has the payload. Rows
+``null`` and read back as null; it is never referred to unless no other id has the payload. A revisit whose payload digest isn't sha1 is read with a null one. Rows
 that repeat an id and payload are responses of one id each. An empty table gives no archive and no
 rows. Extra columns are not looked at. A record of any size is one unit of work.
 """
@@ -41,7 +42,7 @@ from spindrift.llm import _text as tx
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/\d{1,2}\.\d{1,2}\r\n")
 _MAGIC = b"\x1f\x8b\x08"
 
 
@@ -69,8 +70,13 @@ def record(key: int | None, url: str | None, payload: bytes, digest: str, first:
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, archive_bytes: int = 8 << 20) -> DataFrame:
     """Writes a record for each row; returns the manifest (path, n_records, n_bytes)."""
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= revisit_from).groupBy("digest").agg(F.min("key").alias("first"))
-    joined = rows.join(first, "digest", "left").select("key", "url", "payload", "digest", "first", (F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))).alias("revisit"))
+    large = rows.where(F.octet_length("payload") >= revisit_from)
+    first = large.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    spark = pages.sparkSession
+    joined = tx.spread_join(large, first, ["digest"], "n", tx.partitions(spark), pages.count())  # one payload may be that of any share of the pages
+    joined = joined.select("key", "url", "payload", "digest", "first", (F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))).alias("revisit"))
+    if revisit_from > 0:
+        joined = joined.union(rows.where(F.octet_length("payload") < revisit_from).select("key", "url", "payload", "digest", F.lit(None).cast("long"), F.lit(False)))
 
     def run(batches):
         import pyarrow.fs as fs
@@ -129,6 +135,27 @@ def _fields(head: bytes) -> dict[str, str] | None:
     return out
 
 
+def _digest(given: str) -> tuple[str, bytes] | None:
+    """Algorithm and value of a labelled digest in hexadecimal, base32 or base64 digits; None where either isn't known."""
+    name, colon, digits = given.strip().partition(":")
+    name = name.lower().replace("-", "")
+    if not colon or name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size = hashlib.new(name).digest_size
+    for decode in (bytes.fromhex, lambda x: base64.b32decode(x.upper() + "=" * (-len(x) % 8)), lambda x: base64.urlsafe_b64decode(x.replace("+", "-").replace("/", "_") + "=" * (-len(x) % 4))):
+        try:
+            value = decode(digits.strip().rstrip("="))
+        except ValueError:
+            continue
+        if len(value) == size:
+            return name, value
+    return None
+
+
+def _holds(digest: tuple[str, bytes] | None, data: bytes) -> bool:
+    return digest is None or hashlib.new(digest[0], data).digest() == digest[1]
+
+
 def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     """(record, end, reason): the record that starts at a place in unpacked data; without one, a reason."""
     version = _VERSION.match(data, at)
@@ -147,9 +174,9 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     if data[end : end + 4] != b"\r\n\r\n":
         return None, at, "cut off" if end + 4 > len(data) else "content length doesn't hold"
     block = data[start:end]
-    given = fields.get("warc-block-digest", "")
-    checked = given.lower().startswith("sha1:")
-    if checked and given[5:].upper() != base32_sha1(block):
+    given = _digest(fields.get("warc-block-digest", ""))
+    checked = given is not None
+    if not _holds(given, block):
         return None, end + 4, "block digest doesn't hold"
     payload, length = block, size
     if fields.get("content-type", "").startswith("application/http"):
@@ -158,13 +185,17 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         found = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head.replace(b"\r\n", b"\n"))
         length = int(found[1]) if found else len(payload)
     kind = fields.get("warc-type", "")
-    digest = fields.get("warc-payload-digest", "")
+    digest = _digest(fields.get("warc-payload-digest", ""))
     if kind != "revisit":
         length = len(payload)
-        if digest.lower().startswith("sha1:") and digest[5:].upper() != base32_sha1(payload):
+        if not _holds(digest, payload):
             return None, end + 4, "payload digest doesn't hold"
-        checked = checked or block == payload and digest.lower().startswith("sha1:")
-    return {"fields": fields, "type": kind, "checked": checked, "payload": payload, "payload_bytes": length, "payload_digest": digest[5:].upper() if digest.lower().startswith("sha1:") else base32_sha1(payload)}, end + 4, ""
+        checked = checked or digest is not None and block == payload
+    if digest and digest[0] == "sha1":
+        shown = base64.b32encode(digest[1]).decode()
+    else:
+        shown = base32_sha1(payload) if kind != "revisit" else None
+    return {"fields": fields, "type": kind, "checked": checked, "payload": payload, "payload_bytes": length, "payload_digest": shown}, end + 4, ""
 
 
 def _plain(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
@@ -349,7 +380,7 @@ def read_warc(spark, paths, payloads: bool = True) -> DataFrame:
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
     """Writes and reads back a record per page: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    folder = f"{tx.shared_dir(spark)}/spindrift-warc-{uuid.uuid4().hex}"
+    folder = f"{tx.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     as_id = lambda c: F.when(number(c) != "", number(c)).cast("long")
