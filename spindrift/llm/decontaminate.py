@@ -1,12 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z as a-z. A seed is the hash of six words
-under a fixed mask that ignores the positions in between. The four masks below leave no gap: a
-stretch of 13 to 15 words with a substitution in up to a fifth of them holds a seed of some mask
-that avoids all of them (shown by enumeration in the tests). Where a document's seed equals one of
-the benchmark's, the two are aligned there without gaps and compared word by word: an item leaks if
-a stretch of at least ``least`` words (13), starting and ending with equal words, agrees in 80 %.
-Items of 5 to 12 words leak where all their words stand in a row; shorter ones never do.
+Words are runs of letters, digits and non-ASCII bytes, A-Z as a-z. A seed is the hash of the words
+under a fixed mask that ignores the positions in between. Where a document's seed equals one of the
+benchmark's, the two are aligned there without gaps and compared word by word. An item leaks if
+
+* it lies whole in the document and at least 80 % of its words agree, wherever the others stand, or
+* a stretch of at least ``least`` words (13), starting and ending with equal words, agrees in 80 %, or
+* it has fewer than ``SHORTEST`` words (5) and is all the words of the document.
+
+Items of ``least`` words and more have the four masks of weight six below. They leave no gap: 13 words
+and more with substitutions in up to a fifth hold a seed of some mask that avoids all of them (shown
+by enumeration in the tests). Shorter items may have n // 5 substitutions; their masks, as long as the
+item, take every (n // 5 + 1)-th word, so one of them avoids all substitutions.
 
 The seeds of the benchmark are broadcast in blocks of items with about ``block_words`` words, so
 the broadcast is bounded however large the benchmark is; each block scans the documents once.
@@ -14,7 +19,9 @@ Documents aren't shuffled. The result has one row for each leaking (document, it
 
 Defined cases: null or empty texts hold no words; null item_id or doc_id: the row takes no part. An
 item_id or doc_id that occurs several times gives one row with its best stretch (longest, then most
-equal words, then first). Empty tables: no rows. Extra columns are not looked at.
+equal words, then first in the item, then in the document). Empty tables: no rows. Extra columns, whatever
+their names, are not looked at. Pairs of equal seeds are gone through in steps of bounded size, so texts
+of one repeated word take time in proportion to the pairs and no more memory than others.
 """
 
 from __future__ import annotations
@@ -32,6 +39,7 @@ MASKS = ("1111011", "1100010111", "101100111", "111111")
 LEAST = 13
 SHORTEST = 5
 _BITS = 22
+_STEP = 1_000_000  # pairs of equal seeds at a time
 
 
 def _seeds(words: np.ndarray, doc: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +56,12 @@ def _seeds(words: np.ndarray, doc: np.ndarray, mask: str) -> tuple[np.ndarray, n
     return at, acc[at]
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks of an item of n words, fewer than LEAST."""
+    apart = n // 5 + 1 if n >= SHORTEST else 1
+    return ["".join("1" if k % apart == r else "0" for k in range(n)) for r in range(apart)]
+
+
 class Seeds:
     """A block of benchmark items."""
 
@@ -59,40 +73,51 @@ class Seeds:
         self.begin = np.cumsum(count) - count
         self.count = count
         self.tables = []
-        short = sorted({int(c) for c in count if SHORTEST <= c < least})
-        for mask in [*MASKS, *("1" * c for c in short)]:
-            at, key = _seeds(self.word, item, mask)
-            own = count[item[at]]
-            fit = own >= least if mask in MASKS and len(mask) not in short else (own == len(mask)) | ((own >= least) & (mask in MASKS))
-            at, key = at[fit], key[fit]
-            if len(key):
-                order = np.argsort(key, kind="stable")
-                seen = np.zeros(1 << _BITS, bool)
-                seen[tx.mix(key) >> U64(64 - _BITS)] = True
-                self.tables.append((mask, key[order], at[order], item[at[order]], seen))
+        for n in [0, *sorted({int(c) for c in count if 0 < c < least})]:
+            for mask in short_masks(n) if n else MASKS:
+                at, key = _seeds(self.word, item, mask)
+                fit = (count[item[at]] == n) & (at == self.begin[item[at]]) if n else count[item[at]] >= least
+                at, key = at[fit], key[fit]
+                if len(key):
+                    order = np.argsort(key, kind="stable")
+                    seen = np.zeros(1 << _BITS, bool)
+                    seen[tx.mix(key) >> U64(64 - _BITS)] = True
+                    self.tables.append((mask, key[order], at[order], item[at[order]], seen))
 
     def hits(self, word: np.ndarray, doc: np.ndarray):
         """Distinct (document, item, diagonal) with an equal seed; the diagonal is the document's word minus the item's."""
-        out = []
+        items, low_diagonal = len(self.ids), int(self.count.max(initial=0))
+        span = len(word) + low_diagonal + 1
+        found = np.zeros(0, I64)
         for mask, keys, at, item, seen in self.tables:
             place, key = _seeds(word, doc, mask)
             maybe = np.flatnonzero(seen[tx.mix(key) >> U64(64 - _BITS)])
             place, key = place[maybe], key[maybe]
             low = np.searchsorted(keys, key, "left")
             many = np.searchsorted(keys, key, "right") - low
-            row = np.repeat(np.arange(len(place)), many)
-            slot = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            k = item[slot]
-            out.append(np.stack([doc[place[row]], k, place[row] - (at[slot] - self.begin[k])], 1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), I64)
+            place, low, many = place[many > 0], low[many > 0], many[many > 0]
+            total = np.concatenate([[0], np.cumsum(many)])
+            for begin in range(0, int(total[-1]), _STEP):
+                nth = np.arange(begin, min(begin + _STEP, int(total[-1])))
+                row = np.searchsorted(total, nth, "right") - 1
+                slot = low[row] + nth - total[row]
+                k = item[slot]
+                own = (doc[place[row]] * items + k) * span + place[row] - (at[slot] - self.begin[k]) + low_diagonal
+                found = np.unique(np.concatenate([found, np.unique(own)]))
+        pair, diagonal = found // span, found % span - low_diagonal
+        return np.stack([pair // items, pair % items, diagonal], 1) if len(found) else np.zeros((0, 3), I64)
 
     def stretch(self, word: np.ndarray, low: int, high: int, item: int, diagonal: int):
-        """(words, equal words, first word in the item) of the best stretch on a diagonal, or None. low, high: the document's words."""
+        """(words, equal words, first word in the item) of the best stretch on a diagonal, or None. low, high: the places of the document's words."""
         size, begin = int(self.count[item]), int(self.begin[item])
         i, j = max(low, diagonal), min(high, diagonal + size)
         same = word[i:j] == self.word[begin + i - diagonal : begin + j - diagonal]
+        if size < SHORTEST:
+            return (size, size, 0) if high - low == size and same.all() else None
+        if len(same) == size and 5 * int(same.sum()) >= 4 * size:
+            return size, int(same.sum()), 0
         if size < self.least:
-            return (size, size, 0) if len(same) == size and same.all() else None
+            return None
         score = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])  # not negative between two places: at least 80 %
         best = np.minimum.accumulate(np.where(np.append(same, False), score, len(same) + 1))  # a stretch starts with an equal word
         first = np.searchsorted(-best, -score, "left")  # the earliest place that isn't above
