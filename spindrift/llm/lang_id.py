@@ -4,11 +4,13 @@ Each language has a probability for every piece of one fixed public vocabulary.
 of a pre-token is the sum over all its segmentations into pieces (forward algorithm), that of a
 text the product over its pre-tokens; the language with the largest posterior (equal priors) wins.
 
-Pre-tokens: runs of letters, lower-cased, with the mark U+2581 in front; a run of more than
-``MAX_RUN`` letters is cut into runs of that length, so the whole text still counts.
+Pre-tokens: runs of letters of any length, lower-cased, with the mark U+2581 in front. All
+segmentations of a run are summed up however long it is: runs of over ``LONG`` characters go one at a
+time, with as many scores held as the longest piece has characters.
 
 Learning: expected piece counts by forward-backward over a bounded sample of labelled rows,
-``docs_per_lang`` rows for each language in expectation, picked by a hash of doc_id. Every language
+``docs_per_lang`` rows for each language in expectation, picked by a hash of doc_id; in learning alone
+a run is cut after each ``LEARNED_RUN`` letters, which bounds a word's tables. Every language
 of a labelled row with a letter is learned; more than ``BLOCK`` are learned and scored in blocks of
 that many, which bounds what is held besides the model. All texts are scored, each in the partition where it is read: no shuffle, and the model (vocabulary size x
 languages doubles) is the only thing that is broadcast.
@@ -35,7 +37,8 @@ from spindrift.llm import _text as tx
 
 U64 = np.uint64
 MARK = "▁"
-MAX_RUN = 64
+LONG = 64
+LEARNED_RUN = 512
 UNKNOWN = 1e-9
 BLOCK = 64  # languages at a time
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -117,7 +120,9 @@ class Model:
         """Natural log of each pre-token's probability in each language."""
         out = np.zeros((len(words), len(self.langs)))
         sizes = np.array([len(w) for w in words], int)
-        for size in np.unique(sizes):
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            out[k] = self._long(_codes([words[k]], int(sizes[k]))[0])
+        for size in np.unique(sizes[sizes <= LONG]):
             rows = np.flatnonzero(sizes == size)
             most = min(20_000, max(1, 80_000 // max(1, len(self.langs))))
             for at in range(0, len(rows), most):
@@ -146,6 +151,39 @@ class Model:
         return np.log(alpha[size]) + scale
 
 
+    def _long(self, codes: np.ndarray, step: int = 2000) -> np.ndarray:
+        """The forward sum of one word, place by place: only the scores that a piece can reach back to are held."""
+        table, langs = self.table(), len(self.langs)
+        reach = table.longest
+        logs = np.zeros(langs)
+        near = np.zeros((reach, langs))  # scores of the last places
+        near[-1] = 1
+        for at in range(0, len(codes), step):
+            to = min(len(codes), at + step)
+            low = max(0, at - reach)
+            prefix = table._prefix(codes[None, low:to])[0]
+            share = np.zeros((to - at, reach, langs))  # of the pieces that end at a place, by where they begin
+            end = np.arange(at + 1, to + 1)
+            for size in range(1, reach + 1):
+                rows = np.flatnonzero(end >= size)
+                key = prefix[end[rows] - low] - prefix[end[rows] - size - low] * tx.powers(size + 1)[size]
+                found = np.flatnonzero(table.seen[key >> U64(44)])
+                place = np.minimum(np.searchsorted(table.key, key[found]), table.size - 1)
+                hit = table.key[place] == key[found]
+                if size == 1:
+                    share[:, -1] = UNKNOWN
+                share[rows[found[hit]], reach - size] = self.probs[table.number[place[hit]]]
+            score = np.concatenate([near, np.zeros((to - at, langs))])
+            for k in range(to - at):
+                own = (score[k : k + reach] * share[k]).sum(0)
+                score[k + reach] = own
+                if k % 8 == 7 or k == to - at - 1:  # keeps numbers away from underflow
+                    score[k + 1 : k + reach + 1] /= own
+                    logs += np.log(own)
+            near = score[-reach:]
+        return logs
+
+
 def _scale(values: np.ndarray, logs: np.ndarray, low: int, high: int, at: int) -> None:
     """Divides the values that are still needed, low to high, by those at a place, and the places not yet reached take the logs over."""
     top = values[at].copy()
@@ -191,11 +229,11 @@ def _expected(table: PieceTable, groups: list[tuple[np.ndarray, np.ndarray]], p:
     return out
 
 
-def pre_tokens(text: str) -> list[str]:
-    """Marked, lower-cased runs of letters."""
+def pre_tokens(text: str, most: int = 0) -> list[str]:
+    """Marked, lower-cased runs of letters; cut after every ``most`` letters if that isn't 0."""
     found = []
     for run in _LETTERS.findall(text.lower()):
-        found += [MARK + run[i : i + MAX_RUN] for i in range(0, len(run), MAX_RUN)] if len(run) > MAX_RUN else [MARK + run]
+        found += [MARK + run[i : i + most] for i in range(0, len(run), most)] if most and len(run) > most else [MARK + run]
     return found
 
 
@@ -212,7 +250,7 @@ def fit(counts: Iterable[tuple[str, str, int]], pieces: list[str], rounds: int =
         groups = []
         for size in sorted({len(w) for w in words}):
             own = [w for w in words if len(w) == size]
-            most = 20_000 if size <= 24 else 5_000  # as much memory as for the longest of the others
+            most = 20_000 if size <= 24 else max(1, 320_000 // size)  # as much memory as for the longest of the others
             for at in range(0, len(own), most):
                 part = own[at : at + most]
                 groups.append((_codes(part, size), np.array([by[lang][w] for w in part], float)))
@@ -243,7 +281,7 @@ def learn(labelled: DataFrame, docs_per_lang: int = 400, vocab: str | None = Non
         for batch in batches:
             n: dict[tuple[str, str], int] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in pre_tokens(text or ""):
+                for word in pre_tokens(text or "", LEARNED_RUN):
                     n[lang, word] = n.get((lang, word), 0) + 1
             keys = list(n)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64())], ["lang", "word", "n"])
@@ -332,17 +370,17 @@ def predict_languages(docs: DataFrame, model: Model, keep: list[str], names: tup
     """The columns ``keep`` of each row, with language and score of the whole text as ``names``."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.probs))
     keep = list(dict.fromkeys(keep))
-    text = "text" if "text" in keep else "__text"
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col("text").alias(text)]))
-    schema = T.StructType([*source.schema.fields[: len(keep)], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    plain = [f"c{k}" for k in range(len(keep))]  # any name may come, and mapInArrow takes dots in names for fields
+    source = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, plain)], F.col("text").alias("text"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         scorer = Scorer(Model(*sent.value))
-        for rows, raw, off in tx.pieces(batches, text):
+        for rows, raw, off in tx.pieces(batches):
             lang, score = scorer.texts(raw, off)
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score)], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*plain, "lang", "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*keep, *names)
 
 
 def held_out(doc_id) -> F.Column:
