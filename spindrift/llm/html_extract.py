@@ -6,26 +6,31 @@ elements that say of themselves that they are something else than the article (b
 whole name in class, id, role or label: menus, headers, footers, sidebars, notices, adverts, reader
 comments) are left out of the tree. On block containers the head word of a name counts too (the
 sidebar of ``right-sidebar``, not the search of ``search-algorithms``), that of an id or label
-only outside an article and where it isn't made from a heading. Names say nothing of paragraphs and
-inline tags in an article, ids nothing of headings, and no name or hidden attribute leaves out what
-holds most of the page's text other than links, unless the page has an article elsewhere, or it is
-reader comments beside other text. Then, for every node, with C characters, T tags, and LC
-characters and LT tags of links in it (each at least 1), and lc, c those of the body:
+only outside an article and where it isn't made from a heading, and none beside a general name
+such as ``content``. Head words with other uses (widget, notice, share) only mark an element: it is
+left out if links make up a third of it, or if it has fewer than SHORT characters and such elements
+aren't most of the page. Names say nothing of
+paragraphs and inline tags in an article, ids nothing of headings, and no name leaves out what holds
+most of the page's text other than links, unless the page has an article elsewhere, or it is reader
+comments beside other text. Hidden parts are text like others. Then, for every node, with C
+characters, T tags, and LC characters and LT tags of links in it (each at least 1), and lc, c those of
+the body:
 
     density = C / T * log(C / LC * T / LT) / log(ln(C / max(1, C - LC) * LC + lc / c * C + e))
 
 The node whose children's densities (runs of own text count as children) have the largest sum is
 the core. The smallest density on the path from the body to it is the threshold; every node from
-the body down that reaches it yields the node of the largest sum within it. If such a node lies in
-an ``article``, or else in ``main``, the whole of that is taken; elsewhere the elements around it are, up
-to the body's children, as long as links make up a third of what they add at most. The blocks of all nodes found, in
-page order, are the text: character references decoded, white space as one space, trimmed, empty
-blocks dropped, two line feeds between them. Nothing else is dropped; pages of any length are whole.
+the body down that reaches it yields the node of the largest sum within it. From such a node the
+elements around it are taken as long as links make up a third of what each adds at most, or half
+within an ``article``, up to the outermost ``article`` it lies in, or else ``main``, or else the body's
+children. The blocks of all nodes found, in page order, are the text: character references decoded,
+white space as one space, trimmed, empty blocks dropped, two line feeds between them. Nothing else is
+dropped; pages of any length and depth are whole.
 
 Defined cases: null or empty html, and pages without text: "". Ties between nodes go to the one
 that comes first, the outer one first. Unclosed or stray tags, cut-off pages and bytes that are no
 markup are read as browsers mostly do. Null keys, repeated rows and extra columns make no
-difference; there is one result row for each input row. Nesting deeper than 500 is flattened.
+difference; there is one result row for each input row.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,8 +67,8 @@ SIBLINGS = {
 }
 # Left out: by tag, by tag outside an article or main, by a word of class, id or role.
 DROP = frozenset(
-    "head title script style noscript template iframe object embed applet svg math canvas audio video map form button select option textarea "
-    "fieldset nav menu aside footer dialog noembed noframes datalist".split()
+    "head title script style noscript template iframe object embed applet svg canvas audio video map form button select option textarea "
+    "nav menu aside footer dialog noembed noframes datalist".split()
 )
 OUTSIDE = frozenset(["header"])
 NAMES = frozenset(
@@ -73,11 +79,12 @@ NAMES = frozenset(
     "widget widgets skip".split()
 )
 NAMES_OUTSIDE = frozenset(["header"])
-# Whole names that say an element is the article, and first words of names that say what an element has, not what it is.
-CONTENT = frozenset(
-    "content main main-content maincontent page-content article article-body article-content articlebody post post-body post-content entry "
-    "entry-content story story-body body-content text wrapper container page".split()
-)
+# Head words that other elements have as well.
+WEAK = frozenset("widget widgets share sharing notice notices alert related search social login signup skip rail subscription subscribe".split())
+SHORT = 100
+# Whole names that say an element is the article; names that many elements have; first words of names that say what an element has, not what it is.
+CONTENT = frozenset("main-content maincontent page-content article article-body article-content articlebody post-body post-content entry-content story-body body-content".split())
+GENERAL = frozenset("content main post entry story text wrapper container page".split())
 MODIFIERS = frozenset("with has no is without js".split())
 # Words at the end of a name that say how an element is built or where it stands, not what it is.
 BUILT = frozenset(
@@ -89,7 +96,6 @@ CONTAINER = frozenset("div section ul ol dl table center header details".split()
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROUNDS = 20
 KEPT = frozenset(["html", "body", "article", "main"])
-DEPTH = 500
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z>][^>]*+(?:>|\Z)"
@@ -97,23 +103,23 @@ _TAG = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_TELLING = re.compile(r"(?:class|id|role|aria-label|style)\s*=|hidden", re.I)
+_TELLING = re.compile(r"(?:class|id|role|aria-label)\s*=", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
-_NONE = re.compile(r"display\s*:\s*none", re.I)
 _MADE = re.compile(r"section|level[1-6]")  # classes of the containers that get their heading's id
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "weak")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.children: list = []  # nodes and strings
+        self.weak = False  # its name says that it may be left out
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
 
 
 def _named(tag: str, rest: str, inside: bool) -> str:
-    """Why an element is left out ("tag", "comments" or "name"), or ""."""
+    """Why an element is left out ("tag", "comments" or "name"), "weak" if its name alone isn't enough, or ""."""
     if tag in DROP or (tag in OUTSIDE and not inside):
         return "tag"
     if tag in KEPT or not rest or not _TELLING.search(rest):
@@ -121,8 +127,6 @@ def _named(tag: str, rest: str, inside: bool) -> str:
     given: dict[str, str] = {}
     for found in _ATTRIBUTE.finditer(rest):
         given.setdefault(found[1].lower(), found[2] or found[3] or found[4] or "")
-    if "hidden" in given or _NONE.search(given.get("style", "")):
-        return "name"
     classes = given.get("class", "").lower().split()
     container = tag in CONTAINER or "-" in tag
     if inside and (tag in HEADINGS or tag in ("p", "a") or tag not in BLOCK and not container):
@@ -132,19 +136,28 @@ def _named(tag: str, rest: str, inside: bool) -> str:
     if tag not in HEADINGS:
         names += [(x, container and not made) for x in given.get("id", "").lower().split()]
         names += [(x, container and not made) for x in [" ".join(given.get("aria-label", "").lower().split())] if x]
-    why = ""
+    found: set[str] = set()
     for name, by_head in names:
         if name in CONTENT:
             return ""
         words = _WORD.findall(name)
+        if name in GENERAL:
+            found.add("general")
         if not words or words[0] in MODIFIERS:
             continue
         while by_head and len(words) > 1 and (words[-1] in BUILT or words[-1].isdigit()):
             words.pop()
         word = words[-1] if by_head or len(words) == 1 else ""
         if word in NAMES or (word in NAMES_OUTSIDE and not inside):
-            why = "comments" if word in COMMENTS else why or "name"
-    return why
+            if len(words) == 1 or all(w in NAMES for w in words):
+                found.add("comments" if word in COMMENTS else "name")
+            else:
+                found.add("weak" if word in WEAK else "head comments" if word in COMMENTS else "head")
+    if found & {"comments", "name"}:
+        return "comments" if "comments" in found else "name"
+    if "general" in found or not found:
+        return ""
+    return "comments" if "head comments" in found else "name" if "head" in found else "weak"
 
 
 def parse(page: str) -> Node:
@@ -161,7 +174,8 @@ def parse(page: str) -> Node:
 def _parse(page: str, kept: set[int] | None) -> tuple[Node, int | None]:
     """The tree without elements left out by name, but for those that begin at the places kept (None: all); and the place of one that holds most of the text."""
     root = Node("body", None)
-    node, depth = root, 0
+    node = root
+    opened: Counter = Counter()  # elements that are open, by tag
     at, size = 0, len(page)
     skip: list[str] = []  # open elements from the one that is left out
     seen = False  # an article or main element
@@ -200,17 +214,15 @@ def _parse(page: str, kept: set[int] | None) -> tuple[Node, int | None]:
                     while skip.pop() != tag:
                         pass
                     dead = dead if dead <= len(skip) else 0
-                elif tag in KEPT or tag in BLOCK and _open(node, tag):  # its parent ends, and so does it
+                elif tag in KEPT or tag in BLOCK and _open(node, tag, opened):  # its parent ends, and so does it
                     skip.clear()
                     dead = 0
-                    node, depth = _close(node, tag, depth)
+                    node = _close(node, tag, opened)
             elif tag in ("article", "main") and not seen and skip[0] not in DROP:
                 dead = 0
                 skip.clear()  # what holds the page's article isn't left out
                 seen = True
-                node = Node(tag, node)
-                node.parent.children.append(node)
-                depth += 1
+                node = _enter(node, tag, opened)
             elif tag in RAW:
                 at = _after(page, tag, at)
             elif tag not in VOID and not rest.endswith("/"):
@@ -220,7 +232,7 @@ def _parse(page: str, kept: set[int] | None) -> tuple[Node, int | None]:
             continue
         if closing:
             if tag in BLOCK:
-                node, depth = _close(node, tag, depth)
+                node = _close(node, tag, opened)
             elif tag == "br":
                 node.children.append(" ")
             continue
@@ -233,19 +245,19 @@ def _parse(page: str, kept: set[int] | None) -> tuple[Node, int | None]:
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P and _open(node, "p"):
-            node, depth = _close(node, "p", depth)
-        if tag in SIBLINGS:
+        if tag in CLOSES_P and _open(node, "p", opened):
+            node = _close(node, "p", opened)
+        if tag in SIBLINGS and any(opened[x] for x in SIBLINGS[tag][0]):
             own, limit = SIBLINGS[tag]
-            up, steps, best = node, 0, None
+            up, best = node, None
             while up and up.tag not in limit:
                 if up.tag in own:
                     best = up
                 up = up.parent
             if best:
-                node = best.parent
+                node = _leave(node, best, opened)
         why = _named(tag, rest, node.inside)
-        if why and (why == "tag" or kept is not None and cut not in kept):
+        if why and why != "weak" and (why == "tag" or kept is not None and cut not in kept):
             if tag not in VOID and not rest.endswith("/"):
                 skip = [tag]
                 dead = int(why == "tag" or tag == "a" or _open_link(node))
@@ -256,10 +268,9 @@ def _parse(page: str, kept: set[int] | None) -> tuple[Node, int | None]:
             continue
         if tag == "hr":
             node.children.append(None)
-        elif tag in BLOCK and depth < DEPTH and not (rest.endswith("/") and tag != "a"):
-            new = Node(tag, node)
-            node.children.append(new)
-            node, depth = new, depth + 1
+        elif tag in BLOCK and not (rest.endswith("/") and tag != "a"):
+            node = _enter(node, tag, opened)
+            node.weak = why == "weak"
             seen = seen or tag in ("article", "main")
     total = ours + sum(x[2] for x in left)
     place, why, most, within = max(left, key=lambda x: x[2], default=(None, "", 0, False))
@@ -272,7 +283,25 @@ def _open_link(node: Node) -> bool:
     return node.tag == "a" or bool(node.parent and node.parent.tag == "a")
 
 
-def _open(node: Node | None, tag: str) -> bool:
+def _enter(node: Node, tag: str, opened: Counter) -> Node:
+    new = Node(tag, node)
+    node.children.append(new)
+    opened[tag] += 1
+    return new
+
+
+def _leave(node: Node, last: Node, opened: Counter) -> Node:
+    """The parent of an open element that ends, and with it all within."""
+    while node is not last:
+        opened[node.tag] -= 1
+        node = node.parent
+    opened[node.tag] -= 1
+    return node.parent
+
+
+def _open(node: Node | None, tag: str, opened: Counter) -> bool:
+    if not opened[tag]:
+        return False
     while node:
         if node.tag == tag:
             return True
@@ -282,12 +311,13 @@ def _open(node: Node | None, tag: str) -> bool:
     return False
 
 
-def _close(node: Node, tag: str, depth: int) -> tuple[Node, int]:
-    if not _open(node, tag) or tag == "body":
-        return node, depth
-    while node.tag != tag:
-        node, depth = node.parent, depth - 1
-    return node.parent or node, depth - 1
+def _close(node: Node, tag: str, opened: Counter) -> Node:
+    if tag == "body" or not _open(node, tag, opened):
+        return node
+    last = node
+    while last.tag != tag:
+        last = last.parent
+    return _leave(node, last, opened)
 
 
 def _after(page: str, tag: str, at: int) -> int:
@@ -310,8 +340,8 @@ def _order(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> list[Node]:
-    """Characters, tags, densities and sums of every node; returns them parents first."""
-    nodes = _order(root)
+    """Characters, tags, densities, sums and the best node within of every node; returns them parents first."""
+    nodes = _prune(root)
     runs: dict[int, list[int]] = {}
     for node in reversed(nodes):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
@@ -337,9 +367,45 @@ def measure(root: Node) -> list[Node]:
         node.density = _density(node.chars, node.tags, node.chars if node.tag == "a" else node.link_chars, node.link_tags + (node.tag == "a"), share)
     for node in nodes:
         node.total = sum(c.density for c in node.children if isinstance(c, Node) and c.tag != "a") + sum(_density(n, 0, 0, 0, share) for n in runs[id(node)])
+    for node in reversed(nodes):
+        node.best = node
+        for c in node.children:
+            if isinstance(c, Node) and c.best.total > node.best.total:
+                node.best = c.best
     return nodes
 
 
+def _cut(node: Node) -> None:
+    """Takes a node out; the text before and after it aren't one block."""
+    above = node.parent.children
+    above[next(k for k, x in enumerate(above) if x is node)] = None
+
+
+def _prune(root: Node) -> list[Node]:
+    """All nodes, parents first, without those that their names mark and that are to a third links, or short and not most of the page."""
+    nodes = _order(root)
+    if not any(x.weak for x in nodes):
+        return nodes
+    size: dict[int, tuple[int, int]] = {}
+    for node in reversed(nodes):
+        own = sum(len("".join(x.split())) for x in node.children if isinstance(x, str))
+        inner = [size[id(x)] for x in node.children if isinstance(x, Node)]
+        n = own + sum(x[0] for x in inner)
+        size[id(node)] = n, n if node.tag == "a" else sum(x[1] for x in inner)
+    total, links = size[id(root)]
+    short = []
+    for node in nodes:
+        n, own = size[id(node)]
+        if node.weak and 3 * own >= n > 0:
+            _cut(node)
+        elif node.weak and n < SHORT:
+            short.append(node)
+    if 2 * sum(size[id(x)][0] - size[id(x)][1] for x in short if not any(x.parent is y for y in short)) < total - links:
+        for node in short:
+            _cut(node)
+    return _order(root)
+
+
 def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
     if not chars:
         return 0.0
@@ -349,21 +415,19 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
     return chars / t * power
 
 
-def _largest(node: Node) -> Node:
-    return max(_order(node), key=lambda x: x.total)
-
-
 def _whole(node: Node) -> Node:
-    """The article that a node lies in, or else the main element, or else the largest element below the body around it that adds text but few links."""
-    best = {}
+    """The largest element around a node that adds text but few links at every step, within its article, its main element or the body."""
+    limits = {}
     up = node
     while up:
         if up.tag in ("article", "main"):
-            best[up.tag] = up
+            limits[up.tag] = up
         up = up.parent
-    if best:
-        return best.get("article") or best["main"]
-    while node.parent and node.parent.parent and 3 * (node.parent.link_chars - node.link_chars) <= node.parent.chars - node.chars:
+    limit = limits.get("article") or limits.get("main")
+    while node is not limit and node.parent and (limit or node.parent.parent):
+        part = 2 if node.parent.inside and "article" in limits else 3
+        if part * (node.parent.link_chars - node.link_chars) > node.parent.chars - node.chars:
+            break
         node = node.parent
     return node
 
@@ -411,13 +475,14 @@ def main_text(page: str | None) -> str:
         up = up.parent
     chosen: list[Node] = []
     taken: set[int] = set()
+    tried: dict[int, Node] = {}
     todo = [root]
     while todo:
         node = todo.pop()
         if id(node) in taken or node.tag == "a":
             continue
         if node.density >= threshold:
-            found = _whole(_largest(node))
+            found = tried.get(id(node.best)) or tried.setdefault(id(node.best), _whole(node.best))
             if id(found) not in taken and found.total:
                 chosen.append(found)
                 taken.update(id(x) for x in _order(found))
