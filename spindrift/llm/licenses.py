@@ -1,12 +1,17 @@
 """Licence scans with a trained paragraph classifier.
 
-Paragraphs are the non-empty lines of a text. A multinomial logistic regression over sparse word
+Paragraphs are the lines of a text that aren't blank, wrapped lines joined: a line of at most ``WRAPPED``
+bytes that ends in a letter, digit, comma, hyphen or other sign within a sentence goes on in the next
+line unless that is blank. A multinomial logistic regression over sparse word
 1- to 3-grams tells licence families from one another and from everything else. It is trained here,
 on notices made of fixed templates and on paragraphs that aren't licences: sentences that use the
-same words otherwise, notices of made-up licences, and at most ``sample`` lines of the corpus
-without such words. A held-out third of the notices calibrates it: a temperature that minimises
-the log loss, and the least probability at which at least 99 % of the held-out decisions for a
-family are right; below it, or where "unknown" is the likeliest class, a paragraph is unknown.
+same words and names otherwise, notices of other and of made-up licences, and at most ``sample`` lines of
+the corpus without such words.
+
+For calibration it is fitted without every third name of each family (and every third sentence that
+is no notice) and judged on these: a temperature that minimises the log loss, and the least
+probability at which at least 99 % of the decisions for a family are right. Then it is fitted on all.
+Below that probability, or where "unknown" is the likeliest class, a paragraph is unknown.
 A prediction is confirmed if a template of its family is found in the paragraph: at least 60 % of
 the template's word pairs.
 
@@ -14,8 +19,8 @@ Every paragraph of every text is scored where it is read; those without any know
 score of the constant term, which is unknown. The model, a few thousand n-grams, is broadcast.
 
 Defined cases: null or empty text: no paragraph. Null or repeated doc_ids give rows like others.
-Ties between families go to the first in alphabetical order. Empty table: no rows. Extra columns are
-not looked at. Lines of any length are whole.
+Ties between families go to the first in alphabetical order. Empty table: no rows. Extra columns,
+whatever their names, are not looked at. Lines and paragraphs of any length are whole.
 """
 
 from __future__ import annotations
@@ -74,7 +79,14 @@ OTHERWISE = [
     "Mozilla released a new version of its browser.", "The foundation published software for students.", "Permission to enter is granted by the office.", "The creative commons room is open to the public.",
     "Attribution of the painting is uncertain.", "The terms of the agreement were published.", "This work is under review.", "The version 2.0 of the software was released.", "The source is available under the bridge.",
 ]
-MADE_UP = ["{} Public License", "{} License, version 1.0", "{} Community License", "{}-1.0", "Acme {} terms"]
+MADE_UP = ["{} Public License", "{} License, version 1.0", "{} Community License", "{}-1.0", "Acme {} terms", "{} Public License 2.0", "{} Public License, version 2.0", "{} License 2.0", "{}-2.0", "{} v3"]
+# Names of licences outside the families.
+OTHER_LICENCES = ["Eclipse Public License 2.0", "Eclipse Public License - v 1.0", "Artistic License 2.0", "Boost Software License 1.0", "zlib License", "PostgreSQL License", "European Union Public Licence 1.2", "Common Development and Distribution License", "Microsoft Public License", "SIL Open Font License 1.1", "Python Software Foundation License", "Open Software License 3.0", "Academic Free License v. 3.0", "Do What The F*ck You Want To Public License", "EPL-2.0", "BSL-1.0", "Business Source License 1.1", "Server Side Public License"]
+ABOUT_NAMES = ["The {} meeting was held on Monday.", "{} was held in the city.", "{} released a new report.", "He works at {}.", "A talk about {} and others.", "{} is a member of the council.", "The head of {} said that it was late.", "We went to the {} office."]
+SHORT_NAMES = ["MIT", "ISC", "BSD", "GPL", "MPL", "GNU", "Apache", "Mozilla", "CC", "Expat", "Creative Commons"]
+WRAPPED = 120
+_GOES_ON = np.zeros(256, bool)
+_GOES_ON[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), *b",-()'\"/&"]] = True
 UNKNOWN = "unknown"
 _ABOUT = re.compile(r"licen[cs]|copyright|redistribut|permission|public domain|\bcc\b|creative commons|gnu|apache|mozilla", re.I)
 
@@ -93,8 +105,8 @@ def _features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text number) of the lines that aren't empty."""
+def _paragraphs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text number) of the lines that aren't blank, wrapped ones joined."""
     cut = np.flatnonzero(raw == 0x0A)
     doc_cut = np.searchsorted(off, cut, "right") - 1
     start = np.concatenate([off[:-1], cut + 1])
@@ -104,8 +116,18 @@ def _lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     end = off[doc + 1].copy()
     same = doc[1:] == doc[:-1]
     end[:-1][same] = start[1:][same] - 1
-    full = end > start
-    return start[full], end[full], doc[full]
+    solid = np.concatenate([[0], np.cumsum(~tx._SPACE[raw])])
+    full = solid[end] > solid[start]
+    if not full.any():
+        return start[:0], end[:0], doc[:0]
+    number = np.flatnonzero(full)
+    start, end, doc = start[full], end[full], doc[full]
+    place = np.flatnonzero(~tx._SPACE[raw])
+    last = place[solid[end] - 1]  # the last byte that isn't white space
+    joined = np.zeros(len(start), bool)
+    joined[1:] = (number[1:] == number[:-1] + 1) & (doc[1:] == doc[:-1]) & _GOES_ON[raw[last[:-1]]] & (end[:-1] - start[:-1] <= WRAPPED)
+    begins = np.flatnonzero(~joined)
+    return start[begins], end[np.append(begins[1:], len(start)) - 1], doc[begins]
 
 
 @dataclass
@@ -140,89 +162,142 @@ def _pairs(text: str) -> np.ndarray:
     return np.unique(word[:-1] * tx.powers(8)[1] + word[1:] * tx.powers(8)[2]) if len(word) > 1 else np.unique(word)
 
 
-def train(corpus_lines: list[str], seed: int = 3, rounds: int = 150) -> Classifier:
-    """Fit, calibrate and add the templates."""
-    rng = np.random.default_rng(seed)
-    texts: list[str] = []
-    label: list[str] = []
-    part: list[int] = []
-    words = [w for x in corpus_lines[:500] for w in x.split()[:20]] or ["lorem", "ipsum"]
-    templates: dict[str, list[str]] = {}
-    for family, names in NAMES.items():
-        templates[family] = [p.format(n) for n in names for p in NOTICES] + GRANTS.get(family, [])
-        for k, x in enumerate(templates[family]):
-            for copy in range(2):  # as it is, and between other words
-                around = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(2)] if copy else ["", ""]
-                texts.append(f"{around[0]} {x} {around[1]}")
-                label.append(family)
-                part.append(k % 3)
-    other = [*OTHERWISE, *(p.format(m.format(w.strip(".,").title())) for p in NOTICES for m in MADE_UP for w in rng.choice(words, 4)), *corpus_lines, ""]
-    for k, x in enumerate(other):
-        texts.append(x)
-        label.append(UNKNOWN)
-        part.append(k % 3)
-    families = [UNKNOWN, *sorted(NAMES)]
-    y, part_ = np.array([families.index(f) for f in label]), np.array(part)
+class Grams:
+    """A sparse 0/1 matrix of paragraphs x n-grams."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, n: int, m: int):
+        own = np.unique(row * m + column) if len(row) else np.zeros(0, I64)
+        self.n, self.m, self.row, self.column = n, m, own // m, own % m
+        self.by_column = np.argsort(self.column, kind="stable")
+
+    @staticmethod
+    def _sums(values: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+        """Sums of rows by sorted key."""
+        out = np.zeros((n, values.shape[1]))
+        if len(key):
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            out[key[start]] = np.add.reduceat(values, start, axis=0)
+        return out
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return self._sums(w[self.column], self.row, self.n)
+
+    def transposed_times(self, d: np.ndarray) -> np.ndarray:
+        return self._sums(d[self.row[self.by_column]], self.column[self.by_column], self.m)
+
+
+def loss_and_gradient(x: Grams, w: np.ndarray, b: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-5):
+    """Weighted log loss with a penalty of decay / 2 times the squared weights; its gradients by w and b."""
+    z = x.times(w) + b
+    z -= z.max(1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(1, keepdims=True)
+    rows = np.arange(len(y))
+    loss = -(weight * np.log(p[rows, y])).sum() + decay / 2 * (w * w).sum()
+    p[rows, y] -= 1
+    p *= weight[:, None]
+    return loss, x.transposed_times(p) + decay * w, p.sum(0)
+
+
+def _fit(texts: list[str], y: np.ndarray, families: list[str], rounds: int) -> Classifier:
+    """Adam on the whole loss; n-grams are those that occur twice in notices."""
     rows, keys = _features(*tx.utf8(pa.array(texts)))
-    held = part_ == 2
-    key, count = np.unique(keys[~held[rows] & (y[rows] > 0)], return_counts=True)
-    key = key[count > 1]  # n-grams of the notices
+    key, count = np.unique(keys[y[rows] > 0], return_counts=True)
+    key = key[count > 1]
     at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
     hit = key[at] == keys
-    x = np.zeros((len(texts), len(key)), np.float32)
-    x[rows[hit], at[hit]] = 1
-    w, b = np.zeros((len(key), len(families)), np.float32), np.zeros(len(families), np.float32)
-    target = np.eye(len(families), dtype=np.float32)[y]
-    fit = ~held
-    balance = (1 / np.bincount(y[fit], minlength=len(families)))[y[fit]].astype(np.float32)
-    balance[y[fit] == 0] *= len(families)
-    balance /= balance.sum()
-    m1, m2 = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
+    x = Grams(rows[hit], at[hit], len(texts), len(key))
+    weight = (1 / np.maximum(1, np.bincount(y, minlength=len(families))))[y]
+    weight[y == 0] *= len(families)
+    weight /= weight.sum()
+    values = [np.zeros((len(key), len(families))), np.zeros(len(families))]
+    m1, m2 = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for t in range(1, rounds + 1):
-        z = x[fit] @ w + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        d = (p - target[fit]) * balance[:, None]
-        for k, (v, g) in enumerate(((w, x[fit].T @ d + 1e-5 * w), (b, d.sum(0)))):
+        for k, g in enumerate(loss_and_gradient(x, *values, y, weight)[1:]):
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.999 * m2[k] + 0.001 * g * g
-            v -= 0.1 * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
-    model = Classifier(families, key, w.astype(float), b.astype(float))
-    logits = x[held] @ w + b
+            values[k] -= 0.1 * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
+    return Classifier(families, key, *values)
+
+
+def _calibrate(model: Classifier, texts: list[str], y: np.ndarray) -> None:
+    rows, keys = _features(*tx.utf8(pa.array(texts)))
+    logits = model.logits(rows, keys, len(texts))
     loss = []
     for t in np.geomspace(0.25, 8, 21):
         model.temperature = float(t)
-        loss.append((-np.log(model.probabilities(logits)[np.arange(held.sum()), y[held]] + 1e-12).mean(), float(t)))
+        loss.append((-np.log(model.probabilities(logits)[np.arange(len(y)), y] + 1e-12).mean(), float(t)))
     model.temperature = min(loss)[1]
     p = model.probabilities(logits)
     guess, top = p.argmax(1), p.max(1)
-    order = np.argsort(-top)
+    order = np.argsort(-top, kind="stable")
     order = order[guess[order] > 0]
-    right = np.cumsum(guess[order] == y[held][order]) / np.arange(1, len(order) + 1)
+    right = np.cumsum(guess[order] == y[order]) / np.arange(1, len(order) + 1)
     good = np.flatnonzero(right >= 0.99)
-    model.threshold = float(max(0.5, top[order][good[-1]])) if len(good) else 0.99
+    model.threshold = float(top[order][good[-1]]) if len(good) else 0.99
+
+
+def _stretches(grant: str, size: int = 12) -> list[str]:
+    """Overlapping stretches of a sentence: notices are often cited in part."""
+    words = grant.split()
+    return [" ".join(words[i : i + size]) for i in range(0, len(words) - size // 2, size // 2)]
+
+
+def train(corpus_lines: list[str], seed: int = 3, rounds: int = 150) -> Classifier:
+    """Fit without the held-out part, calibrate on it, fit on all and add the templates."""
+    rng = np.random.default_rng(seed)
+    texts: list[str] = []
+    label: list[str] = []
+    held: list[bool] = []
+    words = [w for x in corpus_lines[:500] for w in x.split()[:20]] or ["lorem", "ipsum"]
+    templates: dict[str, list[str]] = {}
+    for family, names in NAMES.items():
+        own = [(p.format(n), k % 3 == 2) for k, n in enumerate(names) for p in NOTICES] + [(x, False) for g in GRANTS.get(family, []) for x in (g, *_stretches(g))]
+        templates[family] = [x for x, _ in own]
+        for x, out in own:
+            for copy in range(2):  # as it is, and between other words
+                around = [" ".join(rng.choice(words, rng.integers(0, 12))) for _ in range(2)] if copy else ["", ""]
+                texts.append(f"{around[0]} {x} {around[1]}")
+                label.append(family)
+                held.append(out)
+    made_up = [m.format(w.strip(".,").title()) for m in MADE_UP for w in rng.choice(words, 4)]
+    other = [*OTHERWISE, *(p.format(x) for p in NOTICES for x in [*made_up, *OTHER_LICENCES]), *(p.format(n) for p in ABOUT_NAMES for n in SHORT_NAMES), *corpus_lines, ""]
+    texts += other
+    label += [UNKNOWN] * len(other)
+    held += [k % 3 == 2 for k in range(len(other))]
+    families = [UNKNOWN, *sorted(NAMES)]
+    y, out = np.array([families.index(f) for f in label]), np.array(held)
+    some = lambda keep: [t for t, k in zip(texts, keep) if k]
+    trial = _fit(some(~out), y[~out], families, rounds)
+    _calibrate(trial, some(out), y[out])
+    model = _fit(texts, y, families, rounds)
+    model.temperature, model.threshold = trial.temperature, trial.threshold
     model.pairs = {f: [_pairs(t) for t in own] for f, own in templates.items()}
     return model
 
 
-def scan(docs: DataFrame, sample: int = 3000, confirm: float = 0.6) -> DataFrame:
-    """(doc_id, paragraph, start, end, family, probability, template_share, confirmed) of every paragraph with a family; start and end are byte offsets, paragraph counts the non-empty lines from 0."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _sampled_lines(docs: DataFrame, sample: int) -> list[str]:
+    """At most ``sample`` lines that say nothing of licences, ten of a text."""
     total = docs.count()
     space = 1 << 62
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(space)) < F.lit(min(space, space * (sample // 10) // max(1, total)))).select(F.slice(F.split("text", "\n"), 1, 10).alias("x"))
-    lines = [x for r in some.orderBy("x").limit(sample // 10).collect() for x in (r["x"] or []) if x and not _ABOUT.search(x)]
-    sent = docs.sparkSession.sparkContext.broadcast(train(lines))
+    return [x for r in some.orderBy("x").limit(sample // 10).collect() for x in (r["x"] or []) if x and not _ABOUT.search(x)]
+
+
+def scan(docs: DataFrame, sample: int = 3000, confirm: float = 0.6, model: Classifier | None = None) -> DataFrame:
+    """(doc_id, paragraph, start, end, family, probability, template_share, confirmed) of every paragraph with a family; start and end are byte offsets, paragraph counts from 0."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sent = docs.sparkSession.sparkContext.broadcast(model or train(_sampled_lines(docs, sample)))
 
     def run(batches):
         model = sent.value
         seen = np.zeros(1 << 20, bool)
         seen[model.key >> U64(44)] = True
         for rows, raw, off in tx.pieces(batches):
-            start, end, doc = _lines(raw, off)
+            start, end, doc = _paragraphs(raw, off)
             if not len(start):
                 continue
-            own, keys = _features(raw, np.append(start, len(raw)))
+            own, keys = _features(raw, np.append(start, len(raw)))  # what lies between two paragraphs is white space
             maybe = seen[keys >> U64(44)]
             logits = model.logits(own[maybe], keys[maybe], len(start))
             p = model.probabilities(logits)
