@@ -9,8 +9,8 @@ so suffixes are sorted only where a repeat is possible and undecided:
    positions are anchors. With each anchor go a hash of its gram, a hash of its context (all bytes
    that a string around it can cover, and where the text ends) and the document, as packed blocks
    by gram. Within a task, equal contexts leave only their first document.
-2. By gram: a context that an earlier document has as well (gram and context hash, over 100 bits
-   together) marks all its strings. A gram with one context marks nothing. What is left are first
+2. By gram: a context that an earlier document has as well (40 bits of the gram's hash and 56 of the
+   context's) marks all its strings. A gram with one context marks nothing. What is left are first
    holders of contexts around grams that have several contexts: edges of passages and near copies.
 3. Those suffixes, starting at every offset of the string around the anchor, are range-partitioned
    by the leading bytes of the anchor with sampled splitters, and each bucket sorts them by
@@ -21,6 +21,9 @@ so suffixes are sorted only where a repeat is possible and undecided:
    context in step 2, taken as undecided, and sorted where half of their context is equal.
 4. Marks go back to their documents, whose compressed texts are shuffled once for both uses.
 
+``compare_all`` leaves step 2 out: every anchor's suffixes are sorted, and no byte is removed without
+having been compared. That moves some seven bytes for each byte of text.
+
 Defined cases: null or empty text: 0 bytes, nothing removed. Null doc_id: its row is returned with
 nothing removed and counts as no document's source. A doc_id that occurs several times is several
 texts of one rank: none of them removes from another, each is judged against smaller ids. Ties of
@@ -418,20 +421,34 @@ def _spans_by_uid(batches):
     yield pa.RecordBatch.from_arrays([pa.array(uid[start]), pa.array([pair[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist())], pa.binary())], ["uid", "spans"])
 
 
-def removed_spans(n: int, full: bytes | None, spans: bytes | None, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal removed runs (starts, ends) of a text of n bytes."""
-    pos = np.frombuffer(full or b"", np.uint32).astype(I64)
-    pair = np.frombuffer(spans or b"", np.uint32).astype(I64).reshape(-1, 2)
-    start = np.concatenate([np.maximum(0, pos - (length - K)), pair[:, 0]])
-    end = np.minimum(n, np.concatenate([pos + length, pair[:, 1]]))
+def _joined(start: np.ndarray, end: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unions of intervals; those at most ``gap`` apart are one."""
     if not len(start):
         return start, end
     order = np.argsort(start)
     start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.concatenate([[True], start[1:] > end[:-1]])
+    new = np.concatenate([[True], start[1:] > end[:-1] + gap])
     return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
+def removed_spans(raw: np.ndarray, full: bytes | None, spans: bytes | None, length: int, least_bytes: int = 0, over_words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal removed runs (starts, ends) of a text. A run of places at each of which a repeated string starts counts only if the strings cover ``least_bytes`` bytes together, or more than ``over_words`` words."""
+    pos = np.frombuffer(full or b"", np.uint32).astype(I64)
+    pair = np.frombuffer(spans or b"", np.uint32).astype(I64).reshape(-1, 2)
+    first = np.concatenate([np.maximum(0, pos - (length - K)), pair[:, 0]])
+    last = np.minimum(len(raw) - length, np.concatenate([pos, pair[:, 1] - length]))
+    start, end = _joined(first, last, 1)
+    end = end + length
+    if least_bytes and len(start):
+        keep = end - start >= least_bytes
+        if over_words is not None:
+            solid = ~tx._SPACE[raw]
+            begins = np.concatenate([[0], np.cumsum(solid[1:] & ~solid[:-1])])  # words that begin after a place
+            keep |= begins[end - 1] - begins[start] + solid[start] > over_words
+        start, end = start[keep], end[keep]
+    return _joined(start, end, 0)
+
+
 def _digest(length: int):
     """Step 4: counts and the digest of what is left."""
 
@@ -441,7 +458,7 @@ def _digest(length: int):
             full, spans = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("full", "spans"))
             n_removed, n_spans, sha = [], [], []
             for k, raw in enumerate(_unzip(batch, codec)):
-                start, end = removed_spans(len(raw), full[k], spans[k], length)
+                start, end = removed_spans(raw, full[k], spans[k], length)
                 n_removed.append(int((end - start).sum()))
                 n_spans.append(len(start))
                 digest, at = hashlib.sha256(), 0
@@ -455,7 +472,7 @@ def _digest(length: int):
     return run
 
 
-def _keep_text(length: int, rest: list[str]):
+def _keep_text(length: int, rest: list[str], least_bytes: int, over_words: int | None):
     """Step 4: the text that is left; bytes of a character that was cut in two go as well."""
     names = ["doc_id", "text", "changed", *rest]
 
@@ -465,7 +482,7 @@ def _keep_text(length: int, rest: list[str]):
             full, spans = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("full", "spans"))
             out, changed = [], []
             for k, raw in enumerate(_unzip(batch, codec)):
-                start, end = removed_spans(len(raw), full[k], spans[k], length)
+                start, end = removed_spans(raw, full[k], spans[k], length, least_bytes, over_words)
                 keep = np.ones(len(raw), bool)
                 for s, e in zip(start.tolist(), end.tolist()):
                     keep[s:e] = False
@@ -476,7 +493,7 @@ def _keep_text(length: int, rest: list[str]):
     return run
 
 
-def _sampled(docs: DataFrame, length: int, parts: int, hot_from: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _sampled(docs: DataFrame, total: int, length: int, parts: int, hot_from: int | None) -> tuple[np.ndarray, np.ndarray]:
     """From anchors of about SAMPLED_DOCS texts, SAMPLED_EACH of a text: at most parts - 1 leading eight-byte values that part them evenly, and the hot grams, those that make up an eighth of a partition's share and occur 8 times at least, or else ``hot_from`` times. The sample bears on balance alone, not on the result."""
 
     def run(batches):
@@ -488,7 +505,6 @@ def _sampled(docs: DataFrame, length: int, parts: int, hot_from: int | None) ->
             leads = _words8(raw, 16)[16:][chosen].astype("<u8").view(np.uint8).reshape(-1, 8)[:, ::-1]
             yield pa.RecordBatch.from_arrays([pa.array([leads.tobytes()], pa.binary()), pa.array([gram[order][rank < SAMPLED_EACH].tobytes()], pa.binary())], ["leads", "grams"])
 
-    total = docs.count()
     chosen = docs.where(F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(max(1, total // SAMPLED_DOCS))) == 0).select("text")
     rows = chosen.mapInArrow(run, "leads binary, grams binary").collect()
     leads, grams = (np.concatenate([np.zeros(0, U64), *[np.frombuffer(bytes(r[c]), "<u8").astype(U64) for r in rows]]) for c in ("leads", "grams"))
@@ -499,18 +515,36 @@ def _sampled(docs: DataFrame, length: int, parts: int, hot_from: int | None) ->
     return np.unique(leads[(np.arange(1, parts) * len(leads)) // parts]), grams[count >= (hot_from or max(8, len(leads) / (8 * parts)))]
 
 
-def mark_repeats(docs: DataFrame, length: int = 50, hot_from: int | None = None) -> DataFrame:
+def _all_anchors(length: int):
+    """Every anchor of every text as one whose suffixes are to be sorted."""
+
+    def run(batches):
+        for rows, raw, off in tx.pieces(batches, "text", _PIECE):
+            at, _, doc = anchors(raw, off, length)
+            uid = rows.column(rows.schema.get_field_index("uid")).to_numpy()
+            bound = np.searchsorted(doc, np.arange(len(off)))
+            part = [(at[a:b] - off[k]).astype(np.uint32).tobytes() if b > a else None for k, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist()))]
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.nulls(len(uid), pa.binary()), pa.array(part, pa.binary())], ["uid", "full", "part"])
+
+    return run
+
+
+def mark_repeats(docs: DataFrame, length: int = 50, hot_from: int | None = None, compare_all: bool = False) -> DataFrame:
     """(uid, doc_id, n_bytes, z, full, spans) of the rows of (uid, doc_id, text), and the columns that follow those; uid identifies a row and is doc_id where that is unique."""
     if length < 24:
         raise ValueError("strings of fewer than 24 bytes aren't supported")
     spark = docs.sparkSession
-    parts = tx.partitions(spark)
-    same = not docs.where("uid != doc_id").head(1)
-    fine = 2 * parts
     texts = docs.select("uid", "doc_id", "text")
-    splitters, hot = _sampled(texts, length, fine, hot_from)
-    found = tx.deal(texts.mapInArrow(_screen(length, fine, same, hot), _A), fine).mapInArrow(_decide(parts, same, hot), "bucket int, uid binary, pos binary, kind binary")
-    marks = tx.table(tx.deal(found, parts).mapInArrow(_rows_by_uid, "uid long, full binary, part binary"), "marks")
+    total = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.max(F.col("uid") != F.col("doc_id")).alias("other")).first()
+    parts = tx.partitions(spark, 2 * (total["size"] or 0))  # the records of step 1 take up to twice the bytes of the texts
+    same = not total["other"]
+    fine = 2 * parts
+    splitters, hot = _sampled(texts, total["n"], length, fine, hot_from)
+    if compare_all:
+        marks = texts.mapInArrow(_all_anchors(length), "uid long, full binary, part binary")
+    else:
+        found = tx.deal(texts.mapInArrow(_screen(length, fine, same, hot), _A), fine).mapInArrow(_decide(parts, same, hot), "bucket int, uid binary, pos binary, kind binary")
+        marks = tx.table(tx.deal(found, parts).mapInArrow(_rows_by_uid, "uid long, full binary, part binary"), "marks")
     shape = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("z", T.BinaryType()), *docs.schema.fields[3:]])
     packed = docs.mapInArrow(_pack, shape).where("uid is not null").repartition(parts, "uid")
     open_ = packed.join(marks.where("part is not null").select("uid", "part").hint("shuffle_merge"), "uid")
@@ -528,14 +562,14 @@ def with_uid(docs: DataFrame) -> DataFrame:
     return docs.select((F.xxhash64("doc_id", "text") if twice else F.col("doc_id")).alias("uid"), "doc_id", "text", *rest)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """The rows with the text that is left, and ``__changed``; a null text becomes an empty one where its row has a doc_id."""
+def remove_repeats(docs: DataFrame, length: int = 50, least_bytes: int = 0, over_words: int | None = None, changed: str = "__changed") -> DataFrame:
+    """The rows with the text that is left, and whether it changed, in a column of the given name; a null text becomes an empty one where its row has a doc_id. See ``removed_spans`` for least_bytes and over_words."""
     rest = {f"__{k}": c for k, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}  # their own names could clash
     own = with_uid(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for k, c in rest.items()]))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("changed", T.BooleanType()), *own.schema.fields[3:]])
-    found = mark_repeats(own, length).mapInArrow(_keep_text(length, list(rest)), schema)
+    found = mark_repeats(own, length).mapInArrow(_keep_text(length, list(rest), least_bytes, over_words), schema)
     back = {c: k for k, c in rest.items()}
-    return found.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns], F.col("changed").alias("__changed")).union(
+    return found.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns], F.col("changed").alias(changed)).union(
         docs.where("doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(False))
     )
 
@@ -545,9 +579,9 @@ def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeat_digests(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def repeat_digests(docs: DataFrame, length: int = 50, hot_from: int | None = None) -> DataFrame:
+def repeat_digests(docs: DataFrame, length: int = 50, hot_from: int | None = None, compare_all: bool = False) -> DataFrame:
     """What is removed of each row of (doc_id, text), and the digest of what is left."""
-    found = mark_repeats(with_uid(docs), length, hot_from).mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = mark_repeats(with_uid(docs), length, hot_from, compare_all).mapInArrow(_digest(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     text = F.coalesce("text", F.lit("")).cast("binary")
     return found.union(docs.where("doc_id is null").select("doc_id", F.octet_length(text).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2(text, 256)))
 
