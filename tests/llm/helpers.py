@@ -63,8 +63,8 @@ def jaccard_components(rows, n, num, den):
     return {i: (len(sets[i]), min(g)) for g in groups.values() for i in g}
 
 
-def repeats(rows, length):
-    """doc_id -> (bytes, removed, spans, digest, what is left)."""
+def repeats(rows, length, least_bytes=0, over_words=None):
+    """doc_id -> (bytes, removed, spans, digest, what is left); only for runs of starts whose strings cover so many bytes, or more words."""
     first = {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         b = (t or "").encode()
@@ -74,9 +74,16 @@ def repeats(rows, length):
     for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        for p in range(len(b) - length + 1):
-            if first[b[p : p + length]] < i:
-                gone[p : p + length] = b"\1" * length
+        starts = [p for p in range(len(b) - length + 1) if first[b[p : p + length]] < i]
+        for k, p in enumerate(starts):
+            if k and starts[k - 1] == p - 1:
+                continue
+            end = p
+            while k + 1 < len(starts) and starts[k + 1] == end + 1:
+                k, end = k + 1, end + 1
+            end += length
+            if end - p >= least_bytes or over_words is not None and len(_WORD.findall(b[p:end])) > over_words:
+                gone[p:end] = b"\1" * (end - p)
         left = bytes(x for x, g in zip(b, gone) if not g)
         out[i] = (len(b), sum(gone), sum(1 for k in range(len(b)) if gone[k] and (not k or not gone[k - 1])), hashlib.sha256(left).hexdigest(), left)
     return out
@@ -87,10 +94,14 @@ def plain_words(text):
 
 
 def longest_stretch(doc, item, least=13):
-    """Words of the longest stretch on any diagonal that starts and ends with equal words, 80 % of them equal; 0 if shorter than least."""
-    best = 0
-    if len(item) < least:
-        return len(item) if len(item) >= 5 and any(doc[i : i + len(item)] == item for i in range(len(doc))) else 0
+    """Words of the whole item where 80 % of it agree somewhere in the document, else of the longest stretch on any diagonal that starts and ends with equal words, 80 % of them equal; 0 if shorter than least."""
+    best, n = 0, len(item)
+    if n < 5:
+        return n if doc == item else 0
+    if any(5 * sum(a == b for a, b in zip(doc[i : i + n], item)) >= 4 * n for i in range(len(doc) - n + 1)):
+        return n
+    if n < least:
+        return 0
     for g in range(-len(item) + 1, len(doc)):
         a, b = max(0, g), min(len(doc), g + len(item))
         same = [doc[p] == item[p - g] for p in range(a, b)]

@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,21 @@ def test_suffix_with_every_gram_hot(spark):
     assert got == {i: v[:4] for i, v in h.repeats(rows, 50).items()}
 
 
+@pytest.mark.parametrize("hot_from", [None, 1])
+def test_suffix_with_all_bytes_compared(spark, hot_from):
+    rows = h.corpus(6)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digests(h.frame(spark, rows).select("doc_id", "text"), 50, hot_from, True).collect()}
+    assert got == {i: v[:4] for i, v in h.repeats(rows, 50).items()}
+
+
+def test_suffix_runs_by_bytes_or_words(spark):
+    rows = h.corpus(7)
+    rows += [(300 + k, f"{'abc ' * k}\n{'a b c d e f g h i j k l m ' * 4}{'x' * k}\n" + " ".join(f"w{i}" for i in range(30))) for k in range(4)]
+    got = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(h.frame(spark, rows), 101, 200, 50).collect()}
+    want = {i: v[4].decode("utf-8", "ignore") for i, v in h.repeats(rows, 101, 200, 50).items()}
+    assert got == want and any(h.repeats(rows, 101)[i][1] != h.repeats(rows, 101, 200, 50)[i][1] for i, _ in rows)
+
+
 def test_suffix_repeated_and_null_ids(spark):
     t, u = "abcdefghij" * 8, "the quick brown fox jumps over the lazy dog and runs off again"
     rows = [(3, t), (3, t), (3, u), (None, t), (4, t + u), (2, None)]
@@ -87,11 +103,42 @@ def test_multikey_sort():
     assert got == {frozenset(v) for v in by.values() if len(v) > 1}
 
 
-def test_masks_leave_no_gap():
-    for length in (13, 14, 15):
-        for missing in itertools.combinations(range(1, length - 1), length // 5):
-            equal = [i not in missing for i in range(length)]
-            assert any(all(equal[i + k] for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for i in range(length - len(m) + 1)), missing
+@pytest.mark.parametrize("length", [*range(5, 21), 25])
+def test_masks_leave_no_gap(length):
+    """Whole items with substitutions anywhere, and stretches between two equal words."""
+    masks = decontaminate.MASKS if length >= decontaminate.LEAST else decontaminate.short_masks(length)
+    fits = [sum(1 << (i + k) for k, bit in enumerate(m) if bit == "1") for m in masks for i in range(length - len(m) + 1)]
+    for missing in itertools.combinations(range(length), length // 5):
+        gone = sum(1 << k for k in missing)
+        assert any(not fit & gone for fit in fits), missing
+
+
+def test_short_and_edge_leaks(spark):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (1, 4, 5, 9, 10, 12, 13, 14, 15, 19)]
+    docs, want = [], set()
+    for n, text in items:
+        for changed in range(n // 5 + 2):
+            for first in (True, False):  # at one edge, at the other
+                words = text.split()
+                words[slice(0, changed) if first else slice(n - changed, n)] = ["zz"] * changed
+                doc = len(docs)
+                docs.append((doc, " ".join(words) if n < 5 else "before it " + " ".join(words) + " and after"))
+                if (changed == 0) if n < 5 else changed <= n // 5 or n - changed >= 13:
+                    want.add((doc, n))
+        docs.append((len(docs), text + " more"))
+        if n >= 5:
+            want.add((docs[-1][0], n))
+    got = decontaminate.find_leaks(h.frame(spark, docs).withColumn("item_id", F.lit(1)), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(2))).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
+def test_leaks_of_one_repeated_word():
+    word = tx.word_hashes(*[np.array(x) for x in ([97], [0], [1])])[0]
+    raw, off = tx.utf8(pa.array([" ".join(["a"] * 300)]))
+    seeds = decontaminate.Seeds(np.array([1]), raw, off, 13)
+    n = 6000
+    found = seeds.hits(np.full(n, word), np.zeros(n, np.int64))
+    assert len(found) == n + 300 - 1 - 2 * 5 and seeds.stretch(np.full(n, word), 0, n, 0, 5) == (300, 300, 0)
 
 
 def test_leaks(spark):

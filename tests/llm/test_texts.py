@@ -92,9 +92,71 @@ def test_forward_sums_all_segmentations():
         out = sum(probs[i, k] * total(word[len(p) :], k) for i, p in enumerate(pieces) if word.startswith(p))
         return out + (0 if word[0] in pieces else lang_id.UNKNOWN * total(word[1:], k))
 
-    words = [pc.MARK + w for w in ("a", "abab", "bac", "abaabba" * 3, "z" * 40)]
+    words = [pc.MARK + w for w in ("a", "abab", "bac", "abaabba" * 3)]
     for word, row in zip(words, model.log_forward(words)):
-        assert np.allclose(row, [np.log(total(word, k)) if len(word) < 30 else row[k] for k in range(2)])
+        assert np.allclose(row, [np.log(total(word, k)) for k in range(2)])
+    assert np.allclose(model.log_forward([pc.MARK + "z" * 40])[0], np.log(probs[0]) + 40 * np.log(lang_id.UNKNOWN))  # no letter is a piece
+
+
+def _log_total(pieces, p, word):
+    """The exact sum over all segmentations, with fractions."""
+    score = [Fraction(1)]
+    for end in range(1, len(word) + 1):
+        parts = [score[end - len(x)] * Fraction(q) for x, q in zip(pieces, p) if word[:end].endswith(x) and len(x) <= end]
+        score.append(sum(parts) + (0 if word[end - 1] in pieces else score[end - 1] * Fraction(lang_id.UNKNOWN)))
+    top = score[-1]
+    shift = max(0, top.denominator.bit_length() - top.numerator.bit_length())
+    return float(np.log(float(top * 2**shift)) - shift * np.log(2))
+
+
+@pytest.mark.parametrize("size", [63, 64, 65, 200, 333])
+def test_forward_of_long_runs(size):
+    pieces = [pc.MARK, "a", "b", "ab", pc.MARK + "a", "ba", "aba", "bbbb"]
+    probs = np.random.default_rng(1).random((len(pieces), 2)) / 7
+    model = lang_id.Model(["x", "y"], pieces, probs)
+    word = pc.MARK + "".join(random.Random(size).choices("aabbz", k=size))
+    want = [_log_total(pieces, probs[:, k], word) for k in range(2)]
+    assert np.allclose(model.log_forward([word])[0], want) and np.allclose(model._long(lang_id._codes([word], len(word))[0], 7), want)
+
+
+def test_text_scores():
+    """A text's score is the product over its pre-tokens; equal scores go to the first language."""
+    pieces = [pc.MARK, "a", "b", "ab", pc.MARK + "a", "ba"]
+    probs = np.random.default_rng(2).random((len(pieces), 3)) / 4
+    probs[:, 2] = probs[:, 0]
+    model = lang_id.Model(["x", "y", "z"], pieces, probs)
+    texts = ["ab ba", "Abba, b1a AB", "", "12", "a" * 500 + " b", None]
+    langs, scores = lang_id.Scorer(model).texts(*tx.utf8(pa.array(texts)))
+    for text, lang, score in zip(texts, langs, scores):
+        words = lang_id.pre_tokens(text or "")
+        if not words:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        total = np.array([sum(_log_total(pieces, probs[:, k], w) for w in words) for k in range(3)])
+        share = np.exp(total - total.max())
+        assert lang == ("x" if total[0] >= total[1] else "y") and abs(score - share.max() / share.sum()) < 1e-9
+
+
+def test_learning_is_expectation_maximisation():
+    """One round against expected counts summed over all segmentations one by one."""
+    pieces = [pc.MARK, "a", "b", "ab", pc.MARK + "a", "ba"]
+    words = {pc.MARK + "abab": 3, pc.MARK + "ba": 2, pc.MARK + "aab": 1}
+
+    def ways(word):
+        if not word:
+            return [[]]
+        return [[k, *rest] for k, x in enumerate(pieces) if word.startswith(x) for rest in ways(word[len(x) :])]
+
+    p = np.full(len(pieces), 1 / len(pieces))
+    for _ in range(2):
+        n = np.full(len(pieces), 0.01)
+        for word, times in words.items():
+            each = [(np.prod(p[w]), w) for w in ways(word)]
+            for share, w in each:
+                for k in w:
+                    n[k] += times * share / sum(x for x, _ in each)
+        p = n / n.sum()
+    assert np.allclose(lang_id.fit([("x", w, n) for w, n in words.items()], pieces, rounds=2).probs[:, 0], p)
 
 
 def test_long_runs_are_learned():
@@ -163,10 +225,100 @@ def test_licences(spark):
     rows = [(i, t if t is None else f"Some line.\n\n{t}\nMore text.") for i, (t, _) in lines.items()]
     got = licenses.scan(h.frame(spark, rows)).collect()
     assert {r.doc_id: (r.family, r.confirmed, r.paragraph) for r in got} == {i: (f, True, 1) for i, (_, f) in lines.items() if f}
-    assert all(r.text[r.start : r.end] == lines[r.doc_id][0] for r in licenses.scan(h.frame(spark, rows)).join(h.frame(spark, rows).select("doc_id", "text"), "doc_id").collect())
+    whole = {i: t if i != 9 else f"{t}\nMore text." for i, (t, _) in lines.items()}  # 9 goes on in the next line
+    assert all(r.text[r.start : r.end] == whole[r.doc_id] for r in licenses.scan(h.frame(spark, rows)).join(h.frame(spark, rows).select("doc_id", "text"), "doc_id").collect())
     assert licenses.scan(h.frame(spark, [])).collect() == []
 
 
+MIT_GRANT = licenses.GRANTS["MIT"][0]
+
+
+def test_licences_in_wrapped_lines(spark):
+    def wrapped(text, width):
+        out = [""]
+        for w in text.split():
+            if len(out[-1]) + len(w) >= width and out[-1]:
+                out.append("")
+            out[-1] = f"{out[-1]} {w}".strip()
+        return "\n".join(out)
+
+    texts = {1: wrapped(MIT_GRANT, 40), 2: wrapped(MIT_GRANT, 24), 3: "\t\n  " + wrapped(MIT_GRANT, 70).replace("\n", "  \n   "), 4: "x" * 200_000 + ".\n" + wrapped(MIT_GRANT, 40)}
+    frame = h.frame(spark, [(i, f"Title.\n\n{t}\n\nEnd.") for i, t in texts.items()] + [(5, "z " * 300_000)]).withColumn("family", F.lit("x")).withColumn("start", F.lit(1))
+    got = licenses.scan(frame).collect()
+    assert {(r.doc_id, r.family, r.confirmed) for r in got} == {(i, "MIT", True) for i in texts}
+    assert {r.doc_id: r.end - r.start for r in got}[1] == len(texts[1])
+
+
+def test_other_licences_and_names_are_unknown(spark):
+    lines = ["the ISC meeting was held", "Eclipse Public License 2.0", "Released under the Eclipse Public License 2.0.", "He studied at MIT.", "Released under the Foobar License 2.0.", "The Apache helicopter landed."]
+    assert licenses.scan(h.frame(spark, list(enumerate(lines)))).collect() == []
+
+
+def test_licence_paragraphs():
+    texts = ["a\nb.\nc\n\nd,\ne*\nf", "", " \n\t\n", "x" * 121 + "\ny", "é\nz", None]
+    raw, off = tx.utf8(pa.array(texts))
+    data = raw.tobytes()
+    got = [(int(d), data[s:e].decode()) for s, e, d in zip(*licenses._paragraphs(raw, off))]
+    assert got == [(0, "a\nb."), (0, "c"), (0, "d,\ne*"), (0, "f"), (3, "x" * 121), (3, "y"), (4, "é\nz")]
+
+
+def test_licence_regression_by_brute_force():
+    """Products, probabilities and the gradient against dense arithmetic and differences of the loss."""
+    rng = np.random.default_rng(4)
+    row, column = rng.integers(0, 12, 60), rng.integers(0, 9, 60)
+    x = licenses.Grams(row, column, 12, 9)
+    dense = np.zeros((12, 9))
+    dense[row, column] = 1
+    w, b, y, weight = rng.normal(size=(9, 4)), rng.normal(size=4), rng.integers(0, 4, 12), rng.random(12)
+    assert np.allclose(x.times(w), dense @ w) and np.allclose(x.transposed_times(rng.normal(size=(12, 4)) * 0 + 1), dense.T @ np.ones((12, 4)))
+
+    def loss(w, b):
+        z = dense @ w + b
+        return -(weight * (z[np.arange(12), y] - np.log(np.exp(z).sum(1)))).sum() + 0.05 * (w * w).sum()
+
+    value, by_w, by_b = licenses.loss_and_gradient(x, w, b, y, weight, 0.1)
+    assert np.isclose(value, loss(w, b))
+    e = 1e-6
+    for i in range(9):
+        for k in range(4):
+            d = np.zeros_like(w)
+            d[i, k] = e
+            assert np.isclose((loss(w + d, b) - loss(w - d, b)) / (2 * e), by_w[i, k], atol=1e-6)
+    for k in range(4):
+        d = np.zeros(4)
+        d[k] = e
+        assert np.isclose((loss(w, b + d) - loss(w, b - d)) / (2 * e), by_b[k], atol=1e-6)
+    key = np.sort(rng.integers(1, 2**60, 9).astype(np.uint64))
+    model = licenses.Classifier(list("abcd"), key, w, b, temperature=1.7)
+    p = model.probabilities(model.logits(row, key[column], 12))
+    z = np.exp((dense @ w + b) / 1.7)
+    assert np.allclose(p, z / z.sum(1, keepdims=True))
+
+
+def test_licence_scan_by_brute_force(spark):
+    """Every paragraph of the documents, one by one, through dense arithmetic on the same trained model."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines = [x for r in docs.select("text").limit(30).collect() for x in (r.text or "").split("\n")[:10] if x and not licenses._ABOUT.search(x)]
+    model = licenses.train(lines)
+    frame = docs.select("doc_id", "text")
+    got = {(r.doc_id, r.start): (r.family, round(r.probability, 9), r.confirmed) for r in licenses.scan(frame, model=model).collect()}
+    weight = dict(zip(model.key.tolist(), model.weight))
+    want = {}
+    for r in frame.collect():
+        raw, off = tx.utf8(pa.array([r.text]))
+        for s, e, _ in zip(*licenses._paragraphs(raw, off)):
+            _, keys = licenses._features(raw[s:e], np.array([0, e - s]))
+            z = model.bias + sum((weight[k] for k in set(keys.tolist()) if k in weight), np.zeros(len(model.families)))
+            p = np.exp((z - z.max()) / model.temperature)
+            p /= p.sum()
+            k = int(p.argmax())
+            if k and p[k] >= model.threshold:
+                pairs = set(licenses._pairs(raw[s:e].tobytes().decode()).tolist())
+                share = max(len(pairs & set(t.tolist())) / len(t) for t in model.pairs[model.families[k]])
+                want[r.doc_id, int(s)] = (model.families[k], round(float(p[k]), 9), share >= 0.6)
+    assert got == want and want
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
 <div class="cookie-notice">We use cookies.</div><div id="content"><h1>A &amp; B</h1><p>First   paragraph with <a href=x>a link</a> and <b>bold<br>text.<p>Second paragraph, long enough to count as text.
 <form><input name=q>Search</form><script>var t="</p>";</script><ul><li>One<li>Two &euro;</ul><div class="comments"><p>Nice post, thanks a lot for writing all of this!</p></div></div>
@@ -207,7 +359,7 @@ def test_html_wrapper_of_most_text():
     long = " ".join(["Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod."] * 3)
     text = f"<h1>T</h1><p>{long}</p><p>{long}</p>"
     want = f"T\n\n{long}\n\n{long}"
-    for page in ("<div class='layout right-sidebar'>{}</div>", "<div id=overlay><div class='layout right-sidebar'><div class=sidebar><p>x</p></div>{}</div></div>", "<app-root class=popup>{}</app-root>", "<div hidden>{}</div>", "<article><div class='post social'>{}</div></article>"):
+    for page in ("<div class='layout right-sidebar'>{}</div>", "<div id=overlay><div class='layout right-sidebar'><div class=sidebar><p>x</p></div>{}</div></div>", "<app-root class=popup>{}</app-root>", "<div hidden>{}</div>", "<fieldset>{}</fieldset>", "<div class=elementor-widget>{}</div>", "<div aria-label='Related notice'>{}</div>", "<article><div class='post social'>{}</div></article>"):
         assert html_extract.main_text(f"<body>{page.format(text)}<div class=share-buttons>Share this</div><footer>f</footer></body>") == want
     nested = "<div class=sidebar>" * 300 + text + "</div>" * 300
     assert html_extract.main_text(nested) == want
@@ -218,11 +370,98 @@ def test_html_wrapper_of_most_text():
 
 def test_html_still_leaves_out_what_is_named():
     long = " ".join(["Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod."] * 3)
-    for named in ("<div class=ad-container>", "<div class='page__sidebar--left'>", "<ul class=social-links>", "<div id=cookie-banner>", "<div role=navigation>", "<div aria-label='Main navigation'>", "<p hidden>", "<p style='color:red; display: none'>", "<span hidden>"):
+    for named in ("<div class=ad-container>", "<div class='page__sidebar--left'>", "<ul class=social-links>", "<div id=cookie-banner>", "<div role=navigation>", "<div aria-label='Main navigation'>", "<div class='container footer'>", "<div class='comments entry'>", "<div class='post comment'>", "<div class=site-notice>", "<div class=footer-widget>"):
         tag = named.split()[0].strip("<>")
         assert html_extract.main_text(f"<div><p>{long}</p>{named}Not this</{tag}><p>{long}</p></div>") == f"{long}\n\n{long}"
 
 
+LONG = " ".join(["Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod."] * 3)
+
+
+@pytest.mark.parametrize("kept", ["<p hidden>", "<p style='display:none'>", "<div class=market-share>", "<div id=notice-period>", "<div class=ad-free-reading>", "<div class='elementor-widget elementor-widget-text-editor'>", "<div class=widget-text>", "<fieldset>", "<math><mi>", "<div class='content sidebar-left-layout'>"])
+def test_html_drops_nothing_else(kept):
+    tags = [x.split()[0].strip("<>") for x in kept.split("<")[1:]]
+    page = f"<body><div><h1>T</h1><p>{LONG}</p>{kept}{LONG}{''.join(f'</{x}>' for x in reversed(tags))}<p>{LONG}</p></div></body>"
+    assert " ".join(html_extract.main_text(page).split()) == f"T {LONG} {LONG} {LONG}"
+
+
+def test_html_builder_pages_of_named_blocks():
+    """Every paragraph in an element of its own, each named."""
+    block = "<div class='elementor-element elementor-widget'><div class=elementor-widget-container><p>{}</p></div></div>"
+    page = "<body><div class=elementor-section>" + "".join(block.format(LONG) for _ in range(7)) + "</div><div class=footer-widgets><p>About us and all that.</p></div></body>"
+    assert html_extract.main_text(page) == "\n\n".join([LONG] * 7)
+
+
+def test_html_depth_has_no_limit():
+    for depth in (600, 20_000):
+        assert html_extract.main_text("<div>" * depth + "<p>one</p><p>two</p>" + "</div>" * depth) == "one\n\ntwo"
+
+
+def test_html_article_of_links_is_not_the_text():
+    links = "<article><ul>" + "<li><a href=x>Another story of the day</a>" * 30 + "</ul></article>"
+    assert html_extract.main_text(f"<body>{links}<div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></div></body>") == "\n\n".join([LONG] * 3)
+    aside = "<div>" + "<p><a href=x>A link to something else</a></p>" * 30 + "</div>"
+    assert html_extract.main_text(f"<body><main><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>{aside}</main></body>") == f"T\n\n{LONG}\n\n{LONG}"
+
+
+def test_html_pages_without_article():
+    """Core, siblings with text and no boilerplate, with no name or tag to go by."""
+    menu = "<table><tr>" + "<td><a href=x>Menu entry</a>" * 8 + "</table>"
+    page = f"<body>{menu}<table><tr><td><h2>T</h2><p>{LONG}</p><p>x</p><ul><li>{LONG}<li>two</ul></td></tr></table>{menu}</body>"
+    assert html_extract.main_text(page) == f"T\n\n{LONG}\n\nx\n\n{LONG}\n\ntwo"
+
+
+def test_html_density_by_brute_force():
+    """Every node's figures and the core, counted over the tree again for each node."""
+    rng = random.Random(6)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["text", "a", "div", "p"] if depth else ["text", "a"])
+            words = " ".join(rng.choices(["lorem", "ipsum", "x"], k=rng.randint(1, 30)))
+            out.append(words if kind == "text" else f"<a href=x>{words}</a>" if kind == "a" else f"<div>{tree(depth - 1)}</div>" if kind == "div" else f"<p>{words}</p>")
+        return " ".join(out)
+
+    def runs(node):
+        out, run = [], ""
+        for c in [*node.children, None]:
+            if isinstance(c, str):
+                run += c
+            else:
+                n = len(" ".join(run.split()))
+                out, run = out + ([n] if n else []), ""
+        return out
+
+    def under(node):
+        return [node, *(x for c in node.children if isinstance(c, html_extract.Node) for x in under(c))]
+
+    def figures(node):
+        own = under(node)
+        linked = {id(x) for y in own if y.tag == "a" for x in under(y)}
+        return sum(sum(runs(x)) for x in own), len(own) - 1, sum(sum(runs(x)) for x in own if id(x) in linked), sum(x.tag == "a" for x in own)
+
+    def density(chars, tags, link_chars, link_tags, share):
+        if not chars:
+            return 0.0
+        ratio = chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
+        base = np.log(chars / max(1, chars - link_chars) * link_chars + share * chars + np.e)
+        return chars / max(1, tags) * np.log(max(1, ratio)) / (np.log(max(base, 1 + 1e-9)) if base > 1 else 1)
+
+    for _ in range(60):
+        root = html_extract.parse(f"<body>{tree(3)}</body>")
+        nodes = html_extract.measure(root)
+        chars, _, links, _ = figures(root)
+        share = links / chars
+        total = {}
+        for x in nodes:
+            assert np.isclose(x.density, density(*figures(x), share))
+            total[id(x)] = sum(density(*figures(c), share) for c in x.children if isinstance(c, html_extract.Node) and c.tag != "a") + sum(density(n, 0, 0, 0, share) for n in runs(x))
+            assert np.isclose(x.total, total[id(x)])
+        for x in nodes:
+            assert np.isclose(x.best.total, max(total[id(y)] for y in under(x)))
+
+
 def test_warc_round_trip(spark):
     pages = [(3, "http://a/é b", "x"), (1, "u", "x"), (2, "u\r\nbad: y", "y"), (5, None, None), (4, "u", ""), (None, "u", "z"), (9, "u", "ü" * 1000), (9, "u", "ü" * 1000)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("first", F.lit(2))
@@ -311,6 +550,36 @@ def test_warc_records_without_digest_in_a_broken_member():
     assert not any("doubt" in x[3] for x in warc.salvage(_zip(bare)))
 
 
+@pytest.mark.parametrize("version", [b"0.17", b"0.18", b"1.0", b"1.1", b"2.0"])
+@pytest.mark.parametrize("name", ["md5", "sha1", "sha256", "SHA-512"])
+def test_warc_versions_and_digests(version, name):
+    body = b"payload of a record"
+    value = hashlib.new(name.lower().replace("-", ""), body).digest()
+    for digits in (value.hex(), value.hex().upper(), base64.b32encode(value).decode(), base64.b32encode(value).decode().rstrip("="), base64.b64encode(value).decode()):
+        one = b"WARC/" + version + f"\r\nWARC-Type: resource\r\nWARC-Payload-Digest: {name}:{digits}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        (found,) = warc.salvage(one)
+        assert found[0] == "record" and found[3]["payload"] == body and found[3]["payload_digest"] == warc.base32_sha1(body) and found[3]["checked"]
+        (found,) = warc.salvage(one.replace(body, body[::-1]))
+        assert found[0] == "gap" and "digest" in found[3]
+    unknown = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Block-Digest: crc:12\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    assert [x[0] for x in warc.salvage(unknown)] == ["record"]
+
+
+def test_warc_one_payload_of_many_pages(spark):
+    frame = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("p"), F.col("id") % 700)).alias("html"))
+    folder = f"{tx.shared_dir(spark)}/warc-hot"
+    warc.write_warc(frame, folder)
+    got = warc.read_warc(spark, f"{folder}/*.gz", payloads=False).collect()
+    text = {i: "" if i % 3 == 0 else f"p{i % 700}" for i in range(4000)}
+    first: dict = {}
+    for i, t in text.items():
+        first.setdefault(t, i)
+    assert {(r.record_id, r.record_type, r.refers_to) for r in got} == {(f"<urn:page:{i}>", "response" if first[t] == i else "revisit", None if first[t] == i else f"<urn:page:{first[t]}>") for i, t in text.items()}
+    warc.write_warc(frame, folder + "2", revisit_from=1)
+    kinds = {r.record_id: r.record_type for r in warc.read_warc(spark, f"{folder}2/*.gz", payloads=False).collect()}
+    assert len(kinds) == 4000 and all(kinds[f"<urn:page:{i}>"] == "response" for i in range(0, 4000, 3))
+
+
 def test_warc_empty(spark):
     folder = f"{tx.shared_dir(spark)}/warc-none"
     assert warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), folder).count() == 0
@@ -345,6 +614,38 @@ def test_neighbours_recall_and_ties(spark):
     assert [v for _, v, _ in got[1000]] == [5, *range(1001, 1020)]
 
 
+def test_two_levels_of_centroids():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 16))
+    two, one = ann.Quantiser(x, 128, flat=16), ann.Quantiser(x, 128)
+    assert two.first is not None and one.first is None and abs(len(two.coarse) - 128) < 24 and two.bound[-1] == len(two.coarse)
+    lists = two.lists(x)
+    near = ((x[:, None] - two.first[None]) ** 2).sum(2).argmin(1)
+    for i in range(0, 3000, 97):  # the nearest centroid below the nearest one above
+        a, b = two.bound[near[i]], two.bound[near[i] + 1]
+        assert lists[i] == a + ((x[i] - two.coarse[a:b]) ** 2).sum(1).argmin()
+    own, code = two.encode(x)
+    decoded = two.coarse[own] + np.concatenate([book[code[:, k]] for k, book in enumerate(two.books)], 1)
+    assert ((x - decoded) ** 2).sum() < 0.5 * ((x - two.coarse[own]) ** 2).sum()
+    q = x[5]
+    distances = two.coarse @ q
+    table = distances[own] + sum(t[0][code[:, k]] for k, t in enumerate(two.tables(q[None])))
+    assert np.allclose(table, decoded @ q, atol=1e-4)
+
+
+def test_neighbours_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(ann.Quantiser.__init__, "__defaults__", (5, 4))
+    monkeypatch.setattr(ann, "CANDIDATES", 500)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(10, 8))[rng.integers(0, 10, 1200)] + 0.2 * rng.normal(size=(1200, 8))
+    got: dict = {}
+    for r in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x @ x.T
+    np.fill_diagonal(score, -9)
+    assert np.mean([len(got[q] & set(np.argsort(-score[q])[:20].tolist())) / 20 for q in range(0, 1200, 20)]) >= 0.9
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (20, [0.0, 2.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [float("inf"), 1.0]), (1, [0.5, 0.5])]
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect())
