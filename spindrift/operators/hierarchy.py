@@ -4,31 +4,40 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Points that ward() takes; it keeps their distance matrix.
+#: Points that linkage() takes; it keeps their distance matrix.
 MOST_POINTS = 4000
 
 
-def ward(points: np.ndarray, weights: np.ndarray | None = None) -> list[tuple[int, int, float, float]]:
-    """Merges (left, right, height, weight) by Ward's criterion with the Lance-Williams update; a merge's number follows the points' numbers.
+def linkage(points: np.ndarray, weights: np.ndarray | None = None, method: str = "ward") -> list[tuple[int, int, float, float]]:
+    """Merges (left, right, height, weight) with the Lance-Williams update; a merge's number follows the points' numbers.
 
-    Height is the square root of twice the increase of the sum of squares. Ties: smallest numbers.
+    ward: height is the square root of twice the increase of the sum of squares. average: height is
+    the weighted mean distance. Ties: smallest numbers. No points, or one: no merges.
     """
     n = len(points)
     if n > MOST_POINTS:
-        raise ValueError(f"{n} points; ward() takes {MOST_POINTS}: cluster centroids of a coarser grouping instead")
+        raise ValueError(f"{n} points; linkage() takes {MOST_POINTS}: cluster centroids of a coarser grouping instead")
+    if method not in ("ward", "average"):
+        raise ValueError(f"unknown method {method}")
+    if n < 2:
+        return []
     w = np.ones(n) if weights is None else np.asarray(weights, float).copy()
     x = np.asarray(points, float)
     square = (x * x).sum(1)
-    d = np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0) * (2 * w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
+    d = np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0)
+    d = d * (2 * w[:, None] * w[None, :] / (w[:, None] + w[None, :])) if method == "ward" else np.sqrt(d)
     np.fill_diagonal(d, np.inf)
     names = np.arange(n)
     out = []
     for step in range(n - 1):
         i, j = np.unravel_index(d.argmin(), d.shape)
         i, j = min(i, j), max(i, j)
-        total = w[i] + w[j]
-        new = ((w + w[i]) * d[i] + (w + w[j]) * d[j] - w * d[i, j]) / (w + total)
-        out.append((int(min(names[i], names[j])), int(max(names[i], names[j])), float(np.sqrt(d[i, j])), float(total)))
+        total, height = w[i] + w[j], d[i, j]
+        if method == "ward":
+            new = ((w + w[i]) * d[i] + (w + w[j]) * d[j] - w * height) / (w + total)
+        else:
+            new = (w[i] * d[i] + w[j] * d[j]) / total
+        out.append((int(min(names[i], names[j])), int(max(names[i], names[j])), float(np.sqrt(height) if method == "ward" else height), float(total)))
         d[i], d[:, i] = new, new
         d[j], d[:, j] = np.inf, np.inf
         d[i, i] = np.inf
@@ -36,6 +45,11 @@ def ward(points: np.ndarray, weights: np.ndarray | None = None) -> list[tuple[in
     return out
 
 
+def ward(points: np.ndarray, weights: np.ndarray | None = None) -> list[tuple[int, int, float, float]]:
+    """``linkage`` by Ward's criterion."""
+    return linkage(points, weights)
+
+
 def cut(merges: list[tuple[int, int, float, float]], n: int, k: int) -> list[int]:
     """Cluster numbers of n points when the last k - 1 merges are undone, numbered by their first point."""
     owner = list(range(n + len(merges)))
@@ -52,7 +66,7 @@ def cut(merges: list[tuple[int, int, float, float]], n: int, k: int) -> list[int
 
 
 def treemap(sizes: list[float], width: float, height: float) -> list[tuple[float, float, float, float]]:
-    """Rectangles (x, y, w, h) with areas in proportion to the sizes, largest first (Bruls, Huizing and van Wijk 2000)."""
+    """Rectangles (x, y, w, h) with areas in proportion to the sizes, largest first (Bruls, Huizing and van Wijk 2000); sizes of 0 have none."""
     total = sum(sizes)
     if total <= 0:
         return [(0.0, 0.0, 0.0, 0.0) for _ in sizes]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def event_windows(events: DataFrame, time: str = "ts", kind: str = "event_type", value: str = "value", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, kind, n, total): counts and sums for each tumbling window and kind. Works on streams, with a watermark, and on tables."""
+    """(start, kind, n, total): counts and sums for each tumbling window and kind. Works on streams, with a watermark, and on tables. Rows without a time fall in no window; a null kind is a kind, a null value adds nothing."""
     rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     out = rows.groupBy(F.window(time, width).alias("w"), F.col(kind)).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("w.start").alias("start"), kind, "n", "total")
