@@ -42,13 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def table(frame: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there and executors may go."""
+def table(frame: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there and executors may go.
+
+    tidy: the executors' disks are rid of the shuffle files that led to it. Spark removes them once
+    the driver's garbage collector has found their plans unused, which may otherwise take long.
+    """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     found = spark.read.schema(frame.schema).parquet(path)
     found._spindrift_path = path
+    if tidy:
+        spark.sparkContext._jvm.System.gc()
     return found
 
 
