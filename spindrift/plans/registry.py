@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import fingerprints, hierarchy, snapshots, terms, vectors
+from spindrift.operators import fingerprints, hierarchy, projection, snapshots, terms, vectors
 from spindrift.sources import files
 from spindrift.streaming import windows
 
@@ -124,6 +125,20 @@ def label_cuts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, f"method string, k int, label {kind}, cluster int")
 
 
+def label_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels in the order of least distances between neighbours that the average linkage tree of their centroids allows, and their places on a map."""
+    labels, means, sizes = _label_means(spark, folder)
+    kind = dict(_table(spark, folder, "embeddings").dtypes)["label"]
+    shape = f"place int, label {kind}, x double, y double"
+    if not labels:
+        return spark.createDataFrame([], shape)
+    points = np.array(means)
+    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    spots = projection.tsne(points, perplexity=max(2.0, len(labels) / 4)).tolist()
+    order = hierarchy.leaf_order(hierarchy.linkage(means, sizes, "average"), apart)
+    return spark.createDataFrame([(place, labels[k], *[round(v, 4) for v in spots[k]]) for place, k in enumerate(order)], shape)
+
+
 def source_treemap(spark: SparkSession, folder: str) -> DataFrame:
     """Rectangles of the largest sources of documents and one of all the others (rest) on a sheet."""
     sizes = _table(spark, folder, "documents").groupBy("source").agg(F.count("*").alias("n"))
@@ -140,7 +155,7 @@ def table_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.files(spark, folder, ("parquet",)).select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"), "n_bytes")
 
 
-_ALL = (group_centroids, centroid_zscores, nearest_centroid_counts, hamming_pairs, near_copy_groups, linear_mmd, mmd_with_baseline, embedding_components, language_terms, snapshot_changes, hourly_events, label_tree, label_cuts, source_treemap, table_files)
+_ALL = (group_centroids, centroid_zscores, nearest_centroid_counts, hamming_pairs, near_copy_groups, linear_mmd, mmd_with_baseline, embedding_components, language_terms, snapshot_changes, hourly_events, label_tree, label_cuts, label_order, source_treemap, table_files)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _MEANS = """

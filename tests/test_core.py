@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from spindrift.functions import shared
-from spindrift.operators import fingerprints, graph, hierarchy, images, snapshots, terms, vectors
+from spindrift.operators import fingerprints, graph, hierarchy, images, projection, snapshots, terms, vectors
 from spindrift.plans import registry
 from spindrift.sources import files
 from spindrift.streaming import windows
@@ -321,3 +321,43 @@ def test_wavelets():
 
 def test_table_files(spark):
     assert {r.name for r in registry.table_files(spark, SF).collect()} == {f for f in os.listdir(SF) if f.endswith(".parquet")}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7])
+def test_leaf_order_is_the_best_of_all(n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    merges = hierarchy.linkage(x, method="average")
+    orders = [[[i]] for i in range(n)]  # all that turning branches allows
+    for a, b, *_ in merges:
+        orders.append([p + q for u, v in ((a, b), (b, a)) for p in orders[u] for q in orders[v]])
+    length = lambda o: sum(d[i, j] for i, j in zip(o, o[1:]))
+    got = hierarchy.leaf_order(merges, d)
+    assert got in orders[-1] and abs(length(got) - min(map(length, orders[-1]))) < 1e-12
+    with pytest.raises(ValueError):
+        hierarchy.leaf_order([(0, 1, 0.0, 2.0)] * 700, d)
+
+
+def test_tsne():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(25, 6)), rng.normal(size=(25, 6)) + 9, rng.normal(size=(25, 6)) - 9])
+    p = projection.affinities(x, 8)
+    assert np.allclose(p, p.T) and np.isclose(p.sum(), 1)
+    y = rng.normal(size=(75, 2))
+    value, gradient = projection.divergence(p, y)
+    near = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
+    np.fill_diagonal(near, 0)
+    q = near / near.sum()
+    assert np.isclose(value, sum(p[i, j] * np.log(p[i, j] / q[i, j]) for i in range(75) for j in range(75) if i != j and p[i, j] > 0))
+    for i, k in ((0, 0), (30, 1)):
+        step = np.zeros_like(y)
+        step[i, k] = 1e-6
+        assert np.isclose((projection.divergence(p, y + step)[0] - projection.divergence(p, y - step)[0]) / 2e-6, gradient[i, k], atol=1e-6)
+    found = projection.tsne(x, 8, 300)
+    assert np.array_equal(found, projection.tsne(x, 8, 300)) and projection.divergence(p, found)[0] < 0.5 * value
+    group = np.repeat([0, 1, 2], 25)
+    apart = ((found[:, None] - found[None]) ** 2).sum(2)
+    np.fill_diagonal(apart, np.inf)
+    assert (group[apart.argmin(1)] == group).all()
+    assert projection.tsne(np.zeros((0, 3))).shape == (0, 2) and projection.tsne([[1.0, 2.0]]).shape == (1, 2) and np.isfinite(projection.tsne(np.ones((5, 3)))).all()
