@@ -11,8 +11,8 @@ time, with as many scores held as the longest piece has characters.
 Learning: expected piece counts by forward-backward over a bounded sample of labelled rows,
 ``docs_per_lang`` rows for each language in expectation, picked by a hash of doc_id; in learning alone
 a run is cut after each ``LEARNED_RUN`` letters, which bounds a word's tables. Every language
-of a labelled row with a letter is learned; more than ``BLOCK`` are learned and scored in blocks of
-that many, which bounds what is held besides the model. All texts are scored, each in the partition where it is read: no shuffle, and the model (vocabulary size x
+of a labelled row with a letter is learned, each in a task of its own from its bounded sample; texts
+are scored in blocks of ``BLOCK`` languages, which bounds what is held besides the model. All texts are scored, each in the partition where it is read: no shuffle, and the model (vocabulary size x
 languages doubles) is the only thing that is broadcast.
 
 Defined cases: text null, empty or without a letter -> ``und``, score 0. doc_id null -> not held
@@ -237,6 +237,23 @@ def pre_tokens(text: str, most: int = 0) -> list[str]:
     return found
 
 
+def fit_one(words: dict[str, int], table: PieceTable, rounds: int = 4, smoothing: float = 0.01) -> np.ndarray:
+    """Piece probabilities of one language from counts of its pre-tokens."""
+    groups = []
+    names = sorted(words)
+    for size in sorted({len(w) for w in names}):
+        own = [w for w in names if len(w) == size]
+        most = 20_000 if size <= 24 else max(1, 320_000 // size)  # as much memory as for the longest of the others
+        for at in range(0, len(own), most):
+            part = own[at : at + most]
+            groups.append((_codes(part, size), np.array([words[w] for w in part], float)))
+    p = np.full(table.size, 1 / table.size)
+    for _ in range(rounds):
+        n = _expected(table, groups, p) + smoothing
+        p = n / n.sum()
+    return p
+
+
 def fit(counts: Iterable[tuple[str, str, int]], pieces: list[str], rounds: int = 4, smoothing: float = 0.01) -> Model:
     """Learn from (lang, pre-token, count)."""
     by: dict[str, dict[str, int]] = {}
@@ -244,22 +261,7 @@ def fit(counts: Iterable[tuple[str, str, int]], pieces: list[str], rounds: int =
         by.setdefault(lang, {})[word] = n
     table = PieceTable(pieces)
     langs = sorted(by)
-    probs = np.zeros((len(pieces), len(langs)))
-    for k, lang in enumerate(langs):
-        words = list(by[lang])
-        groups = []
-        for size in sorted({len(w) for w in words}):
-            own = [w for w in words if len(w) == size]
-            most = 20_000 if size <= 24 else max(1, 320_000 // size)  # as much memory as for the longest of the others
-            for at in range(0, len(own), most):
-                part = own[at : at + most]
-                groups.append((_codes(part, size), np.array([by[lang][w] for w in part], float)))
-        p = np.full(len(pieces), 1 / len(pieces))
-        for _ in range(rounds):
-            n = _expected(table, groups, p) + smoothing
-            p = n / n.sum()
-        probs[:, k] = p
-    model = Model(langs, pieces, probs)
+    model = Model(langs, pieces, np.stack([fit_one(by[x], table, rounds, smoothing) for x in langs], 1) if langs else np.zeros((len(pieces), 0)))
     model._table = table
     return model
 
@@ -287,16 +289,15 @@ def learn(labelled: DataFrame, docs_per_lang: int = 400, vocab: str | None = Non
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64())], ["lang", "word", "n"])
 
     found = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sent = labelled.sparkSession.sparkContext.broadcast(pieces)
 
-    def fitted(counts: DataFrame) -> Model:
-        got = counts.toArrow().to_pydict()
-        return fit(sorted(zip(got["lang"], got["word"], got["n"])), pieces)
+    def one(key, words):
+        got = words.to_pydict()
+        p = fit_one(dict(zip(got["word"], got["n"])), PieceTable(sent.value))
+        return pa.table({"lang": [key[0].as_py()], "p": pa.array([p.tobytes()], pa.binary())})
 
-    if len(totals) <= BLOCK:
-        return fitted(found)
-    found, langs = tx.table(found, "words"), sorted(totals)
-    parts = [fitted(found.where(F.col("lang").isin(langs[k : k + BLOCK]))) for k in range(0, len(langs), BLOCK)]
-    return Model([x for part in parts for x in part.langs], pieces, np.concatenate([part.probs for part in parts], 1))
+    rows = sorted(found.groupBy("lang").applyInArrow(one, "lang string, p binary").collect())
+    return Model([r["lang"] for r in rows], pieces, np.stack([np.frombuffer(bytes(r["p"])) for r in rows], 1) if rows else np.zeros((len(pieces), 0)))
 
 
 class _Words:

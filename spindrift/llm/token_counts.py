@@ -26,6 +26,7 @@ from spindrift.llm.lang_id import PieceTable, _codes
 
 U64, I64 = np.uint64, np.int64
 _WORK = 4 << 20
+LONG = 200
 
 
 class TrieCounter:
@@ -37,16 +38,53 @@ class TrieCounter:
         self.by_length = [np.zeros(0)] * (vocab.longest + 1)
 
     def count(self, words: list[str]) -> np.ndarray:
-        """Counts of sorted distinct words; tries of bounded size, long words in tries of their own."""
+        """Counts of sorted distinct words; tries of bounded size. Words of over LONG characters share no prefix worth a table: their tries are paths."""
         out = np.zeros(len(words), I64)
         sizes = np.array([len(w) for w in words], I64)
-        for low, high, room in ((1, 24, 40_000), (25, 200, 4_000), (201, 1 << 62, 1)):
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            out[k] = self._path(words[k])
+        for low, high, room in ((1, 24, 40_000), (25, LONG, 4_000)):
             rows = np.flatnonzero((sizes >= low) & (sizes <= high))
             for at in range(0, len(rows), room):
                 part = rows[at : at + room]
                 out[part] = self._trie([words[i] for i in part], sizes[part])
         return out
 
+    def _path(self, word: str, step: int = 4000) -> int:
+        """The count of one word, place by place; only the scores that a piece can reach back to are held."""
+        table, vocab = self.table, self.vocab
+        reach, unknown = table.longest, vocab.unknown
+        codes = _codes([word], len(word))[0]
+        near, tokens = np.full(reach, -np.inf), np.zeros(reach, I64)
+        near[-1] = 0.0
+        for at in range(0, len(codes), step):
+            to = min(len(codes), at + step)
+            low = max(0, at - reach)
+            prefix = table._prefix(codes[None, low:to])[0]
+            score = np.full((to - at, reach), -np.inf)  # of the pieces that end at a place, the longest first
+            end = np.arange(at + 1, to + 1)
+            for size in range(1, reach + 1):
+                rows = np.flatnonzero(end >= size)
+                key = prefix[end[rows] - low] - prefix[end[rows] - size - low] * tx.powers(size + 1)[size]
+                found = np.flatnonzero(table.seen[key >> U64(44)])
+                place = np.minimum(np.searchsorted(table.key, key[found]), table.size - 1)
+                hit = table.key[place] == key[found]
+                score[rows[found[hit]], reach - size] = vocab.scores[table.number[place[hit]]]
+            c = codes[at:to]
+            width = (1 + (c > 0x7F).astype(I64) + (c > 0x7FF) + (c > 0xFFFF)).tolist()
+            single = (score[:, -1] > -np.inf).tolist()
+            best = np.concatenate([near, np.zeros(to - at)])
+            count = np.concatenate([tokens, np.zeros(to - at, I64)])
+            for k in range(to - at):
+                own = best[k : k + reach] + score[k]
+                j = int(own.argmax())  # of equal ones the longest piece
+                value, n = own[j], count[k + j] + 1
+                if not single[k] and best[k + reach - 1] + unknown > value:
+                    value, n = best[k + reach - 1] + unknown, count[k + reach - 1] + width[k]
+                best[k + reach], count[k + reach] = value, n
+            near, tokens = best[-reach:], count[-reach:]
+        return int(tokens[-1])
+
     def _trie(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
         m, depth = len(words), int(sizes.max())
         codes = _codes(words, depth)

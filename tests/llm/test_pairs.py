@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.llm import _text as tx
-from spindrift.llm import components, decontaminate, jaccard_join, suffix_dedup
+from spindrift.llm import decontaminate, jaccard_join, suffix_dedup
 from tests.llm import helpers as h
 
 
@@ -36,13 +36,6 @@ def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(h.frame(spark, [])).collect() == []
 
 
-def test_components(spark):
-    edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (4, 4), (None, 5), (20, 10), (30, 20), (40, 30), (40, 3)]
-    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 1, 20: 1, 30: 1, 40: 1}
-    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
-
-
 @pytest.mark.parametrize("length", [50, 24, 131])
 def test_suffix(spark, length):
     rows = h.corpus(2)

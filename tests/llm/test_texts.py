@@ -75,12 +75,39 @@ def test_mark_in_text_is_not_exact(spark):
 
 def test_counts_equal_the_codec(spark, vocab):
     rng = random.Random(5)
-    rows = [(i, t) for i, t in enumerate(ODD + [h.sentence(rng, 30, "etaonishäé") for _ in range(40)] + ["y" * 30000])] + [(None, None)]
+    rows = [(i, t) for i, t in enumerate(ODD + [h.sentence(rng, 30, "etaonishäé") for _ in range(40)] + ["y" * 30000, "".join(rng.choices("etaonishäé漢", k=9000)), "aé" * 150])] + [(None, None)]
     frame = h.frame(spark, rows).withColumn("n_tokens", F.lit("x"))
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame, ["doc_id"]).collect()}
     assert got == {r.doc_id: r.n_tokens for r in sentencepiece_codec.encode(h.frame(spark, rows), ["doc_id"]).collect()}
 
 
+def test_counts_by_brute_force(vocab):
+    rng = random.Random(8)
+    counter = token_counts.TrieCounter(vocab)
+    words = sorted({pc.MARK + "".join(rng.choices("etaonishäé漢​", k=rng.choice([1, 3, 9, 30, 150, 260]))) for _ in range(150)})
+    plain = [len(best_path(vocab, w[1:])) for w in words]
+    assert counter.count(words).tolist() == plain
+    assert [counter._path(w, 7) for w in words] == plain
+
+
+def test_empty_tables(spark):
+    docs = h.frame(spark, [])
+    assert token_counts.count_tokens(docs, ["doc_id"]).collect() == [] and sentencepiece_codec.encode(docs, ["doc_id"]).collect() == []
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"), ["page_id"]).collect() == []
+    model = lang_id.fit([("x", pc.MARK + "a", 1)], [pc.MARK, "a"])
+    assert lang_id.predict_languages(docs, model, ["doc_id"]).collect() == []
+
+
+def test_clashing_columns_of_the_codec(spark):
+    rows = [(1, "the text"), (1, "the text"), (None, None)]
+    frame = h.frame(spark, rows)
+    for c in ("ids", "n_tokens", "exact", "__text", "n_pre_tokens", "a.b"):
+        frame = frame.withColumn(c, F.lit("x"))
+    got = sentencepiece_codec.encode(frame, ["doc_id"]).collect()
+    assert len(got) == 3 and got == sentencepiece_codec.encode(h.frame(spark, rows), ["doc_id"]).collect()
+    assert token_counts.count_tokens(frame, ["doc_id"]).count() == 3
+
+
 def test_forward_sums_all_segmentations():
     pieces = [pc.MARK, "a", "b", "ab", pc.MARK + "a", "ba", "aba"]
     probs = np.random.default_rng(0).random((len(pieces), 2)) / 5
