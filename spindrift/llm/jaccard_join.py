@@ -11,12 +11,14 @@ Plan
 1. One scan: set size and 128-bit digest of each document, and the three sketches. Documents with
    equal sets form a class (partial aggregation: a hot group of copies is one row for each task).
 2. One scan: prefix shingles of all orders, copies reduced to one within a task. Shingles of one
-   class alone fall away, then classes without a shared prefix shingle in any of the orders.
+   class alone fall away, or of classes whose sizes are too far apart, then classes that are left
+   without a shared prefix shingle in any of the orders.
 3. Stars: in each shingle's group the class that has the fewest rarer shingles is the pivot; pivot
    and member are verified on whole texts (only those texts are fetched, by way of a bitmap sized by
    their number). Linear in the group, so families of near copies fall into one component without
    all their pairs.
-4. Rest: pairs of a group that are still in different components and pass the filters by length,
+4. Rest: pairs of a group (groups of up to 16 classes with no pair besides the pivot's that passes the
+   filters are left out) that are still in different components and pass the filters by length,
    position, second order and parity bitmap (Sandes et al. 2020: the bitmaps of two sets differ in at
    most |A xor B| bits) are verified too. No link between components is lost, and no cap is used.
    Within a group the second order is checked by a signature; of the pairs that are left, the whole
@@ -47,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import _text as tx
-from spindrift.llm.components import components
+from spindrift.operators.graph import components
 
 U64, I64 = np.uint64, np.int64
 SKETCH_BITS = 18
@@ -101,20 +103,20 @@ def _profile(n: int):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "n", "d1", "d2", "bucket", "counts"])
         if counts.any():
             n_slices = _SLICES * len(_ORDERS)
-            parts = counts.reshape(n_slices, -1).astype(I64)
+            parts = counts.reshape(n_slices, -1)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(n_slices, pa.int64())] * 4, pa.array(range(n_slices), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["doc_id", "n", "d1", "d2", "bucket", "counts"])
 
     return run
 
 
-def _add(slices: int):
-    """Sums sketches slice by slice."""
+def _add(slices: int, kind):
+    """Sums sketches of a kind of number slice by slice."""
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(part.as_buffer(), I64)
+                x = np.frombuffer(part.as_buffer(), kind).astype(I64)
                 total[k % slices] = total[k % slices] + x if k % slices in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["bucket", "counts"])
 
@@ -123,12 +125,12 @@ def _add(slices: int):
 
 def _ranks(sketch: DataFrame, parts: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """For each order, the place of each counter when they are sorted by count, and by place the number of parts that its shingles are dealt to. Their size doesn't depend on the input. The sketches of many tasks are added up in two steps."""
-    slices, kind = _SLICES * len(_ORDERS), "bucket int, counts binary"
+    slices, row, kind = _SLICES * len(_ORDERS), "bucket int, counts binary", np.uint32
     groups = -(-sketch.rdd.getNumPartitions() // 64)
     if groups > 1:
         spread = sketch.select((F.col("bucket") + slices * F.pmod(F.spark_partition_id(), F.lit(groups))).cast("int").alias("bucket"), "counts")
-        sketch = tx.deal(spread, slices * groups).mapInArrow(_add(slices), kind)
-    found = {r["bucket"]: np.frombuffer(bytes(r["counts"]), I64) for r in tx.deal(sketch, slices).mapInArrow(_add(slices), kind).collect()}
+        sketch, kind = tx.deal(spread, slices * groups).mapInArrow(_add(slices, kind), row), I64
+    found = {r["bucket"]: np.frombuffer(bytes(r["counts"]), I64) for r in tx.deal(sketch, slices).mapInArrow(_add(slices, kind), row).collect()}
     width = (1 << SKETCH_BITS) // _SLICES
     counts = np.concatenate([found.get(k, np.zeros(width, I64)) for k in range(slices)]).reshape(len(_ORDERS), -1)
     order = np.argsort(counts, axis=1, kind="stable")
@@ -176,8 +178,9 @@ def _prefixes(n: int, num: int, den: int, ranks, parts: int):
             for k in range(len(_ORDERS)):
                 own = [h for h in held if h[0] == k]
                 if own:
-                    cols = [np.concatenate([h[i] for h in own]) for i in range(1, 5)]
-                    for b in tx.blocks(tx.bucket_of(_home(cols[0], cols[1], _salts(cols[0], ranks.value[1][k])), parts), dict(zip(names, cols))):
+                    cols = dict(zip(names, (np.concatenate([h[i] for h in own]) for i in range(1, 5))))
+                    home = tx.bucket_of(_home(cols["token"], cols["cls"], _salts(cols["token"], ranks.value[1][k])), parts)
+                    for b in tx.blocks(home, _sent(cols, k)):
                         yield b.append_column("ord", pa.array(np.full(b.num_rows, k, np.int32)))
             held.clear()
             known.clear()
@@ -222,6 +225,24 @@ def _fold(bits: bytes, size: int) -> np.ndarray:
 
 
 _REC = {"token": (U64, ()), "cls": (I64, ()), "pos": (np.uint32, ()), "size": (np.uint32, ())}
+_SHORT = {"token": (np.uint8, (6,)), "cls": (I64, ()), "size": (np.uint32, ())}
+
+
+def _sent(r: dict, k: int) -> dict:
+    """A record's columns on their way. Of the orders after the first only 48 bits of the shingle, class and size are needed: two shingles taken for one let a pair through, never keep one out."""
+    if not k:
+        return r
+    nothing = np.zeros((len(r["cls"]), 0), np.uint8)
+    return {"token": np.ascontiguousarray(r["token"].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:], "cls": r["cls"], "pos": nothing, "size": r["size"]}
+
+
+def _received(batches, k: int) -> dict:
+    if not k:
+        return tx.unpack(batches, _REC)
+    r = tx.unpack(batches, _SHORT)
+    wide = np.zeros((len(r["cls"]), 8), np.uint8)
+    wide[:, 2:] = r["token"]
+    return {"token": wide.view("<u8").reshape(-1).astype(U64), "cls": r["cls"], "size": r["size"]}
 
 
 def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,24 +261,25 @@ def _by_order(batches) -> tuple[dict[int, list], list]:
     return by, by.pop(_CLASS)
 
 
-def _shared(parts: int, ranks):
-    """Records of shingles that two classes have, by class; those of hot ones, which lie on several partitions, are taken to have two."""
+def _shared(num: int, den: int, parts: int, ranks):
+    """Records of shingles that a class has together with one of a size that allows the similarity, by class; hot ones, which lie on several partitions, are taken to have such."""
 
     def run(batches):
         by, bitmaps = _by_order(batches)
         yield from bitmaps
         for k, own in by.items():
-            r = tx.unpack(own, _REC)
+            r = _received(own, k)
             if not len(r["token"]):
                 continue
-            order = np.lexsort((r["cls"], r["token"]))
+            order = np.lexsort((r["cls"], r["size"], r["token"]))
             r = {c: v[order] for c, v in r.items()}
             keep = np.concatenate([[True], (r["token"][1:] != r["token"][:-1]) | (r["cls"][1:] != r["cls"][:-1])])
             r = {c: v[keep] for c, v in r.items()}
-            start, end = _groups(r["token"])
-            live = np.repeat(end - start > 1, end - start) | (_salts(r["token"], ranks.value[1][k]) > 1)
+            size = r["size"].astype(I64)
+            near = (r["token"][1:] == r["token"][:-1]) & (den * size[:-1] >= num * size[1:])  # neighbours by size are the nearest
+            live = np.concatenate([near, [False]]) | np.concatenate([[False], near]) | (_salts(r["token"], ranks.value[1][k]) > 1)
             r = {c: v[live] for c, v in r.items()}
-            for b in tx.blocks(tx.bucket_of(tx.mix(r["cls"].view(U64)), parts), r):
+            for b in tx.blocks(tx.bucket_of(tx.mix(r["cls"].view(U64)), parts), _sent(r, k)):
                 yield b.append_column("ord", pa.array(np.full(b.num_rows, k, np.int32)))
 
     return run
@@ -266,7 +288,7 @@ def _shared(parts: int, ranks):
 def _both(batches):
     """A row for each class that shares prefix shingles under all orders: those of the first with their places, a 256-bit signature of the second's, and the sorted lists of the second's and third's."""
     by, bitmaps = _by_order(batches)
-    one, *others = (tx.unpack(by[k], _REC) for k in range(len(_ORDERS)))
+    one, *others = (_received(by[k], k) for k in range(len(_ORDERS)))
     cls = np.unique(one["cls"])
     for r in others:
         cls = np.intersect1d(cls, r["cls"])
@@ -372,7 +394,7 @@ def _by_token(parts: int, hot, everywhere: bool):
             out = {"token": token, "cls": cls[row], "pos": pos.astype(np.uint32), "size": col["size"].to_numpy().astype(np.uint32)[row], "part": part.astype(np.uint32)}
             out["sig"] = np.stack([col[f"s{i}"].to_numpy().view(U64)[row] for i in range(4)], 1)
             out["bits"] = np.frombuffer(tx.utf8(col["bits"])[0].tobytes(), U64).reshape(-1, BITMAP // 64)[row]
-            out["label"] = label[row]
+            out["label"] = label[row] if everywhere else np.zeros((len(row), 0), np.uint8)
             yield from tx.blocks(_deal_by(token, part, parts), out)
 
     return run
@@ -400,18 +422,28 @@ def _pairs(a: np.ndarray, b: np.ndarray):
 _WIDE_ROW = "bucket int, token binary, cls binary, pos binary, size binary, part binary, sig binary, bits binary, label binary"
 
 
-def _sorted_records(batches, by_part: bool = True) -> dict:
-    r = tx.unpack(batches, _WIDE)
+def _sorted_records(batches, by_part: bool = True, label: bool = True) -> dict:
+    r = tx.unpack(batches, {k: v for k, v in _WIDE.items() if label or k != "label"})
     order = np.lexsort((r["cls"], r["pos"], *([r["part"]] if by_part else []), r["token"]))
     return {c: v[order] for c, v in r.items()}
 
 
+_PAIR, _OPEN, _PIVOT = 0, 1, 2  # kinds of rows that _stars returns
+_STAR_ROW = "kind int, a long, b long, place int, " + _WIDE_ROW
+_SMALL = 16
+
+
 def _stars(num: int, den: int, parts: int, hot):
-    """(a, b): pivot and member of each part of a shingle's group; and the records of the pivots of hot shingles, by shingle. hot None: parts are one."""
-    names = _WIDE_ROW.replace(" int", "").replace(" binary", "").split(", ")
+    """(a, b): pivot and member of each part of a shingle's group. For groups with other pairs that pass the filters, too large to look through, or in parts: (class, shingle, place) of each record. And the records of the pivots of hot shingles, by shingle. hot None: parts are one, and pairs alone are returned."""
+    names = [x.split()[0] for x in _STAR_ROW.split(", ")]
+
+    def rows(kind, a, b, place, wide=None):
+        n = len(a)
+        rest = wide.columns if wide else [pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * (len(names) - 5)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), a, b, place, *rest], names)
 
     def run(batches):
-        r = _sorted_records(batches, hot is not None)
+        r = _sorted_records(batches, hot is not None, False)
         if not len(r["token"]):
             return
         new = r["token"][1:] != r["token"][:-1]
@@ -420,22 +452,44 @@ def _stars(num: int, den: int, parts: int, hot):
         start = np.concatenate([[0], np.flatnonzero(new) + 1])
         end = np.append(start[1:], len(r["token"]))
         if hot is not None:
-            again = start[hot.value.find(r["token"][start])[0] > 1]
-            for b in tx.blocks(tx.bucket_of(tx.mix(r["token"][again]), parts), {c: v[again] for c, v in r.items()}):
-                yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64())] * 2 + b.columns, ["a", "b", *b.schema.names])
+            divided = hot.value.find(r["token"][start])[0] > 1
+            again = start[divided]
+            out = {c: v[again] for c, v in r.items()} | {"label": np.zeros((len(again), 0), np.uint8)}
+            for b in tx.blocks(tx.bucket_of(tx.mix(r["token"][again]), parts), out):
+                none = pa.nulls(b.num_rows, pa.int64())
+                yield rows(_PIVOT, none, none, pa.nulls(b.num_rows, pa.int32()), b)
+            open_ = np.flatnonzero(divided | more(r, start, end))
+            if len(open_):
+                n = (end - start)[open_]
+                at = np.repeat(start[open_], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield rows(_OPEN, pa.array(r["cls"][at]), pa.array(r["token"][at].view(I64)), pa.array(r["pos"][at].astype(np.int32)))
         pivot = np.repeat(start, end - start)
         member = np.arange(len(pivot))
         keep = member != pivot
         pivot, member = pivot[keep], member[keep]
         keep = _possible(r, pivot, member, num, den)
         for b in _pairs(r["cls"][pivot[keep]], r["cls"][member[keep]]):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int32()), *[pa.nulls(b.num_rows, pa.binary())] * 8], ["a", "b", *names])
+            yield rows(_PAIR, *b.columns, pa.nulls(b.num_rows, pa.int32()))
+
+    def more(r, start, end):
+        """Whether a group may have pairs besides its pivot's."""
+        size = end - start
+        out = size > _SMALL
+        for n in range(3, _SMALL + 1):
+            groups = np.flatnonzero(size == n)
+            i, j = np.triu_indices(n - 1, 1)
+            step = max(1, 200_000 // len(i))
+            for at in range(0, len(groups), step):
+                first = start[groups[at : at + step]][:, None] + 1
+                found = _possible(r, (first + i).reshape(-1), (first + j).reshape(-1), num, den)
+                out[groups[at : at + step]] = found.reshape(-1, len(i)).any(1)
+        return out
 
     return run
 
 
 def _across(num: int, den: int, hot):
-    """Pairs of each group whose labels differ: everyone outside the group's largest label against everyone with another label. Two records that go to all parts of a hot shingle meet in one of them."""
+    """Pairs of each group whose labels differ, looked for among the records that _stars left open: everyone outside the group's largest label against everyone with another label. Two records that go to all parts of a hot shingle meet in one of them."""
 
     def run(batches):
         r = _sorted_records(batches)
@@ -555,19 +609,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
     texts = docs.where("doc_id is not null")
     blob = "bucket int, token binary, cls binary, pos binary, size binary, ord int"
-    found = tx.deal(texts.select("text").mapInArrow(_prefixes(n, num, den, ranks, parts), blob), parts).mapInArrow(_shared(parts, ranks), blob)
-    inc = tx.table(tx.deal(found, parts).mapInArrow(_both, _INC), "prefixes")
+    found = tx.deal(texts.select("text").mapInArrow(_prefixes(n, num, den, ranks, parts), blob), parts).mapInArrow(_shared(num, den, parts, ranks), blob)
+    inc = tx.table(tx.deal(found, parts).mapInArrow(_both, _INC), "prefixes", tidy=True)
     records = inc.agg(F.sum(F.size("tokens"))).first()[0] or 0
     fine = tx.partitions(spark, records * 140)
 
+    def among(frame: DataFrame, ids: DataFrame) -> DataFrame:
+        """The rows of a frame whose first column may be among the ids, if a bitmap of bounded size can tell."""
+        bits = tx.bitmap_bits(ids.count())
+        return tx.only(frame, tx.wanted(ids, bits)) if bits else frame
+
     def verified(cand: DataFrame) -> DataFrame:
         cand = tx.table(cand.select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b")).distinct(), "candidates")
-        whole = lambda k: inc.select(*[F.col(c).alias(f"{c}_{k}") for c in ("cls", "size", "big", "second", "third")])
+        classes = among(inc.select("cls", "size", "big", "second", "third"), cand.select("cls_a").union(cand.select("cls_b")))
+        whole = lambda k: classes.select(*[F.col(c).alias(f"{c}_{k}") for c in ("cls", "size", "big", "second", "third")])
         near = _with_sides(cand, whole, fine).select("cls_a", "cls_b", *[f"{c}_{k}" for c in ("size", "big", "second", "third") for k in "ab"])
-        cand = tx.table(near.mapInArrow(_near(num, den), "cls_a long, cls_b long"), "pairs")
+        cand = tx.table(near.mapInArrow(_near(num, den), "cls_a long, cls_b long"), "pairs", tidy=True)
         chosen = tx.table(reps.join(cand.select(F.col("cls_a").alias("d1")).union(cand.select("cls_b")).distinct(), "d1").select(F.col("d1").alias("cls"), "rep"), "chosen")
-        bits = tx.bitmap_bits(chosen.count())
-        own = chosen.join(tx.only(texts, tx.wanted(chosen.select("rep"), bits)) if bits else texts, F.col("rep") == F.col("doc_id")).select("cls", "rep", "text")
+        own = chosen.join(among(texts, chosen.select("rep")), F.col("rep") == F.col("doc_id")).select("cls", "rep", "text")
         side = lambda k: own.select(F.col("cls").alias(f"cls_{k}"), F.col("rep").alias(k), F.col("text").alias(f"text_{k}"))
         both = _with_sides(cand, side, fine)
         return both.select("cls_a", "cls_b", "a", "b", "text_a", "text_b").mapInArrow(_verify(n, num, den), "cls_a long, cls_b long, a long, b long").distinct()
@@ -578,17 +637,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     alone = inc.withColumn("label", F.col("cls"))
     hot = _hot(alone, ranks, fine, records)
     sent = spark.sparkContext.broadcast(hot)
-    kind = "a long, b long, " + _WIDE_ROW
-    first = by_token(alone, sent, False).mapInArrow(_stars(num, den, fine, sent), kind)
+    first = tx.table(by_token(alone, sent, False).mapInArrow(_stars(num, den, fine, sent), _STAR_ROW), "first", tidy=True)
+    pairs = first.where(F.col("kind") == _PAIR).select("a", "b")
     if len(hot.token):
-        first = tx.table(first, "first")
-        second = tx.deal(first.where("bucket is not null").drop("a", "b"), fine).mapInArrow(_stars(num, den, fine, None), kind)
-        first = first.where("bucket is null").union(second)
-    stars = tx.table(verified(first.select("a", "b")), "stars")
+        second = tx.deal(first.where(F.col("kind") == _PIVOT).drop("kind", "a", "b", "place"), fine).mapInArrow(_stars(num, den, fine, None), _STAR_ROW)
+        pairs = pairs.union(second.select("a", "b"))
+    stars = tx.table(verified(pairs), "stars", tidy=True)
     label = components(stars.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")))
-    labelled = tx.table(inc.join(label.select(F.col("id").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled") if len(hot.token) else inc.join(label.select(F.col("id").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    sent = spark.sparkContext.broadcast(_hot(labelled, ranks, fine, records) if len(hot.token) else hot)
-    rest = tx.table(verified(by_token(labelled, sent, True).mapInArrow(_across(num, den, sent), "a long, b long")), "rest")
+    still = first.where(F.col("kind") == _OPEN).groupBy(F.col("a").alias("cls")).agg(F.collect_list(F.struct("b", "place")).alias("x"))
+    still = tx.table(still.select("cls", F.col("x.b").alias("tokens"), F.col("x.place").alias("pos")), "open")
+    labelled = among(inc.select("cls", "size", "s0", "s1", "s2", "s3", "bits"), still.select("cls")).join(still, "cls")
+    labelled = labelled.join(label.select(F.col("id").alias("cls"), F.col("component").alias("label")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    if len(hot.token):
+        labelled = tx.table(labelled, "labelled")
+        hot = _hot(labelled, ranks, fine, records)
+    sent = spark.sparkContext.broadcast(hot)
+    rest = tx.table(verified(by_token(labelled, sent, True).mapInArrow(_across(num, den, sent), "a long, b long")), "rest", tidy=True)
     links = stars.select("a", "b").union(rest.select("a", "b"))
     same = _same_id(named, reps, parts, rows)
     comp = components(links.union(same) if same else links)
