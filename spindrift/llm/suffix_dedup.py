@@ -18,7 +18,9 @@ so suffixes are sorted only where a repeat is possible and undecided:
    bytes give the smallest document; real bytes are compared here. A splitter never parts equal
    leading bytes: all of an anchor's suffixes meet in one bucket, so no run crosses a boundary.
    Hot grams, found in the same bounded sample, would fill a task: their records are spread by
-   context in step 2, taken as undecided, and sorted where half of their context is equal.
+   context in step 2 and taken as undecided. Their suffixes go by a few neighbouring offsets at a
+   time, to where the bytes that all of these cover lead (all but three of ``length``, or a twelfth),
+   and equal ones leave only their first document within a task.
 4. Marks go back to their documents, whose compressed texts are shuffled once for both uses.
 
 ``compare_all`` leaves step 2 out: every anchor's suffixes are sorted, and no byte is removed without
@@ -268,8 +270,66 @@ def _halves(length: int) -> tuple:
     return (left, left + length - half), (left - half - 1, left + K)
 
 
+def _offset_blocks(length: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring offsets at which strings around an anchor start before it."""
+    step = max(4, length // 12)
+    return [(low, min(length - K, low + step - 1)) for low in range(0, length - K + 1, step)]
+
+
+WHOLE, BLOCK, SPAN = 0, 1, 2  # forms of rows on their way to a bucket
+_PLACE = {"doc": (I64, ()), "uid": (I64, ()), "pos": (np.uint32, ())}
+
+
+def _block_kinds(length: int) -> dict:
+    low, high = _offset_blocks(length)[0]
+    return {"ctx": (np.uint8, (length + high - low,)), "base": (np.uint16, ()), "low": (np.uint16, ()), "high": (np.uint16, ()), **_PLACE}
+
+
+_SPREAD = "bucket int, form int, ctx binary, before binary, after binary, doc binary, uid binary, pos binary, base binary, low binary, high binary"
+
+
+def _form(blocks, form: int):
+    names = [x.split()[0] for x in _SPREAD.split(", ")]
+    for b in blocks:
+        own = dict(zip(b.schema.names, b.columns)) | {"form": pa.array(np.full(b.num_rows, form, np.int32))}
+        yield pa.RecordBatch.from_arrays([own[c] if c in own else pa.nulls(b.num_rows, pa.binary()) for c in names], names)
+
+
+def _common(length: int, parts: int, ctx, before, after, doc, uid, pos):
+    """Suffixes around hot grams: a record for each range of offsets, with the bytes that they cover."""
+    left = length - K
+    ranges = _offset_blocks(length)
+    width = _block_kinds(length)["ctx"][1][0]
+    out = []
+    for low, high in ranges:
+        least, most = np.maximum(low, length - after.astype(I64)), np.minimum(high, before.astype(I64))
+        own = np.flatnonzero(least <= most)
+        if not len(own):
+            continue
+        union = np.zeros((len(own), width), np.uint8)
+        union[:, : length + high - low] = ctx[own, left - high : left - low + length]
+        key = _hash_columns(union) ^ tx.mix((least[own] * 65536 + most[own]).astype(U64))
+        order = np.lexsort((doc[own], key))
+        own, union, key = own[order], union[order], key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        gone = (doc[own] > doc[own[first]]) & (union == union[first]).all(1)
+        gone &= (least[own] == least[own[first]]) & (most[own] == most[own[first]])
+        if gone.any():
+            g = own[gone]
+            begin, end = pos[g].astype(I64) - most[g], pos[g].astype(I64) - least[g] + length
+            yield from _form(tx.blocks(tx.bucket_of(tx.mix(uid[g].view(U64)), parts), {"uid": uid[g], "low": begin.astype(np.uint32), "high": end.astype(np.uint32)}), SPAN)
+        k = own[~gone]
+        core = np.ascontiguousarray(union[~gone][:, high - low : length])
+        home = tx.bucket_of(tx.mix(_hash_columns(core) + U64(low)), parts)
+        out.append((home, union[~gone], np.full(len(k), high, np.uint16), least[k].astype(np.uint16), most[k].astype(np.uint16), doc[k], uid[k], pos[k]))
+    if out:
+        home, *columns = (np.concatenate(x) for x in zip(*out))
+        yield from _form(tx.blocks(home, dict(zip(_block_kinds(length), columns))), BLOCK)
+
+
 def _spread(length: int, parts: int, splitters: np.ndarray, hot: np.ndarray):
-    """Step 3, sending: the bytes around each undecided anchor, to the range that its leading bytes fall in; around a hot gram, to where the right half leads and to where the left half leads."""
+    """Step 3, sending: the bytes around each undecided anchor, to the range that its leading bytes fall in; around a hot gram, by ranges of offsets."""
     left = length - K
 
     def run(batches):
@@ -278,19 +338,18 @@ def _spread(length: int, parts: int, splitters: np.ndarray, hot: np.ndarray):
         count = 0
 
         def flush():
-            ctx, before, after, doc, uid, pos = (np.concatenate(x) for x in zip(*held))
-            lead = np.ascontiguousarray(ctx[:, left : left + 8]).view(">u8").reshape(-1).astype(U64)
-            bucket = np.searchsorted(splitters, lead, "right").astype(np.int32)
+            columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
+            ctx = columns[0]
             if len(hot):
                 first, second = (np.ascontiguousarray(ctx[:, left + i : left + i + 8]).view("<u8").reshape(-1).astype(U64) for i in (0, 8))
-                common = np.flatnonzero(np.isin(_gram_hash(first, second), hot))
-                rest = np.delete(np.arange(len(ctx)), common)
-                homes = [tx.bucket_of(_hash_columns(ctx[common, a:b]), parts) for a, b in _halves(length)]
-                order = np.concatenate([rest, common, common])
-                bucket = np.concatenate([bucket[rest], *homes])
-                ctx, before, after, doc, uid, pos = (x[order] for x in (ctx, before, after, doc, uid, pos))
-            return tx.blocks(bucket, {"ctx": ctx, "before": before, "after": after, "doc": doc, "uid": uid, "pos": pos})
+                common = np.isin(_gram_hash(first, second), hot)
+                if common.any():
+                    yield from _common(length, parts, *[x[common] for x in columns])
+                    columns = [x[~common] for x in columns]
+                    ctx = columns[0]
+            lead = np.ascontiguousarray(ctx[:, left : left + 8]).view(">u8").reshape(-1).astype(U64)
+            yield from _form(tx.blocks(np.searchsorted(splitters, lead, "right").astype(np.int32), dict(zip(_suffix_kinds(length), columns))), WHOLE)
 
         for batch in batches:
             uid, doc = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("uid", "doc_id"))
@@ -298,13 +357,16 @@ def _spread(length: int, parts: int, splitters: np.ndarray, hot: np.ndarray):
             for k, raw in enumerate(_unzip(batch, codec)):
                 pos = np.frombuffer(part[k].as_py(), np.uint32)
                 pad = np.concatenate([np.zeros(left, np.uint8), raw, np.zeros(length, np.uint8)])
-                m, at = len(pos), pos.astype(I64)
-                ctx = np.lib.stride_tricks.sliding_window_view(pad, 2 * length - K)[at]
-                held.append([ctx, np.minimum(left, at).astype(np.uint16), np.minimum(length, len(raw) - at).astype(np.uint16), np.full(m, doc[k], I64), np.full(m, uid[k], I64), pos])
-                count += m
-                if count * (2 * length - K) > 6 << 20:
-                    yield from flush()
-                    count = 0
+                windows = np.lib.stride_tricks.sliding_window_view(pad, 2 * length - K)
+                step = max(1, (6 << 20) // (2 * length - K))
+                for low in range(0, len(pos), step):  # long texts in parts
+                    own = pos[low : low + step]
+                    m, at = len(own), own.astype(I64)
+                    held.append([windows[at], np.minimum(left, at).astype(np.uint16), np.minimum(length, len(raw) - at).astype(np.uint16), np.full(m, doc[k], I64), np.full(m, uid[k], I64), own])
+                    count += m
+                    if count >= step:
+                        yield from flush()
+                        count = 0
         if held:
             yield from flush()
 
@@ -342,53 +404,76 @@ def _sort_bucket(length: int, parts: int):
     """Step 3, receiving: sorts the suffixes of a range and marks the strings that an earlier document has.
 
     A string around an anchor reaches at least half of the way it can to one side, so its suffixes
-    need sorting only among contexts that agree on that half.
+    need sorting only among contexts that agree on that half; those of a range of offsets only among
+    records that agree on the bytes that all of them cover.
     """
-    left, width = length - K, 2 * length - K
+    left = length - K
     half = left // 2
 
     def run(batches):
-        r = tx.unpack(batches, _suffix_kinds(length))
-        m = len(r["doc"])
-        if not m:
-            return
-        r["ctx"] = np.ascontiguousarray(r["ctx"])
-        right, before = _halves(length)
-        for low, high, (begin, end), whole in ((0, half, right, r["after"] >= length - half), (half + 1, left, before, r["before"] >= half + 1)):
-            rows = np.flatnonzero(whole)
-            key = np.concatenate([np.zeros(0, U64), *[_hash_columns(r["ctx"][rows[i : i + 20_000], begin:end]) for i in range(0, len(rows), 20_000)]])
-            order = np.argsort(key, kind="stable")
-            rows, key = rows[order], key[order]
-            if not len(rows):
-                continue
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            doc = r["doc"][rows]
-            shared = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-            size = np.diff(np.append(start, len(rows)))
-            rows, group = rows[np.repeat(shared, size)], np.repeat(np.arange(shared.sum()), size[shared])
-            bound = np.append(np.cumsum(size[shared]) - size[shared], len(rows))
-            at, most = 0, max(1, _SORTED // (high - low + 1))
-            while at < len(bound) - 1:
-                to = max(at + 1, int(np.searchsorted(bound, bound[at] + most, "right")) - 1)
-                own, names = rows[bound[at] : bound[to]], group[bound[at] : bound[to]]
-                step = max(1, _SORTED // len(own))  # a large group goes by a few offsets at a time: equal strings have equal ones
-                for o in range(low, high + 1, step):
-                    yield from solve({k: r[k][own] for k in r}, names, o, min(high, o + step - 1))
-                at = to
+        forms: dict[int, list] = {WHOLE: [], BLOCK: [], SPAN: []}
+        for batch in batches:
+            form = batch.column(batch.schema.get_field_index("form")).to_numpy()
+            for k, own in forms.items():
+                if (form == k).any():
+                    own.append(batch.filter(pa.array(form == k)))
+        r = tx.unpack(forms.pop(SPAN), {"uid": (I64, ()), "low": (np.uint32, ()), "high": (np.uint32, ())})
+        yield from tx.blocks(tx.bucket_of(tx.mix(r["uid"].view(U64)), parts), {"uid": r["uid"], "begin": r["low"], "end": r["high"]})
+        r = tx.unpack(forms.pop(WHOLE), _suffix_kinds(length))
+        if len(r["doc"]):
+            r["ctx"] = np.ascontiguousarray(r["ctx"])
+            before, after = r["before"].astype(I64), r["after"].astype(I64)
+            right, back = _halves(length)
+            for low, high, (begin, end), whole in ((0, half, right, after >= length - half), (half + 1, left, back, before >= half + 1)):
+                rows = np.flatnonzero(whole)
+                key = np.concatenate([np.zeros(0, U64), *[_hash_columns(r["ctx"][rows[i : i + 20_000], begin:end]) for i in range(0, len(rows), 20_000)]])
+                own = {c: r[c] for c in ("ctx", "doc", "uid", "pos")} | {"base": np.full(len(before), left), "least": np.maximum(low, length - after), "most": np.minimum(high, before)}  # offsets of strings that lie within the text
+                yield from groups(own, rows, key, high - low + 1)
+        r = tx.unpack(forms.pop(BLOCK), _block_kinds(length))
+        if len(r["doc"]):
+            r["ctx"] = np.ascontiguousarray(r["ctx"])
+            wide = {high: low for low, high in _offset_blocks(length)}
+            for high in np.unique(r["base"]).tolist():
+                rows = np.flatnonzero(r["base"] == high)
+                key = _hash_columns(np.ascontiguousarray(r["ctx"][rows, high - wide[high] : length])) + U64(high)
+                own = {c: r[c] for c in ("ctx", "doc", "uid", "pos")} | {"base": r["base"].astype(I64), "least": r["low"].astype(I64), "most": r["high"].astype(I64)}
+                yield from groups(own, rows, key, high - wide[high] + 1)
         r.clear()
         tx.lean()
 
+    def groups(r, rows, key, offsets):
+        """Goes through the rows that have a key in common, if they are of several documents."""
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        if not len(rows):
+            return
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        doc = r["doc"][rows]
+        shared = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+        size = np.diff(np.append(start, len(rows)))
+        rows, group = rows[np.repeat(shared, size)], np.repeat(np.arange(shared.sum()), size[shared])
+        bound = np.append(np.cumsum(size[shared]) - size[shared], len(rows))
+        at, most = 0, max(1, _SORTED // offsets)
+        while at < len(bound) - 1:
+            to = max(at + 1, int(np.searchsorted(bound, bound[at] + most, "right")) - 1)
+            own, names = rows[bound[at] : bound[to]], group[bound[at] : bound[to]]
+            part = {k: v[own] for k, v in r.items()}
+            step = max(1, _SORTED // len(own))  # a large group goes by a few offsets at a time: equal strings have equal ones
+            low, high = int(part["least"].min()), int(part["most"].max())
+            for o in range(low, high + 1, step):
+                yield from solve(part, names, o, min(high, o + step - 1))
+            at = to
+
     def solve(r, group, low, high):
-        m = len(group)
-        before, after = r["before"].astype(I64), r["after"].astype(I64)
-        least, most = np.maximum(low, length - after), np.minimum(high, before)  # offsets of strings that lie within the text
+        m, width = r["ctx"].shape
+        least, most = np.maximum(low, r["least"]), np.minimum(high, r["most"])
         count = np.maximum(0, most - least + 1)
         row = np.repeat(np.arange(m), count)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + least[row]
         if not len(row):
             return
         data = np.ascontiguousarray(r["ctx"]).reshape(-1)
-        at, run_ = equal_runs(data, row * width + left - offset, length, group[row] * (left + 1) + offset)
+        at, run_ = equal_runs(data, row * width + r["base"][row] - offset, length, group[row] * (left + 1) + offset)
         if not len(at):
             return
         cut = np.flatnonzero(np.concatenate([[True], run_[1:] != run_[:-1]]))
@@ -544,12 +629,11 @@ def mark_repeats(docs: DataFrame, length: int = 50, hot_from: int | None = None,
         marks = texts.mapInArrow(_all_anchors(length), "uid long, full binary, part binary")
     else:
         found = tx.deal(texts.mapInArrow(_screen(length, fine, same, hot), _A), fine).mapInArrow(_decide(parts, same, hot), "bucket int, uid binary, pos binary, kind binary")
-        marks = tx.table(tx.deal(found, parts).mapInArrow(_rows_by_uid, "uid long, full binary, part binary"), "marks")
+        marks = tx.table(tx.deal(found, parts).mapInArrow(_rows_by_uid, "uid long, full binary, part binary"), "marks", tidy=True)
     shape = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("z", T.BinaryType()), *docs.schema.fields[3:]])
     packed = docs.mapInArrow(_pack, shape).where("uid is not null").repartition(parts, "uid")
     open_ = packed.join(marks.where("part is not null").select("uid", "part").hint("shuffle_merge"), "uid")
-    blob = "bucket int, ctx binary, before binary, after binary, doc binary, uid binary, pos binary"
-    spread = tx.deal(open_.mapInArrow(_spread(length, fine, splitters, hot), blob), fine)
+    spread = tx.deal(open_.mapInArrow(_spread(length, fine, splitters, hot), _SPREAD), fine)
     spans = tx.deal(spread.mapInArrow(_sort_bucket(length, parts), "bucket int, uid binary, begin binary, end binary"), parts).mapInArrow(_spans_by_uid, "uid long, spans binary")
     return packed.join(marks.select("uid", "full").hint("shuffle_merge"), "uid", "left").join(spans.hint("shuffle_merge"), "uid", "left")
 
