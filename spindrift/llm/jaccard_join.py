@@ -431,6 +431,7 @@ def _sorted_records(batches, by_part: bool = True, label: bool = True) -> dict:
 _PAIR, _OPEN, _PIVOT = 0, 1, 2  # kinds of rows that _stars returns
 _STAR_ROW = "kind int, a long, b long, place int, " + _WIDE_ROW
 _SMALL = 16
+FEW = 100_000  # ids that are broadcast as they are
 
 
 def _stars(num: int, den: int, parts: int, hot):
@@ -615,8 +616,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     fine = tx.partitions(spark, records * 140)
 
     def among(frame: DataFrame, ids: DataFrame) -> DataFrame:
-        """The rows of a frame whose first column may be among the ids, if a bitmap of bounded size can tell."""
-        bits = tx.bitmap_bits(ids.count())
+        """The rows of a frame whose first column may be among the ids: few ids are broadcast, more are a bitmap of bounded size, and beyond that all rows stay."""
+        n = ids.count()
+        if n <= FEW:
+            return frame.join(F.broadcast(ids.toDF("_id")), F.col(frame.columns[0]) == F.col("_id"), "left_semi")
+        bits = tx.bitmap_bits(n)
         return tx.only(frame, tx.wanted(ids, bits)) if bits else frame
 
     def verified(cand: DataFrame) -> DataFrame:

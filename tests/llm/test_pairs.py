@@ -25,6 +25,23 @@ def test_jaccard(spark, n, num):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_jaccard_of_large_families(spark, monkeypatch, few):
+    """Hot shingles, hubs and classes: a third of the rows are copies, a third near copies of one text."""
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    rng = random.Random(12)
+    base, other = h.sentence(rng, 120).split(), h.sentence(rng, 80)
+    rows = [(i, other) for i in range(150)]
+    for i in range(150, 300):
+        words = list(base)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = h.sentence(rng, 1)
+        rows.append((i, " ".join(words)))
+    rows += [(i, h.sentence(rng, rng.randint(1, 60))) for i in range(300, 450)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(h.frame(spark, rows)).collect()}
+    assert got == h.jaccard_components(rows, 3, 90, 100)
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     a, b = "x y z " * 3, " ".join(map(str, range(40)))
     frame = h.frame(spark, [(None, a), (5, a), (5, a), (7, a), (5, b), (9, b), (11, None)]).withColumn("n", F.lit(1)).withColumn("cls", F.lit("c"))
