@@ -186,3 +186,21 @@ def test_leaks_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(h.frame(spark, [(1, "a b c")]), none).collect() == []
     assert decontaminate.find_leaks(h.frame(spark, []), spark.createDataFrame([(1, "a b c d e f")], none.schema)).collect() == []
+
+
+def test_leaks_with_ties_and_repeats(spark):
+    words = [f"w{k}" for k in range(20)]
+    twice = " ".join(words) + " between " + " ".join(words)  # two equal stretches: the first counts
+    docs = [(1, twice), (1, "other text"), (1, twice), (2, " ".join(words[:16])), (None, twice), (3, " ".join(words[:14] + ["x"] + words[15:]))]
+    items = [(7, " ".join(words)), (7, " ".join(words)), (8, " ".join(words[:15])), (None, " ".join(words))]
+    got = {(r.doc_id, r.item_id): (r.n_words, r.n_equal, r.item_word, r.doc_word) for r in decontaminate.find_leaks(h.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 7): (20, 20, 0, 0), (1, 8): (15, 15, 0, 0), (2, 7): (16, 16, 0, 0), (2, 8): (15, 15, 0, 0), (3, 7): (20, 19, 0, 0), (3, 8): (15, 14, 0, 0)}
+
+
+def test_leaks_in_a_long_text(spark):
+    rng = random.Random(2)
+    item = h.sentence(rng, 30)
+    text = h.sentence(rng, 60_000) + " " + item + " " + "the " * 20_000
+    items = [(1, item), (2, "the " * 300), (3, h.sentence(rng, 25))]
+    got = {r.item_id: (r.n_words, r.doc_word) for r in decontaminate.find_leaks(h.frame(spark, [(1, text)]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: (30, 60_000), 2: (300, 60_030)}

@@ -276,6 +276,21 @@ def test_licences_in_wrapped_lines(spark):
     assert {r.doc_id: r.end - r.start for r in got}[1] == len(texts[1])
 
 
+def test_licences_of_repeated_and_null_ids(spark):
+    mit = "Released under the MIT License."
+    rows = [(1, mit), (1, mit), (1, "Licensed under CC BY-NC 4.0."), (None, mit), (None, None), (2, None)]
+    got = sorted(((r.doc_id, r.family, r.paragraph) for r in licenses.scan(h.frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, "MIT", 0), (1, "MIT", 0), (1, "CC-BY-NC", 0), (None, "MIT", 0)], key=str)
+
+
+def test_licence_ties():
+    """Equal families: the first in alphabetical order; equal to unknown: unknown."""
+    key = np.array([5, 9], np.uint64)
+    model = licenses.Classifier([licenses.UNKNOWN, "A", "B"], key, np.array([[0.0, 1, 1], [0, 0, 0]]), np.zeros(3))
+    p = model.probabilities(model.logits(np.array([0, 1]), key, 2))
+    assert p.argmax(1).tolist() == [1, 0]
+
+
 def test_other_licences_and_names_are_unknown(spark):
     lines = ["the ISC meeting was held", "Eclipse Public License 2.0", "Released under the Eclipse Public License 2.0.", "He studied at MIT.", "Released under the Foobar License 2.0.", "The Apache helicopter landed."]
     assert licenses.scan(h.frame(spark, list(enumerate(lines)))).collect() == []
@@ -607,6 +622,14 @@ def test_warc_one_payload_of_many_pages(spark):
     assert len(kinds) == 4000 and all(kinds[f"<urn:page:{i}>"] == "response" for i in range(0, 4000, 3))
 
 
+def test_warc_large_record(spark):
+    html = "é" * 3_000_000
+    folder = f"{tx.shared_dir(spark)}/warc-large"
+    warc.write_warc(spark.createDataFrame([(1, "u", html), (2, "u", html), (3, "u", "x")], "page_id long, url string, html string"), folder, archive_bytes=1000)
+    got = {r.record_id: (r.payload_bytes, r.record_type) for r in warc.read_warc(spark, f"{folder}/*.gz").collect()}
+    assert got == {"<urn:page:1>": (6_000_000, "response"), "<urn:page:2>": (6_000_000, "revisit"), "<urn:page:3>": (1, "response")}
+
+
 def test_warc_empty(spark):
     folder = f"{tx.shared_dir(spark)}/warc-none"
     assert warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), folder).count() == 0
