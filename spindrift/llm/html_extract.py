@@ -11,8 +11,8 @@ such as ``content``. Head words with other uses (widget, notice, share) only mar
 left out if links make up a third of it, or if it has fewer than SHORT characters and such elements
 aren't most of the page. Names say nothing of
 paragraphs and inline tags in an article, ids nothing of headings, and no name leaves out what holds
-most of the page's text other than links, unless the page has an article elsewhere, or it is reader
-comments beside other text. Hidden parts are text like others. Then, for every node, with C
+most of the page's text other than links, unless the page has an article elsewhere, or it is one
+block, or reader comments, beside other text. Hidden parts are text like others. Then, for every node, with C
 characters, T tags, and LC characters and LT tags of links in it (each at least 1), and lc, c those of
 the body:
 
@@ -179,7 +179,7 @@ def _parse(page: str, kept: set[int] | None) -> tuple[Node, int | None]:
     at, size = 0, len(page)
     skip: list[str] = []  # open elements from the one that is left out
     seen = False  # an article or main element
-    left: list[list] = []  # place, reason, characters, whether in an article, of each element left out by name
+    left: list[list] = []  # place, reason, characters, whether in an article, blocks within, of each element left out by name
     ours = 0  # characters in the tree; both without links
     words_inside = 0  # those of them in an article
     dead = 0  # open elements up to the first that is left out anyhow, or is a link
@@ -228,6 +228,8 @@ def _parse(page: str, kept: set[int] | None) -> tuple[Node, int | None]:
             elif tag not in VOID and not rest.endswith("/"):
                 if not (tag == skip[0] == "p") and not (tag in SIBLINGS and skip[-1] in SIBLINGS[tag][0]):
                     skip.append(tag)
+                    if not dead and tag in BLOCK:
+                        left[-1][4] += 1
                     dead = dead or (len(skip) if tag in DROP or tag == "a" else 0)
             continue
         if closing:
@@ -262,7 +264,7 @@ def _parse(page: str, kept: set[int] | None) -> tuple[Node, int | None]:
                 skip = [tag]
                 dead = int(why == "tag" or tag == "a" or _open_link(node))
                 if not dead:
-                    left.append([cut, why, 0, node.inside])
+                    left.append([cut, why, 0, node.inside, 0])
             if tag in BLOCK or tag in DROP:
                 node.children.append(None)  # the text before and after aren't one block
             continue
@@ -273,8 +275,8 @@ def _parse(page: str, kept: set[int] | None) -> tuple[Node, int | None]:
             node.weak = why == "weak"
             seen = seen or tag in ("article", "main")
     total = ours + sum(x[2] for x in left)
-    place, why, most, within = max(left, key=lambda x: x[2], default=(None, "", 0, False))
-    if 2 * most <= total or (words_inside and not within) or (why == "comments" and ours):
+    place, why, most, within, inner = max(left, key=lambda x: x[2], default=(None, "", 0, False, 0))
+    if 2 * most <= total or (inner < 2 and ours) or (words_inside and not within) or (why == "comments" and ours):
         place = None
     return root, place
 

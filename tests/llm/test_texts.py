@@ -446,6 +446,12 @@ def test_html_article_of_links_is_not_the_text():
     assert html_extract.main_text(f"<body><main><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>{aside}</main></body>") == f"T\n\n{LONG}\n\n{LONG}"
 
 
+def test_html_one_block_of_an_advert_is_left_out():
+    for named in ("<div class=ad>", "<div class=cookie-notice>", "<aside>"):
+        tag = named.split()[0].strip("<>")
+        assert html_extract.main_text(f"<body><nav><a href=x>a</a></nav>{named}{LONG}</{tag}><h1>Short.</h1><p>Only this.</body>") == "Short.\n\nOnly this."
+
+
 def test_html_pages_without_article():
     """Core, siblings with text and no boilerplate, with no name or tag to go by."""
     menu = "<table><tr>" + "<td><a href=x>Menu entry</a>" * 8 + "</table>"
