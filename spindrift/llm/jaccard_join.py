@@ -126,9 +126,9 @@ def _add(slices: int, kind):
 def _ranks(sketch: DataFrame, parts: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """For each order, the place of each counter when they are sorted by count, and by place the number of parts that its shingles are dealt to. Their size doesn't depend on the input. The sketches of many tasks are added up in two steps."""
     slices, row, kind = _SLICES * len(_ORDERS), "bucket int, counts binary", np.uint32
-    groups = -(-sketch.rdd.getNumPartitions() // 64)
+    groups = -(-sketch.count() // (64 * slices))  # a row for each task and slice
     if groups > 1:
-        spread = sketch.select((F.col("bucket") + slices * F.pmod(F.spark_partition_id(), F.lit(groups))).cast("int").alias("bucket"), "counts")
+        spread = sketch.select((F.col("bucket") + slices * F.pmod(F.xxhash64("counts"), F.lit(groups))).cast("int").alias("bucket"), "counts")
         sketch, kind = tx.deal(spread, slices * groups).mapInArrow(_add(slices, kind), row), I64
     found = {r["bucket"]: np.frombuffer(bytes(r["counts"]), I64) for r in tx.deal(sketch, slices).mapInArrow(_add(slices, kind), row).collect()}
     width = (1 << SKETCH_BITS) // _SLICES

@@ -42,6 +42,17 @@ def test_jaccard_of_large_families(spark, monkeypatch, few):
     assert got == h.jaccard_components(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("tasks", [3, 140])
+def test_sketches_of_many_tasks(spark, monkeypatch, tasks):
+    monkeypatch.setattr(jaccard_join, "SKETCH_BITS", 10)
+    counts = np.random.default_rng(tasks).integers(0, 2**31, (tasks, 24, 128), dtype=np.uint32)
+    rows = [(k, counts[t, k].tobytes()) for t in range(tasks) for k in range(24)]
+    ranks, salts = jaccard_join._ranks(spark.createDataFrame(rows, "bucket int, counts binary"), 4, 90, 100)
+    total = counts.astype(np.int64).sum(0).reshape(3, -1)
+    assert np.array_equal(ranks, np.argsort(np.argsort(total, axis=1, kind="stable"), axis=1))
+    assert np.array_equal(salts, np.maximum(1, -(-np.sort(total, axis=1) * 32 // (total.sum(1, keepdims=True) * 10 // 100))))
+
+
 def test_jaccard_null_and_repeated_ids(spark):
     a, b = "x y z " * 3, " ".join(map(str, range(40)))
     frame = h.frame(spark, [(None, a), (5, a), (5, a), (7, a), (5, b), (9, b), (11, None)]).withColumn("n", F.lit(1)).withColumn("cls", F.lit("c"))
