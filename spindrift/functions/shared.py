@@ -75,7 +75,7 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, pa
     value = [c for c in table.columns if c not in (*on, count)]
     least = max(2, total // (8 * parts))
     heavy = table.where(F.col(count) >= least).select(*on, F.struct(*value).alias("_heavy"))
-    light = table.where(F.col(count) < least).select(*on, F.struct(*value).alias("_light"), F.lit(0).alias("_salt"))
+    light = table.where(F.col(count) < least).select(*on, F.struct(*value).alias("_light"), F.pmod(F.col(count), F.lit(1)).cast("int").alias("_salt"))  # 0, but not as a literal: the optimizer would take that out of the keys
     names = [F.col(f"`{c}`") for c in rows.columns]
     own = rows.join(F.broadcast(heavy), on, "left").select(*names, "_heavy", F.when(F.col("_heavy").isNotNull(), 1 + F.pmod(F.xxhash64(*names), F.lit(1 << 30))).otherwise(0).cast("int").alias("_salt"))
     both = own.join(light, [*on, "_salt"], "left").select(*names, F.coalesce("_heavy", "_light").alias("_found")).where("_found is not null")

@@ -1,5 +1,6 @@
 """Core queries against DuckDB on the tables of the environment, and small cases."""
 import os
+import re
 import struct
 import zlib
 
@@ -212,6 +213,10 @@ def test_spread_join(spark):
     table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("x").alias("top"), F.lit(None).cast("int").alias("nothing")).where("k != 5")
     got = shared.spread_join(rows, table, ["k"], "n", 4, 5000)
     assert got.columns == ["k", "x", "top", "nothing"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = shared.spread_join(rows, table, ["k"], "n", 4, 5000)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"hashpartitioning\(k#\d+L?, _salt#\d+", plan)) == 2  # rows of heavy keys are dealt by the salt
     want = rows.join(table.drop("n"), "k")
     assert sorted(map(tuple, got.select("k", "x", "top").collect())) == sorted(map(tuple, want.select("k", "x", "top").collect()))
 
