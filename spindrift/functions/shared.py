@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of packed records that a partition of a block shuffle should have; they are held in NumPy arrays.
 PARTITION_BYTES = 128 << 20
+_FOLDER = "_spindrift_folder"
 
 
 def partitions(spark: SparkSession, size: int = 0) -> int:
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only in local mode, where one machine holds all, is a folder chosen if none is set.
     """
     context = spark.sparkContext
+    if getattr(context, _FOLDER, None):
+        return getattr(context, _FOLDER)
     found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
         if not re.match(r"local(\[|$)", context.master):
@@ -33,12 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     own = f"{found.rstrip('/')}/spindrift-{context.applicationId}"
-    if not getattr(context, "_spindrift_folder", False):
-        path = context._jvm.org.apache.hadoop.fs.Path(own)
-        store = path.getFileSystem(context._jsc.hadoopConfiguration())
-        store.mkdirs(path)
-        store.deleteOnExit(path)
-        context._spindrift_folder = True
+    path = context._jvm.org.apache.hadoop.fs.Path(own)
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    setattr(context, _FOLDER, own)
     return own
 
 
